@@ -10,7 +10,7 @@ def near_duplicates(spark, docs, sf_dir):
     """One document of each group of linked ones stays: the one whose doc_id names the group."""
     groups = jaccard_components(docs, width=5, num=8, den=10)
     copies = cut(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 STAGES = [("ngram_jaccard_join", near_duplicates)]

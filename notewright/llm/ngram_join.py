@@ -163,7 +163,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     members = cut(sets.join(groups, sets.high == groups.node).select("rep", "n", "high", "low", F.col("component").alias("group")), "members").where("rep is not null")
     sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / F.lit(CHUNK_SETS), F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks"), F.count("*").alias("size")).where("size > 1")
     members = members.join(sizes.drop("size"), "group").select(F.col("rep").alias("doc_id"), "high", "low", "group", "chunks")
-    whole = rows.join(members, "doc_id").mapInArrow(_sets_of(width), "doc_id long, group long, chunks int, grams binary")
+    whole = rows.join(members.hint("merge"), "doc_id").mapInArrow(_sets_of(width), "doc_id long, group long, chunks int, grams binary")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     dealt = whole.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "grams")
     links = dealt.groupBy("group", "i", "j").applyInArrow(_check(num, den), "a long, b long")

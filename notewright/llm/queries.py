@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from notewright.llm import sql
 from notewright.llm.ngram_join import jaccard_components
-from notewright.llm.shared import table
+from notewright.llm.packing import pack_documents
+from notewright.llm.shared import new_path, table
+from notewright.llm.token_orc import token_digests, write_token_orc
+
+
+def op2_token_orc(spark, sf_dir):
+    path = new_path(spark, "token-orc")
+    write_token_orc(table(spark, sf_dir, "documents"), path)
+    return token_digests(spark, path)
+
+
+def op4_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op9_ngram_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op4_best_fit_packing, op9_ngram_jaccard_join)}
 ORACLE_SQL = sql.ORACLES

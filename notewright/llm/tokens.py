@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 
 END = 2  #: the id that ends each document
-MEMO = 500_000  #: pieces kept at most; a full memo is emptied
+MEMO = 1_000_000  #: pieces kept at most; a full memo is emptied
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  #: fixed value: ASCII punctuation but the apostrophe
 #: Characters that one library takes for white space and another doesn't.
 _DOUBTFUL = set("\x1c\x1d\x1e\x1f\x85᠎​﻿")
@@ -25,6 +25,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Memo(dict):
+    """Ids of pieces, encoded as they come up; no bytes for a piece that can't be cut off."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of, self.marks = ids_of, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        body = piece[1:] if piece[:1] == "\n" else piece
+        if not body or body[0].isspace() or body[-1].isspace() or body[0] in _DOUBTFUL or body[-1] in _DOUBTFUL:
+            ids = b""
+        else:
+            stem = piece.rstrip(_MARKS)  # marks after a letter or digit are pieces of their own
+            if len(stem) < len(piece) and stem and (stem[-1].isalpha() or stem[-1] in "0123456789"):
+                marks = piece[len(stem) :]
+                if marks not in self.marks:
+                    self.marks[marks] = self.ids_of(marks)
+                ids = self[stem] + self.marks[marks]
+            else:
+                ids = self.ids_of(piece if piece[0] == "\n" else " " + piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers in bytes."""
 
@@ -33,54 +57,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _apart(piece: str) -> bool:
-        piece = piece[1:] if piece[:1] == "\n" else piece
-        return bool(piece) and not (piece[0].isspace() or piece[-1].isspace() or piece[0] in _DOUBTFUL or piece[-1] in _DOUBTFUL)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-            self.marks.clear()
-        new = set().union(*split).difference(memo) if split else set()
-        odd = {p for p in new if not self._apart(p)}
-        for p in odd:
-            memo[p] = b""  # not used: see below
-        new -= odd
-        stems = {}  # marks after a letter or digit are pieces of their own
-        for p in new:
-            stem = p.rstrip(_MARKS)
-            if stem != p and stem and (stem[-1].isalpha() or stem[-1] in "0123456789"):
-                stems[p] = stem
-        new = list(new.difference(stems).union(set(stems.values()).difference(memo)))
-        for p, ids in zip(new, self._encode([p if p[0] == "\n" else " " + p for p in new])):
-            memo[p] = ids
-        marks = list({p[len(s) :] for p, s in stems.items()}.difference(self.marks))
-        self.marks.update(zip(marks, self._encode(marks)))
-        for p, stem in stems.items():
-            memo[p] = memo[stem] + self.marks[p[len(stem) :]]
-        firsts = self._encode([s[0] for s in split])
-        out = []
-        whole = []
-        for i, s in enumerate(split):
-            ids = list(map(memo.__getitem__, s))
-            if b"" in ids or len(s) == 1:
-                whole.append(i)
-                out.append(b"")
-                continue
-            ids[0] = firsts[i]
-            out.append(b"".join(ids))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
-        return out
+        self.memo = _Memo(self.ids_of)
+
+    def ids_of(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        pieces = text.replace("\n", " \n").split(" ")
+        if len(pieces) == 1:
+            return self.ids_of(text)
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+            self.memo.marks.clear()
+        ids = list(map(self.memo.__getitem__, pieces))
+        if b"" in ids:
+            return self.ids_of(text)
+        ids[0] = self.ids_of(pieces[0])
+        return b"".join(ids)
 
 
 _encoders: dict[str, Encoder] = {}  # a Python worker runs many tasks
@@ -91,11 +84,12 @@ def encoded(batches, path: str):
     encoder, end = _encoders.setdefault(path, None) or Encoder(path), np.array([END], "<u4").tobytes()
     _encoders[path] = encoder
     for batch in batches:
-        texts = [x or "" for x in batch.column("text").to_pylist()]
-        start = total = 0
-        for i, t in enumerate([*texts, ""]):
-            total += len(t)
-            if i == len(texts) or total > 1 << 20 and i > start:
-                if i > start:
-                    yield batch.slice(start, i - start), [x + end for x in encoder.encode(texts[start:i])]
-                start, total = i, len(t)
+        texts, ids, start, size = batch.column("text"), [], 0, 0
+        for i, text in enumerate(texts.to_pylist()):
+            ids.append(encoder.encode(text or "") + end)
+            size += len(ids[-1])
+            if size > 1 << 22:
+                yield batch.slice(start, i + 1 - start), ids
+                ids, start, size = [], i + 1, 0
+        if ids:
+            yield batch.slice(start), ids

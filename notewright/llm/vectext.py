@@ -51,16 +51,21 @@ def ranges_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def space_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of each word between ASCII white space, A-Z lower-cased, in text order."""
+def word_ranges(texts: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with A-Z lower-cased, where each text begins, text number, start and end of each word); apart: by byte, whether it separates words."""
     data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
     inside = np.empty(len(data) + 1, bool)
     inside[0] = False
-    np.logical_not(_SPACE[data], out=inside[1:])
+    np.logical_not(apart[data], out=inside[1:])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[0::2], edge[1::2]
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
-    owner = np.searchsorted(begins, start, "right") - 1
+    return data, begins, np.searchsorted(begins, start, "right") - 1, start, end
+
+
+def space_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of each word between ASCII white space, A-Z lower-cased, in text order."""
+    data, _, owner, start, end = word_ranges(texts, _SPACE)
     return owner, ranges_hash(data, start, end)
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from notewright.llm import sql
+from notewright.llm.decontaminate import contained_items
 from notewright.llm.ngram_join import jaccard_components
 from notewright.llm.packing import pack_documents
 from notewright.llm.shared import new_path, table
 from notewright.llm.token_orc import token_digests, write_token_orc
+from notewright.llm.toxicity import toxicity
 
 
 def op2_token_orc(spark, sf_dir):
@@ -15,13 +19,23 @@ def op2_token_orc(spark, sf_dir):
     return token_digests(spark, path)
 
 
+def op3_benchmark_decontamination(spark, sf_dir):
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op8_toxicity(spark, sf_dir):
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"), spans.alias("spans"))
+
+
 def op9_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op4_best_fit_packing, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op8_toxicity, op9_ngram_jaccard_join)}
 ORACLE_SQL = sql.ORACLES

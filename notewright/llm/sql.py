@@ -1,3 +1,17 @@
 """DuckDB SQL for the results of the queries, where SQL expresses them."""
 
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+s AS (SELECT DISTINCT item_id, k, unnest([array_to_string(w[p : p + k - 1], ' ') for p in range(1, len(w) - k + 2)]) AS g FROM i),
+n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id),
+k AS (SELECT DISTINCT k FROM i),
+x AS (SELECT DISTINCT doc_id, k, unnest([array_to_string(w[p : p + k - 1], ' ') for p in range(1, len(w) - k + 2)]) AS g FROM d, k WHERE len(w) >= k),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM x JOIN s USING (k, g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item::DOUBLE, 6) AS containment
+FROM c JOIN n USING (item_id) WHERE n_shared * 10 >= n_item * 8
+"""
+
+ORACLES: dict[str, str] = {"op3_benchmark_decontamination": DECONTAMINATION}

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from notewright.llm import sql
 from notewright.llm.decontaminate import contained_items
+from notewright.llm.licences import licence_labels
+from notewright.llm.lzfingerprint import lz_fingerprints
 from notewright.llm.ngram_join import jaccard_components
 from notewright.llm.packing import pack_documents
+from notewright.llm.personal import KINDS, personal_spans
 from notewright.llm.shared import new_path, table
 from notewright.llm.token_orc import token_digests, write_token_orc
 from notewright.llm.toxicity import toxicity
@@ -27,6 +30,24 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op5_license_scans(spark, sf_dir):
+    return licence_labels(table(spark, sf_dir, "documents"))
+
+
+def op6_document_fingerprints(spark, sf_dir):
+    return lz_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark, sf_dir):
+    found = personal_spans(table(spark, sf_dir, "documents"))
+
+    def listed(column):
+        return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op8_toxicity(spark, sf_dir):
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
@@ -37,5 +58,5 @@ def op9_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op8_toxicity, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op5_license_scans, op6_document_fingerprints, op7_pii, op8_toxicity, op9_ngram_jaccard_join)}
 ORACLE_SQL = sql.ORACLES

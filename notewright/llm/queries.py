@@ -13,9 +13,15 @@ from notewright.llm.packing import pack_documents
 from notewright.llm.personal import KINDS, personal_spans
 from notewright.llm.shared import new_path, table
 from notewright.llm.token_orc import token_digests, write_token_orc
+from notewright.llm.toolcalls import calls_of_conversations, link_tool_calls
 from notewright.llm.toxicity import toxicity
 
 
+def op1_tool_call_linking(spark, sf_dir):
+    linked = link_tool_calls(*calls_of_conversations(table(spark, sf_dir, "conversations")))
+    return linked.select("conv_id", F.col("call_id").alias("call_turn"), "status", "name", "level", "n_missing", "valid", "problems", F.sha2("canonical", 256).alias("canonical_sha256"), F.length("output").cast("long").alias("output_chars"))
+
+
 def op2_token_orc(spark, sf_dir):
     path = new_path(spark, "token-orc")
     write_token_orc(table(spark, sf_dir, "documents"), path)
@@ -58,5 +64,5 @@ def op9_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op5_license_scans, op6_document_fingerprints, op7_pii, op8_toxicity, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op5_license_scans, op6_document_fingerprints, op7_pii, op8_toxicity, op9_ngram_jaccard_join)}
 ORACLE_SQL = sql.ORACLES

@@ -14,4 +14,22 @@ SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item::DOUBLE, 6) AS
 FROM c JOIN n USING (item_id) WHERE n_shared * 10 >= n_item * 8
 """
 
-ORACLES: dict[str, str] = {"op3_benchmark_decontamination": DECONTAMINATION}
+TOOL_CALLS = """
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+c0 AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'chat.reply' WHEN 'system' THEN 'chat.configure' END AS name, text FROM t WHERE role IN ('user', 'system')),
+c AS (SELECT conv_id, turn, min(name) AS name, min_by(text, (name, text)) AS text FROM c0 GROUP BY conv_id, turn),
+r AS (SELECT conv_id, turn - 1 AS turn, min(text) AS output FROM t WHERE role = 'assistant' GROUP BY conv_id, turn),
+g AS (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM c),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM g)
+SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.turn, r.turn) AS call_turn,
+  CASE WHEN l.conv_id IS NULL THEN 'orphan' WHEN r.conv_id IS NULL THEN 'pending' ELSE 'linked' END AS status,
+  name, level, CASE WHEN l.conv_id IS NULL THEN NULL WHEN level = 0 THEN 1 ELSE 0 END AS n_missing,
+  CASE WHEN l.conv_id IS NOT NULL THEN text IS NOT NULL END AS valid,
+  CASE WHEN l.conv_id IS NOT NULL THEN CASE WHEN text IS NULL THEN 'missing text' ELSE '' END END AS problems,
+  sha256('{"arguments":' || CASE WHEN l.conv_id IS NULL THEN 'null' WHEN text IS NULL THEN json_object('turn', l.turn)::VARCHAR ELSE json_object('text', text, 'turn', l.turn)::VARCHAR END
+    || ',"name":' || json_array(name)::VARCHAR || ',"output":' || json_array(output)::VARCHAR || '}') AS canonical_sha256,
+  length(output) AS output_chars
+FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn
+"""
+
+ORACLES: dict[str, str] = {"op1_tool_call_linking": TOOL_CALLS, "op3_benchmark_decontamination": DECONTAMINATION}

@@ -13,7 +13,8 @@ from array import array
 import numpy as np
 
 END = 2  #: the id that ends each document
-MEMO = 1_000_000  #: pieces kept at most; a full memo is emptied
+MEMO = 600_000  #: pieces kept at most; a full memo is emptied
+_PLAIN = "\u0590"  #: letters below are letters to every library
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  #: fixed value: ASCII punctuation but the apostrophe
 #: Characters that one library takes for white space and another doesn't.
 _DOUBTFUL = set("\x1c\x1d\x1e\x1f\x85᠎​﻿")
@@ -25,17 +26,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign of each byte in a byte-level vocabulary: printable Latin-1 stands for itself, the others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)}
+
+
 class _Memo(dict):
     """Ids of pieces, encoded as they come up; no bytes for a piece that can't be cut off."""
 
-    def __init__(self, ids_of):
+    def __init__(self, ids_of, word_ids):
         super().__init__()
-        self.ids_of, self.marks = ids_of, {}
+        self.ids_of, self.word_ids, self.marks = ids_of, word_ids, {}
 
     def __missing__(self, piece: str) -> bytes:
         body = piece[1:] if piece[:1] == "\n" else piece
         if not body or body[0].isspace() or body[-1].isspace() or body[0] in _DOUBTFUL or body[-1] in _DOUBTFUL:
             ids = b""
+        elif body.isalpha() and max(body) < _PLAIN:
+            ids = self.word_ids(body, piece is body)
         else:
             stem = piece.rstrip(_MARKS)  # marks after a letter or digit are pieces of their own
             if len(stem) < len(piece) and stem and (stem[-1].isalpha() or stem[-1] in "0123456789"):
@@ -57,11 +67,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo = _Memo(self.ids_of)
+        self.model, self.signs = self.tokenizer.model, _byte_signs()
+        self.line_feed = self.ids_of("\n")
+        self.memo = _Memo(self.ids_of, self.word_ids)
 
     def ids_of(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word_ids(self, word: str, after_space: bool) -> bytes:
+        """Ids of a run of letters behind a space or else a line feed: one piece of the pattern, so the merges alone are run."""
+        signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+        ids = array("I", [t.id for t in self.model.tokenize(self.signs[32] + signs if after_space else signs)]).tobytes()
+        return ids if after_space else self.line_feed + ids
+
     def encode(self, text: str) -> bytes:
         pieces = text.replace("\n", " \n").split(" ")
         if len(pieces) == 1:

@@ -15,6 +15,7 @@ from notewright.llm.shared import new_path, table
 from notewright.llm.token_orc import token_digests, write_token_orc
 from notewright.llm.toolcalls import calls_of_conversations, link_tool_calls
 from notewright.llm.toxicity import toxicity
+from notewright.llm.wrappers import main_texts
 
 
 def op1_tool_call_linking(spark, sf_dir):
@@ -64,5 +65,9 @@ def op9_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op5_license_scans, op6_document_fingerprints, op7_pii, op8_toxicity, op9_ngram_jaccard_join)}
+def op10_html_extraction(spark, sf_dir):
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op5_license_scans, op6_document_fingerprints, op7_pii, op8_toxicity, op9_ngram_jaccard_join, op10_html_extraction)}
 ORACLE_SQL = sql.ORACLES

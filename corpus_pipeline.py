@@ -1,24 +1,63 @@
-"""Corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame, the next stage's docs."""
+"""Corpus pipeline: toxicity, near duplicates, decontamination, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next
+stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from notewright.llm.decontaminate import contained_items
 from notewright.llm.ngram_join import jaccard_components
+from notewright.llm.packing import pack_documents
+from notewright.llm.personal import redact_documents
 from notewright.llm.shared import cut, table
+from notewright.llm.toxicity import drop_toxic
+
+
+def _without(docs, ids):
+    """docs without the rows of the given doc_ids, which may be as many as they like; rows without a doc_id stay."""
+    return docs.join(ids.distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
-def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of linked ones stays: the one whose doc_id names the group."""
+def reject_toxic(spark, docs, sf_dir):
+    """Documents predicted to be toxic go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each_group(spark, docs, sf_dir):
+    """Of each group of documents that links of their five-word shingles join (Jaccard 0.8 or more), the smallest doc_id stays."""
     groups = jaccard_components(docs, width=5, num=8, den=10)
-    copies = cut(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, cut(groups.where("doc_id <> component_id").select("doc_id"), "copies"))
+
+
+def decontaminate(spark, docs, sf_dir):
+    """Documents that contain 0.8 or more of a benchmark item's five-word shingles go."""
+    return _without(docs, cut(contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "contaminated"))
+
+
+def redact_personal_data(spark, docs, sf_dir):
+    """Personal data becomes the name of its kind; n_chars is counted anew."""
+    return redact_documents(docs)
+
+
+def pack(spark, docs, sf_dir):
+    """Token pieces of the remaining documents in sequences of 1024."""
+    return pack_documents(docs, capacity=1024)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", decontaminate),
+    ("pii", redact_personal_data),
+    ("best_fit_packing", pack),
+]
+#: A conditional random field, boosted trees and a tokenizer are beyond SQL; tests compare run() with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The stages over documents; each stage's result is written and read again before the next."""
+    """The stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

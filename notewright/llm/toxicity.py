@@ -259,3 +259,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Field | None = None) ->
     model = model or train_on_sample(docs, labels)
     scored = with_texts(docs).mapInArrow(_scores(model), "doc_id long, score double, spans array<struct<start: long, end: long, p: double>>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
+
+
+def _clean(model: Field):
+    def run(batches):
+        for batch in batches:
+            found = model.score_texts(text_bytes(batch.column("text")))
+            score = model.document_score(np.array([x[0] for x in found]), np.array([x[1] for x in found])) if found else np.zeros(0)
+            yield batch.filter(pa.array(score < 0.5))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, model: Field | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted to be toxic."""
+    return docs.mapInArrow(_clean(model or train_on_sample(docs, labels)), docs.schema)

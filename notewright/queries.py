@@ -50,7 +50,7 @@ def _notes(spark, sf) -> DataFrame:
     status = F.when(i % 5 == 0, F.lit("")).otherwise("status: active\n")
     front = F.concat(F.lit("---\ntype: "), kind, F.lit("\n"), status, F.lit("date: 2024-"), F.lpad((i % 14 + 1).cast("string"), 2, "0"), F.lit("-03\ntags: ["), F.col("lang"), F.when(i % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(", status/active, topic-"), (i % 4).cast("string"))), F.lit("]\n---\n"))
     related = F.when(i % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("\n## Related\n[[note-"), (i + 1).cast("string"), F.lit("]] [[note-"), (i * 3 % 500).cast("string"), F.lit("|see also]]\n")))
-    content = F.concat(F.when(i % 7 == 0, F.lit("# No front\n")).otherwise(front), F.lit("Body "), i.cast("string"), F.lit(" \u3000\n\t"), (i % 9).cast("string"), F.lit("]]"), related)
+    content = F.concat(F.when(i % 7 == 0, F.lit("# No front\n")).otherwise(front), F.lit("Body "), i.cast("string"), F.lit(" [[missing-"), (i % 9).cast("string"), F.lit("]]"), related)
     name = F.when(i % 11 == 0, F.concat(F.lit("Note "), i.cast("string"))).otherwise(F.concat(F.lit("note-"), i.cast("string")))
     return docs.select(F.concat(F.lit("/vault/"), "source", F.lit("/"), name, F.lit(".md")).alias("source"), content.alias("content"))
 
@@ -88,7 +88,7 @@ def decode_text(spark, sf):
 
 
 def blank_filter(spark, sf):
-    files = _files(spark, sf).withColumn("content", F.when(F.col("doc_id") % 8 == 0, F.lit(" 　\n\t ")).otherwise(F.col("content")))
+    files = _files(spark, sf).withColumn("content", F.when(F.col("doc_id") % 8 == 0, F.lit(" \u3000\n\t ")).otherwise(F.col("content")))
     return files.where(~is_blank(F.col("content"))).select("source", F.length(strip(F.col("content"))).alias("size"))
 
 

@@ -17,7 +17,7 @@ MEMO = 600_000  #: pieces kept at most; a full memo is emptied
 _PLAIN = "\u0590"  #: letters below are letters to every library
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  #: fixed value: ASCII punctuation but the apostrophe
 #: Characters that one library takes for white space and another doesn't.
-_DOUBTFUL = set("\x1c\x1d\x1e\x1f\x85᠎​﻿")
+_DOUBTFUL = set("\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff")
 
 
 def tokenizer_path() -> str:

@@ -136,7 +136,7 @@ def _examples(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     bad = (
         lambda: f"{letters(r.randint(2, 7))} at {letters(r.randint(2, 7))}{r.choice(['.', '. '])}{letters(r.randint(2, 6))}",
         lambda: r.choice([f"{number(2)}:{number(2)}:{number(2)}", f"{number(2)}:{number(2)}:{number(2)}:{number(2)}", f"{number(1)}:{number(3)}:{number(2)}"]),
-        lambda: r.choice([number(3) + "." + number(3) + "." + number(3), number(r.choice([10, 11, 12, 14, 16])), f"{number(4)}-{number(4)}-{number(4)}", f"{number(3)} {number(3)} {number(3)}"]),
+        lambda: r.choice([number(3) + "." + number(3) + "." + number(3), number(r.choice([10, 11, 12, 14, 16])), f"{number(4)}-{number(4)}-{number(4)}", f"{number(3)} {number(3)} {number(3)}", "{0}{3}{1}{3}{2}".format(number(3), number(3), number(4), r.choice("-. "))]),
         lambda: r.choice([f"{r.randint(1900, 2030)}-{number(3)}-{number(2)}", f"{number(2)} {number(3)} {number(3)}", f"{number(4)}.{number(3)}.{number(2)}", f"{number(3)} {number(4)} {number(5)} {number(3)}"]),
     )
     cue = ("write to", "server address", "my card", "phone", "order no")

@@ -76,7 +76,8 @@ class Field:
         first = True
         for i, g in enumerate(gap[:-1].tolist()):
             if g:
-                state = state @ powers[min(g, LONGEST_POWER)]
+                steps = g - first  # the first word of all has no transition before it
+                state = (np.exp([0.0, self.bias]) if first else state) @ powers[min(steps, LONGEST_POWER)]
                 first = False
             state = (state if first else state @ transition) * np.exp([0.0, min(score[i], 60.0)])
             first = False

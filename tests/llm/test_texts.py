@@ -1,0 +1,218 @@
+"""Fingerprints, licences, personal data and toxicity against plain versions."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from notewright.llm.licences import BASE, licence_labels, parse_expression
+from notewright.llm.lzfingerprint import Parser, fingerprint, likeness, lz_fingerprints, to_text
+from notewright.llm.personal import KINDS, Selector, base_spans, find, luhn, personal_spans, redact, redact_documents
+from notewright.llm.queries import op7_pii
+from notewright.llm.toxicity import drop_toxic, toxicity, train
+
+LONG = "lorem ipsum dolor " * 20_000
+
+
+# Fingerprints
+
+
+def lz(text):
+    phrases, held = set(), ""
+    for c in text:
+        held += c
+        if held not in phrases:
+            phrases.add(held)
+            held = ""
+    return phrases | ({held} if held else set())
+
+
+def test_parse_is_lz78():
+    r = random.Random(1)
+    for _ in range(300):
+        text = "".join(r.choice("aab é") for _ in range(r.randint(0, 200)))
+        parser = Parser()
+        parser.run(text, r.randint(0, len(text)), last=False)
+        parser.run(text, len(text), last=True)
+        assert parser.phrases == lz(text)
+
+
+def test_fingerprints(make):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcd \U0001f600é") for _ in range(r.randint(0, 300))) for _ in range(40)] + ["", None, "same text", "same text", LONG]
+    ids = [7 * i % 101 for i in range(len(texts))]
+    got = {x.doc_id: x for x in lz_fingerprints(make(texts, ids)).collect()}
+    order = sorted(range(len(texts)), key=lambda i: ids[i])
+    for at, i in enumerate(order):
+        t, following = texts[i] or "", texts[order[(at + 1) % len(order)]] or ""
+        n = len(t) // 4
+        edited = t[: len(t) - n] + following[:n]
+        a, b, c = (fingerprint(lz(x)) for x in (t, edited, following))
+        expected = (ids[i], len(t), hashlib.sha256(edited.encode()).hexdigest(), to_text(a), to_text(b), likeness(a, b), likeness(a, c))
+        assert tuple(got[ids[i]]) == expected
+
+
+def test_fingerprints_of_few_rows(make):
+    assert lz_fingerprints(make([])).count() == 0
+    (row,) = lz_fingerprints(make(["abcdefgh"])).collect()
+    assert row.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and row.near_next == 1
+    rows = lz_fingerprints(make(["x", "x", "y"], [None, None, 3])).collect()
+    assert len(rows) == 3 and len({r.fingerprint for r in rows}) == 2
+
+
+# Licences
+
+
+def test_licences(make):
+    r = random.Random(2)
+    words = ["under", "the", "MIT", "License", "apache", "version", "2", "cc", "BY", "nc", "x", "é"]
+    texts = [r.choice([" ", ", ", "-"]).join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(300)] + [None, "", "under the mit license", "under the mit license x under the mit license", LONG + " CC BY-NC"]
+    found = {x.doc_id: x for x in licence_labels(make(texts)).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        at = [(k, label) for p, label in BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        x = found[i]
+        places = [k for k, _ in at]
+        assert (x.n_words, x.n_base, x.first_word, x.last_word) == (len(w), len(at), min(places, default=None), max(places, default=None))
+        assert x.base_labels == ",".join(sorted({k for _, k in at})) and set(x.base_labels.split(",")) - {""} <= set(x.labels.split(","))
+        assert 0 <= x.score <= 1
+
+
+@pytest.mark.parametrize(
+    ("text", "names", "alternatives"),
+    [
+        ("MIT", ["mit"], [{"mit"}]),
+        ("MIT OR Apache-2.0", ["apache-2.0", "mit"], [{"mit"}, {"apache-2.0"}]),
+        ("MIT or GPL-2.0 WITH Classpath-exception-2.0 and ISC */", ["gpl-2.0 with classpath-exception-2.0", "isc", "mit"], [{"mit"}, {"gpl-2.0 with classpath-exception-2.0", "isc"}]),
+        ("(MIT OR ISC) AND Zlib", ["isc", "mit", "zlib"], [{"mit", "zlib"}, {"isc", "zlib"}]),
+        ("MIT and some words", ["mit", "some"], [{"mit", "some"}]),
+        ("(MIT", None, None),
+        ("OR MIT", None, None),
+    ],
+)
+def test_expressions(text, names, alternatives):
+    got = parse_expression(text)
+    assert got is None if names is None else (got[0], [set(a) for a in got[1]]) == (names, alternatives)
+
+
+def test_tags(make):
+    (row,) = licence_labels(make(["// SPDX-License-Identifier: (MIT OR Apache-2.0)\ncode"])).collect()
+    assert row.labels == "apache-2.0,mit" and row.n_base == 0 and row.score == 1
+
+
+# Personal data
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    def good(kind, m):
+        d = [c for c in m if c.isdigit()]
+        return {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m.split(".")), "card": lambda: 16 <= len(d) <= 19 and luhn("".join(d)), "phone": lambda: 8 <= len(d) <= 15}[kind]()
+
+    return {k: [m.span() for m in re.finditer(p, text) if good(k, m[0])] for k, p in PATTERNS.items()}
+
+
+def test_base_patterns():
+    r = random.Random(3)
+    parts = ["1", "2", "00", "4444", ".", "..", "-", " ", "+", "(", ")", "@", "a", "b.c", "é", "%", "4539578763621486", "a@b.co", "+12345678", "1.2.3.4"]
+    for _ in range(20_000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        assert base_spans(text) == plain_spans(text)
+
+
+def test_long_runs_take_linear_time():
+    for run in ("a" * 300_000, "a@" * 100_000, "1" * 300_000, "1." * 100_000, "+1 " * 50_000, "1 " * 100_000, "a.b@c" * 40_000):
+        assert isinstance(find(run, Selector())[1], list)
+
+
+def test_further_spans():
+    text = "write to jane (at) example (dot) org or phone 415-555-2671, ok? version 10.20.30 page 123"
+    spans = [(KINDS[k], text[a:b]) for k, a, b in find(text, Selector())[1]]
+    assert ("phone", "415-555-2671") in spans and any(k == "email" for k, _ in spans) and len(spans) == 2
+    assert redact("call +12345678 now", [(3, 5, 14)]) == "call [PHONE] now"
+
+
+def test_personal_query(spark, make, tmp_path):
+    texts = ["mail a.b@c.org, ip 10.0.0.1", None, "", "4539 5787 6362 1486 é +1 (202) 555-0143", "999.1.1.1 nothing", LONG + "x@y.zz"]
+    make(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    for x in op7_pii(spark, str(tmp_path)).collect():
+        base = plain_spans(texts[x.doc_id] or "")
+        listed = ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in base[k])
+        assert x.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [x[f"n_{k}"] for k in KINDS] == [len(base[k]) for k in KINDS]
+        assert set(listed.split(",")) - {""} <= set(x.spans.split(","))
+    clean = {r.doc_id: r for r in redact_documents(make(texts)).collect()}
+    assert clean[0].text == "mail [EMAIL], ip [IP]" and clean[0].n_chars == 21 and clean[1].text is None
+    assert personal_spans(make([])).count() == 0
+
+
+# Toxicity
+
+
+def toxic_docs(n, seed=5):
+    r = random.Random(seed)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    texts, labels = [], []
+    for i in range(n):
+        w = [r.choice(words) for _ in range(r.randint(5, 80))]
+        bad = r.random() < 0.2
+        if bad:
+            for _ in range(2):
+                w.insert(r.randrange(len(w)), r.choice(["zooky", "quaxling", "quaxler"]))
+        texts.append(" ".join(w).capitalize() + ".")
+        labels.append(int(bad))
+    return texts, labels
+
+
+def test_toxicity_on_held_out_documents(spark, make):
+    texts, labels = toxic_docs(700)
+    texts += [None, "", LONG]
+    docs = make(texts)
+    table = spark.createDataFrame([(i, 1, t) for i, t in enumerate(labels)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    rows = {x.doc_id: x for x in toxicity(docs, table).collect()}
+    out = [i for i in range(len(labels)) if rows[i].held_out]
+    import zlib
+
+    assert out == [i for i in range(len(labels)) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([rows[i].predicted == labels[i] for i in out]) > 0.97
+    assert all(rows[i].predicted == 0 for i in (700, 701, 702)) and rows[700].score == rows[701].score
+    marked = next(rows[i] for i in range(700) if labels[i] and rows[i].predicted)
+    assert {texts[marked.doc_id][s.start : s.end].lower()[:4] for s in marked.spans} <= {"zook", "quax"}
+    kept = drop_toxic(docs, table)
+    assert kept.columns == docs.columns and kept.count() == sum(1 for x in rows.values() if not x.predicted)
+
+
+def test_labels_of_held_out_documents_do_not_matter(spark, make):
+    import zlib
+
+    texts, labels = toxic_docs(200)
+    schema = "doc_id long, quality int, toxic int"
+    other = [t if zlib.crc32(str(i).encode()) % 5 else 1 - t for i, t in enumerate(labels)]
+    a, b = (sorted((r.doc_id, r.score) for r in toxicity(make(texts), spark.createDataFrame([(i, 1, t) for i, t in enumerate(of)], schema)).collect()) for of in (labels, other))
+    assert a == b
+
+
+def test_toxicity_without_labels(spark, make):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = toxicity(make(["a", None]), none).collect()
+    assert all(r.predicted == 0 and 0 <= r.score < 0.5 for r in rows)
+    assert toxicity(make([]), none).count() == 0
+
+
+def test_marginals_are_those_of_all_labellings():
+    texts, labels = toxic_docs(300)
+    model = train([t.encode() for t in texts], np.array(labels))
+    score = np.full(7, model.bias)
+    score[[1, 4, 5]] += [3.0, -1.0, 6.0]
+    p = np.zeros(7)
+    total = 0.0
+    for y in range(128):
+        s = [(y >> i) & 1 for i in range(7)]
+        w = np.exp(sum(score[i] for i in range(7) if s[i]) + sum(model.transition[a, b] for a, b in zip(s, s[1:])))
+        total += w
+        p += w * np.array(s)
+    got = model.marginals(score[[1, 4, 5]], np.array([1, 4, 5]), 7, model._powers())
+    assert np.allclose(got, (p / total)[[1, 4, 5]], atol=1e-6)

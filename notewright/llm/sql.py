@@ -24,7 +24,7 @@ l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER
 SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.turn, r.turn) AS call_turn,
   CASE WHEN l.conv_id IS NULL THEN 'orphan' WHEN r.conv_id IS NULL THEN 'pending' ELSE 'linked' END AS status,
   name, level, CASE WHEN l.conv_id IS NULL THEN NULL WHEN level = 0 THEN 1 ELSE 0 END AS n_missing,
-  CASE WHEN l.conv_id IS NOT NULL THEN text IS NOT NULL END AS valid,
+  l.conv_id IS NOT NULL AND text IS NOT NULL AS valid,
   CASE WHEN l.conv_id IS NOT NULL THEN CASE WHEN text IS NULL THEN 'missing text' ELSE '' END END AS problems,
   sha256('{"arguments":' || CASE WHEN l.conv_id IS NULL THEN 'null' WHEN text IS NULL THEN json_object('turn', l.turn)::VARCHAR ELSE json_object('text', text, 'turn', l.turn)::VARCHAR END
     || ',"name":' || json_array(name)::VARCHAR || ',"output":' || json_array(output)::VARCHAR || '}') AS canonical_sha256,

@@ -80,7 +80,7 @@ def _problems() -> F.Column:
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row for each identifier: conv_id, call_id, status, name, level, n_missing, valid, problems, output, canonical."""
+    """One row for each identifier: conv_id, call_id, status, name, level, n_missing, valid, problems, output, canonical. An orphan is not valid."""
     calls = calls.where("conv_id is not null and call_id is not null").groupBy(*ID).agg(F.min(F.struct("name", "arguments", "depends_on")).alias("c")).select(*ID, "c.*")
     calls = cut(calls, "calls")
     results = results.where("conv_id is not null and call_id is not null").groupBy(*ID).agg(F.min("output").alias("output"), F.lit(True).alias("answered"))
@@ -91,7 +91,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     joined = checked.join(levels(calls), ID).join(results, ID, "full_outer")
     status = F.when(F.col("problems").isNull(), "orphan").when(F.col("answered").isNull(), "pending").otherwise("linked")
     canonical = F.expr("concat('{\"arguments\":', coalesce(arguments, 'null'), ',\"name\":', coalesce(to_json(to_variant_object(array(name))), '[null]'), ',\"output\":', to_json(to_variant_object(array(output))), '}')")
-    return joined.select(*ID, status.alias("status"), "name", "level", "n_missing", (F.col("problems") == "").alias("valid"), "problems", "output", canonical.alias("canonical"))
+    return joined.select(*ID, status.alias("status"), "name", "level", "n_missing", F.coalesce(F.col("problems") == "", F.lit(False)).alias("valid"), "problems", "output", canonical.alias("canonical"))
 
 
 #: The tools that the roles of a plain conversation stand for.

@@ -124,9 +124,13 @@ def _toxic_features(owner: np.ndarray, features: np.ndarray, toxic: np.ndarray)
     """Features that tell toxic documents from others, by the log-likelihood ratio of their document counts."""
     found = []
     for k in range(features.shape[1]):
-        pairs = np.unique(np.stack([features[:, k], owner.astype(np.uint64)], axis=1), axis=0)
-        names, at = np.unique(pairs[:, 0], return_inverse=True)
-        t = np.bincount(at, toxic[pairs[:, 1].astype(np.int64)], len(names))
+        order = np.lexsort((owner, features[:, k]))
+        f, doc = features[order, k], owner[order]
+        once = np.concatenate([[True], (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])])
+        f, doc = f[once], doc[once]
+        first = np.concatenate([[True], f[1:] != f[:-1]])
+        names, at = f[first], np.cumsum(first) - 1
+        t = np.bincount(at, toxic[doc], len(names))
         n = np.bincount(at, minlength=len(names)) - t
         share = (t + n) / len(toxic)
         et, en = share * toxic.sum(), share * (len(toxic) - toxic.sum())
@@ -144,7 +148,11 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Field:
     model.logistic = (0.0, 0.0, float(min(np.log(rate / (1 - rate)), -0.1)))
     if not 0 < toxic.sum() < len(toxic):
         return model
-    _, _, owner, _, _, features = _features(texts)
+    parts = [(_features(texts[i:j]), i) for i, j in slices(texts, 1 << 20)]
+    owner, features = np.concatenate([f[2] + i for f, i in parts]), np.concatenate([f[5] for f, _ in parts])
+    del parts
+    if not len(owner):
+        return model
     seeds = _toxic_features(owner, features, toxic)
     label = np.isin(features, seeds).any(axis=1) & (toxic[owner] > 0)
     if not label.any():

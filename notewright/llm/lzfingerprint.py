@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.shared import with_texts
+from notewright.llm.shared import parts, with_texts
 from notewright.llm.vectext import ranges_hash
 
 COARSE = 64  #: bounds of blocks that are looked through at once
@@ -107,7 +107,7 @@ _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.floa
 def _compare(batches):
     """Rows (doc_id, text, copy) of one block in order: each row that is no copy is finished by the row behind it."""
     held, out = None, []
-    for batch in batches:
+    for batch in parts(batches):
         for doc_id, text, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copy"))):
             own, early = _parsed(text)
             if held is not None and not held[2]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm.components import components
-from notewright.llm.shared import cut, text_bytes, with_texts
+from notewright.llm.shared import cut, parts, text_bytes, with_texts
 from notewright.llm.trie_join import TrieJoin
 from notewright.llm.vectext import mix, segment_sums, shingle_sets, slices
 
@@ -56,7 +56,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 def _summaries(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts, ids = text_bytes(batch.column("text")), batch.column("doc_id")
             for i, j in slices(texts):
                 bounds, shingles = shingle_sets(texts[i:j], width)
@@ -71,14 +71,14 @@ def _part_keys(width: int, num: int, den: int):
 
     def run(batches):
         seen: set[int] = set()
-        low, parts = _size_classes(num, den, 1 << 12)
-        for batch in batches:
+        low, n_parts = _size_classes(num, den, 1 << 12)
+        for batch in parts(batches):
             texts = text_bytes(batch.column("text"))
             for i, j in slices(texts, 1 << 20):
                 bounds, shingles = shingle_sets(texts[i:j], width)
                 n, key = np.diff(bounds), _set_ids(bounds, shingles)[0]
                 if len(n) and n.max() >= low[-4]:
-                    low, parts = _size_classes(num, den, 2 * int(n.max()))
+                    low, n_parts = _size_classes(num, den, 2 * int(n.max()))
                 new = np.zeros(len(n), bool)
                 for k, x in enumerate(key.tolist()):  # copies within a task count once
                     if n[k] and x not in seen:
@@ -89,7 +89,7 @@ def _part_keys(width: int, num: int, den: int):
                 for down in (0, 1):
                     c = np.searchsorted(low, n, "right") - 1 - down
                     use = c >= 0
-                    count = np.where(use, parts[np.maximum(c, 0)], 0)
+                    count = np.where(use, n_parts[np.maximum(c, 0)], 0)
                     first = np.concatenate([[0], np.cumsum(count)])
                     inside = use[sets]
                     owner, h = sets[inside], mix(shingles[inside] ^ np.uint64(0x2545F4914F6CDD1D))
@@ -124,7 +124,7 @@ def _sets_of(width: int):
     """Rows of texts that stand for a set, with that set; a text under the same doc_id with another set is left out."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts = text_bytes(batch.column("text"))
             for i, j in slices(texts):
                 bounds, shingles = shingle_sets(texts[i:j], width)
@@ -156,8 +156,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     summary = cut(rows.mapInArrow(_summaries(width), "doc_id long, n long, high long, low long"), "set-ids")
     sets = summary.where("n > 0").groupBy("high", "low", "n").agg(F.min("doc_id").alias("rep"))
 
-    parts = rows.mapInArrow(_part_keys(width, num, den), "part long, key long")
-    edges = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_chain, "a long, b long").distinct()
+    keys = rows.mapInArrow(_part_keys(width, num, den), "part long, key long")
+    edges = keys.repartition("part").sortWithinPartitions("part").mapInArrow(_chain, "a long, b long").distinct()
     groups = components(cut(edges, "candidates"), "a", "b")
 
     members = cut(sets.join(groups, sets.high == groups.node).select("rep", "n", "high", "low", F.col("component").alias("group")), "members").where("rep is not null")

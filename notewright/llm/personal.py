@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from notewright.llm.boosting import BoostedTrees
-from notewright.llm.shared import with_texts
+from notewright.llm.shared import parts, with_texts
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION, SEED, EXAMPLES = 0.99, 11, 1600
@@ -212,7 +212,7 @@ _LIST = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 def _find_all(selector: Selector):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             base, spans = [], []
             for text in batch.column("text").to_pylist():
                 b, s = find(text or "", selector)
@@ -232,7 +232,7 @@ def personal_spans(docs: DataFrame, selector: Selector | None = None) -> DataFra
 
 def _redact_all(selector: Selector, names: list[str]):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             columns = {n: batch.column(n) for n in names}
             texts = [None if t is None else redact(t, find(t, selector)[1]) for t in batch.column("text").to_pylist()]
             columns["text"] = pa.array(texts, pa.string())

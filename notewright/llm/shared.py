@@ -37,6 +37,13 @@ def text_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def parts(batches, most: int = 500):
+    """Slices of Arrow batches: Python objects are made for a few rows at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, most):
+            yield batch.slice(i, most)
+
+
 def with_texts(docs: DataFrame) -> DataFrame:
     """doc_id and text under fixed types, whatever other columns there are."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -12,6 +12,8 @@ from array import array
 
 import numpy as np
 
+from notewright.llm.shared import parts
+
 END = 2  #: the id that ends each document
 MEMO = 600_000  #: pieces kept at most; a full memo is emptied
 _PLAIN = "\u0590"  #: letters below are letters to every library
@@ -101,7 +103,7 @@ def encoded(batches, path: str):
     """(batch, list of ids as bytes, with END) for parts of the batches of a bounded size."""
     encoder, end = _encoders.setdefault(path, None) or Encoder(path), np.array([END], "<u4").tobytes()
     _encoders[path] = encoder
-    for batch in batches:
+    for batch in parts(batches):
         texts, ids, start, size = batch.column("text"), [], 0, 0
         for i, text in enumerate(texts.to_pylist()):
             ids.append(encoder.encode(text or "") + end)

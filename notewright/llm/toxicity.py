@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.shared import text_bytes, with_texts
+from notewright.llm.shared import parts, text_bytes, with_texts
 from notewright.llm.vectext import mix, ranges_hash, slices, word_ranges
 
 SAMPLE = 4000  #: labelled documents that the field is trained on, at most
@@ -247,7 +247,7 @@ def train_on_sample(docs: DataFrame, labels: DataFrame) -> Field:
 
 def _scores(model: Field):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts = text_bytes(batch.column("text"))
             found = model.score_texts(texts)
             score = model.document_score(np.array([x[0] for x in found]), np.array([x[1] for x in found])) if found else np.zeros(0)
@@ -272,7 +272,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Field | None = None) ->
 
 def _clean(model: Field):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             found = model.score_texts(text_bytes(batch.column("text")))
             score = model.document_score(np.array([x[0] for x in found]), np.array([x[1] for x in found])) if found else np.zeros(0)
             yield batch.filter(pa.array(score < 0.5))

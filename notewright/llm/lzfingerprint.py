@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewright.llm.shared import parts, with_texts
-from notewright.llm.vectext import ranges_hash
+from notewright.llm.vectext import mix, sums_hash
 
 COARSE = 64  #: bounds of blocks that are looked through at once
 SKETCH = 64  #: hashes of a fingerprint, 8 hexadecimal digits each
@@ -28,6 +28,7 @@ class Parser:
 
     def __init__(self):
         self.phrases: set[str] = set()
+        self.new: list[str] = []  # those since the start or the copy, in order
         self.at = 0
 
     def copy(self) -> "Parser":
@@ -37,7 +38,7 @@ class Parser:
 
     def run(self, text: str, end: int, last: bool) -> None:
         """Parse text from where the parse stands, as long as phrases end at `end` at most; last: take the rest as a phrase too."""
-        known, at, guess = self.phrases, self.at, 4
+        known, new, at, guess = self.phrases, self.new, self.at, 4
         while at < end:
             n = guess
             if text[at : at + n] in known and at + n <= end:
@@ -50,23 +51,36 @@ class Parser:
             if at + n > end:
                 if last:
                     known.add(text[at:end])
+                    new.append(text[at:end])
                     at = end
                 break
-            known.add(text[at : at + n])
+            phrase = text[at : at + n]
+            known.add(phrase)
+            new.append(phrase)
             at += n
             guess = n
         self.at = at
 
 
-def fingerprint(phrases: set[str]) -> np.ndarray:
-    """The smallest hashes, ascending."""
+def fingerprint(phrases) -> np.ndarray:
+    """The smallest hashes of phrases (repeats count once), ascending."""
+    phrases = list(phrases)
     if not phrases:
         return np.zeros(0, np.uint32)
-    parts = [p.encode("utf-8", "surrogatepass") for p in phrases]
-    ends = np.cumsum([len(p) for p in parts])
-    hashes = ranges_hash(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-    short = np.unique((hashes >> np.uint64(32)).astype(np.uint32))
-    return short[:SKETCH]
+    signs = np.frombuffer("".join(phrases).encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.cumsum(np.fromiter(map(len, phrases), np.int64, len(phrases)))
+    hashes = sums_hash(mix(signs.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), ends - np.diff(ends, prepend=0), ends)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    if len(short) > 8 * SKETCH:
+        least = np.unique(np.partition(short, 4 * SKETCH)[: 4 * SKETCH])
+        if len(least) >= SKETCH:
+            return least[:SKETCH]
+    return np.unique(short)[:SKETCH]
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The fingerprint of the phrases of both."""
+    return np.union1d(a, b)[:SKETCH]
 
 
 def to_text(f: np.ndarray) -> str:
@@ -91,13 +105,14 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _parsed(text: str) -> tuple[np.ndarray, Parser]:
-    """The fingerprint of a text, and its parse up to where its edited form may differ."""
+def _parsed(text: str) -> tuple[np.ndarray, np.ndarray, Parser]:
+    """The fingerprint of a text, and fingerprint and parse up to where its edited form may differ."""
     parser = Parser()
     parser.run(text, len(text) - len(text) // 4, last=False)
-    early = parser.copy()
+    early, begun = fingerprint(parser.new), parser.copy()
+    parser.new.clear()
     parser.run(text, len(text), last=True)
-    return fingerprint(parser.phrases), early
+    return joined(early, fingerprint(parser.new)), early, begun
 
 
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -109,13 +124,13 @@ def _compare(batches):
     held, out = None, []
     for batch in parts(batches):
         for doc_id, text, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copy"))):
-            own, early = _parsed(text)
+            own, early, begun = _parsed(text)
             if held is not None and not held[2]:
                 edited = edit(held[1], text)
-                held[4].run(edited, len(edited), last=True)
-                other = fingerprint(held[4].phrases)
+                held[5].run(edited, len(edited), last=True)
+                other = joined(held[4], fingerprint(held[5].new))
                 out.append((held[0], len(held[1]), hashlib.sha256(edited.encode()).hexdigest(), to_text(held[3]), to_text(other), likeness(held[3], other), likeness(held[3], own)))
-            held = (doc_id, text, copy, own, early)
+            held = (doc_id, text, copy, own, early, begun)
             if len(out) == 2000:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(_KINDS)], _NAMES)
                 out = []

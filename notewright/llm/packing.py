@@ -194,5 +194,5 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str | None
     histogram = {int(k): int(v) for k, v in counts.groupBy("length").agg(F.sum("count")).collect()}  # `capacity` rows at most
     places = _places(pack_histogram(histogram, capacity))
     before = counts.select("part", "length", F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+    ranked = pieces.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_assign(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

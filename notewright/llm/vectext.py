@@ -44,10 +44,15 @@ def slices(texts: list[bytes], most: int = 1 << 21):
 
 def ranges_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of data[start:end] for each range, by its bytes alone."""
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
+    return sums_hash(_RANDOM[data], start, end)
+
+
+def sums_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of values[start:end] for each range, from running sums of a polynomial in a fixed base."""
+    power, inverse = _power_tables(len(values) + 1)
+    sums = np.empty(len(values) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_RANDOM[data] * power[: len(data)], dtype=np.uint64, out=sums[1:])
+    np.cumsum(values * power[: len(values)], dtype=np.uint64, out=sums[1:])
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 

@@ -5,9 +5,12 @@ How all links are found without comparing all documents:
 1. Each text becomes its set of distinct word shingles, as 64-bit hashes.
 2. Sets of linked sizes a and b differ in at most (a + b) * (1 - t) / (1 + t) shingles. Sizes fall in
    classes of ratio 1 / t, so linked sets are in one class or in two neighbouring ones. For each class
-   the shingles are dealt into one part more than the largest difference: linked sets then have at
-   least one part equal. The hash of a part is the path of a trie over that part; sets at the same
-   leaf are candidates and are joined by a chain of edges, as many as there are rows.
+   the shingles are dealt into K parts, more than the largest difference D: linked sets then have K - D
+   equal parts at least. The hash of a part is the path of a trie over that part; sets at the same leaf
+   are candidates and are joined by a chain of edges, as many as there are rows. Two kinds of leaves say
+   little: empty parts, and parts that more than HOT sets have (a passage that many documents share). They
+   only count for sets that have K - D of them or more: if two linked sets have no other equal part, that
+   is true of both. So a common passage joins those documents alone that consist of little else.
 3. Connected candidates form groups. Each group's whole sets go into a trie (trie_join), which checks
    every pair exactly or prunes it by a bound. A large group is dealt into chunks and every two
    chunks meet in a task of their own: a task holds two chunks at most.
@@ -30,11 +33,12 @@ from notewright.llm.shared import cut, parts, text_bytes, with_texts
 from notewright.llm.trie_join import TrieJoin
 from notewright.llm.vectext import mix, segment_sums, shingle_sets, slices
 
+HOT = 64  #: sets that may have a part in common before it says little
 CHUNK_SETS, CHUNK_SHINGLES = 1000, 1_000_000  #: bounds of half of what a checking task holds
 
 
-def _size_classes(num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lower bounds of the size classes, parts for pairs of class c with c or c + 1)."""
+def _size_classes(num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower bounds of the size classes, largest difference of linked sets of class c with c or c + 1, parts for them)."""
     low = [1]
     while low[-1] <= most:
         low.append(max(low[-1] + 1, -(-low[-1] * den // num)))
@@ -42,7 +46,8 @@ def _size_classes(num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray
     low += [-(-low[-1] * den // num) + 1]
     a = np.array(low[1:-1]) - 1  # the largest set of each class
     b = np.minimum(a * den // num, np.array(low[2:]) - 1)
-    return np.array(low), (a + b) * (den - num) // (den + num) + 1
+    differ = (a + b) * (den - num) // (den + num)
+    return np.array(low), differ, differ + 1 + differ // 4
 
 
 def _set_ids(bounds: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,18 +72,21 @@ def _summaries(width: int):
 
 
 def _part_keys(width: int, num: int, den: int):
-    """Rows (part key, set key): for each set its parts in the trees of its class and of the class below."""
+    """Rows (part key, set key, of): for each set its parts in the trees of its class and of the class below.
+
+    of holds the class and how many of the equal parts with a linked set are not empty at least. Empty parts are left
+    out unless that may be none."""
 
     def run(batches):
         seen: set[int] = set()
-        low, n_parts = _size_classes(num, den, 1 << 12)
+        low, differ, n_parts = _size_classes(num, den, 1 << 12)
         for batch in parts(batches):
             texts = text_bytes(batch.column("text"))
             for i, j in slices(texts, 1 << 20):
                 bounds, shingles = shingle_sets(texts[i:j], width)
                 n, key = np.diff(bounds), _set_ids(bounds, shingles)[0]
                 if len(n) and n.max() >= low[-4]:
-                    low, n_parts = _size_classes(num, den, 2 * int(n.max()))
+                    low, differ, n_parts = _size_classes(num, den, 2 * int(n.max()))
                 new = np.zeros(len(n), bool)
                 for k, x in enumerate(key.tolist()):  # copies within a task count once
                     if n[k] and x not in seen:
@@ -95,29 +103,65 @@ def _part_keys(width: int, num: int, den: int):
                     owner, h = sets[inside], mix(shingles[inside] ^ np.uint64(0x2545F4914F6CDD1D))
                     part = (((h >> np.uint64(32)) * count[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
                     sums = np.zeros(first[-1], np.uint64)
-                    np.add.at(sums, first[owner] + part, h)
+                    at = first[owner] + part
+                    np.add.at(sums, at, h)
+                    full = np.bincount(at, minlength=first[-1]) > 0
                     of = np.repeat(np.arange(len(n)), count)
+                    empty = np.bincount(of[~full], minlength=len(n))
+                    least = np.maximum(count - np.where(use, differ[np.maximum(c, 0)], 0) - empty, 0)
                     number = np.arange(first[-1]) - first[of]
+                    emit = full | (least[of] == 0)
                     out = mix(sums + mix((c[of].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64)))
-                    yield pa.RecordBatch.from_arrays([_long(out), _long(key[of])], ["part", "key"])
+                    yield pa.RecordBatch.from_arrays([_long(out[emit]), _long(key[of[emit]]), pa.array((c.astype(np.int64) << 32 | least)[of[emit]])], ["part", "key", "of"])
 
     return run
 
 
-def _chain(batches):
-    """Rows sorted by part: an edge from the first key of each run to every other one."""
-    part = first = None
-    for batch in batches:
-        p, k = (batch.column(c).to_numpy() for c in ("part", "key"))
-        if not len(p):
-            continue
-        start = np.concatenate([[True], p[1:] != p[:-1]])
-        start[0] = part is None or p[0] != part
-        begin = np.maximum.accumulate(np.where(start, np.arange(len(p)), -1))
-        head = np.where(begin >= 0, k[np.maximum(begin, 0)], first if first is not None else 0)
-        part, first = p[-1], head[-1]
-        edge = head != k
-        yield pa.RecordBatch.from_arrays([pa.array(head[edge]), pa.array(k[edge])], ["a", "b"])
+def _chain(hot: int | None):
+    """Rows sorted by part and key: for a part of `hot` keys at most an edge (a, b) from its first key to every other
+    one; for a part of more the rows themselves, as (a, part, of)."""
+    names, none = ["a", "b", "part", "of"], np.zeros(0, np.int64)
+
+    def edges(p, k):
+        begin = np.maximum.accumulate(np.where(np.concatenate([[True], p[1:] != p[:-1]]), np.arange(len(p)), -1))
+        head = k[begin]
+        apart = head != k
+        n = int(apart.sum())
+        return pa.RecordBatch.from_arrays([pa.array(head[apart]), pa.array(k[apart]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+
+    def rows(p, k, o):
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.nulls(len(p), pa.int64()), pa.array(p), pa.array(o)], names)
+
+    def run(batches):
+        held, known = (none, none, none), None  # rows of a part that isn't over; a part that is known to be hot
+        for batch in batches:
+            p, k, o = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("part", "key", "of")))
+            if not len(p):
+                continue
+            once = np.concatenate([[True], (p[1:] != p[:-1]) | (k[1:] != k[:-1])])
+            p, k, o = p[once], k[once], o[once]
+            starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            size = np.diff(np.concatenate([starts, [len(p)]]))
+            many = (size > hot if hot is not None else np.zeros(len(size), bool)) | (p[starts] == known if known is not None else False)
+            if hot is None:  # one row of the last part is enough to go on
+                yield edges(p, k)
+                held = (p[starts[-1] : starts[-1] + 1], k[starts[-1] : starts[-1] + 1], o[starts[-1] : starts[-1] + 1])
+                continue
+            each = np.repeat(many, size)
+            over = np.ones(len(p), bool)
+            if many[-1]:
+                known, held = p[-1], (none, none, none)
+            else:
+                over[starts[-1] :] = False
+                held = (p[starts[-1] :], k[starts[-1] :], o[starts[-1] :])
+            yield rows(p[each], k[each], o[each])
+            cold = over & ~each
+            if cold.any():
+                yield edges(p[cold], k[cold])
+        if hot is not None and len(held[0]):
+            yield edges(held[0], held[1])
+
+    return run
 
 
 def _sets_of(width: int):
@@ -156,9 +200,14 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
     summary = cut(rows.mapInArrow(_summaries(width), "doc_id long, n long, high long, low long"), "set-ids")
     sets = summary.where("n > 0").groupBy("high", "low", "n").agg(F.min("doc_id").alias("rep"))
 
-    keys = rows.mapInArrow(_part_keys(width, num, den), "part long, key long")
-    edges = keys.repartition("part").sortWithinPartitions("part").mapInArrow(_chain, "a long, b long").distinct()
-    groups = components(cut(edges, "candidates"), "a", "b")
+    keys = rows.mapInArrow(_part_keys(width, num, den), "part long, key long, of long")
+    chained = "a long, b long, part long, of long"
+    found = cut(keys.repartition("part").sortWithinPartitions("part", "key").mapInArrow(_chain(HOT), chained), "candidates")
+    hot = found.where("part is not null").select("part", F.col("a").alias("key"), "of")
+    only_hot = hot.groupBy("key", "of").agg(F.count("*").alias("n")).where("n >= (of & 4294967295)").select("key", "of")
+    more = hot.join(only_hot.hint("merge"), ["key", "of"], "left_semi").repartition("part").sortWithinPartitions("part", "key").mapInArrow(_chain(None), chained)
+    edges = found.unionByName(more).where("b is not null").select("a", "b")
+    groups = components(edges, "a", "b")
 
     members = cut(sets.join(groups, sets.high == groups.node).select("rep", "n", "high", "low", F.col("component").alias("group")), "members").where("rep is not null")
     sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / F.lit(CHUNK_SETS), F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks"), F.count("*").alias("size")).where("size > 1")

@@ -68,6 +68,18 @@ def test_chunks_of_a_large_group(make, monkeypatch):
     assert sorted(tuple(r) for r in got) == brute(texts, ids, 3, 9, 10)
 
 
+def test_hot_parts(make, monkeypatch):
+    """The same, when parts of two sets say little already: long passages stand in all texts."""
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    texts = texts_of(9, 100)
+    passage = " ".join(f"p{i}" for i in range(25))
+    texts = [t if not t or i % 3 else f"{t} {passage}" for i, t in enumerate(texts)]
+    ids = list(range(len(texts)))
+    for width, num, den in ((5, 8, 10), (3, 9, 10)):
+        got = jaccard_components(make(texts), width, num, den).collect()
+        assert sorted(tuple(r) for r in got) == brute(texts, ids, width, num, den)
+
+
 def test_odd_rows(make):
     text = " ".join(f"w{i}" for i in range(30))
     rows = jaccard_components(make([text, text, text, None, "", "x y"], [5, 5, None, 7, 8, None]), 3, 9, 10).collect()
@@ -86,11 +98,12 @@ def test_a_very_long_text(make):
 
 
 def test_size_classes_cover_linked_sizes():
-    low, parts = _size_classes(9, 10, 3000)
+    low, differ, parts = _size_classes(9, 10, 3000)
+    assert (parts > differ).all()
     for a in range(1, 3000):
         b = a * 10 // 9
         c = np.searchsorted(low, [a, b], "right") - 1
-        assert c[1] - c[0] in (0, 1) and (a + b) // 19 < parts[c[0]]
+        assert c[1] - c[0] in (0, 1) and (a + b) // 19 <= differ[c[0]]
 
 
 def test_trie_finds_every_link():

@@ -7,13 +7,17 @@ How all links are found without comparing all documents:
    classes of ratio 1 / t, so linked sets are in one class or in two neighbouring ones. For each class
    the shingles are dealt into K parts, more than the largest difference D: linked sets then have K - D
    equal parts at least. The hash of a part is the path of a trie over that part; sets at the same leaf
-   are candidates and are joined by a chain of edges, as many as there are rows. Two kinds of leaves say
-   little: empty parts, and parts that more than HOT sets have (a passage that many documents share). They
-   only count for sets that have K - D of them or more: if two linked sets have no other equal part, that
-   is true of both. So a common passage joins those documents alone that consist of little else.
-3. Connected candidates form groups. Each group's whole sets go into a trie (trie_join), which checks
-   every pair exactly or prunes it by a bound. A large group is dealt into chunks and every two
-   chunks meet in a task of their own: a task holds two chunks at most.
+   are candidates. Two kinds of leaves say little: parts of few shingles (fewer than `telling`, which the
+   size class fixes so that they are well under K - D in nearly all sets), and parts that more than HOT
+   sets have (a passage that many documents share). They only count for sets that have K - D of them or
+   more: if two linked sets have no other equal part, that is true of both. So what is common joins those
+   documents alone that are little else: they are chained by as many edges as there are rows.
+3. The sets at any other leaf, HOT at most, are candidates in pairs. A sketch of a set has the smallest hash
+   of each of BINS classes of shingles. A shingle that differs changes one bin, so linked sets differ in no
+   more bins than shingles; and in no more than BINS - ALIKE, but for a chance below 1e-17 (ten standard
+   deviations). Other pairs go. Connected candidates form groups. Each group's whole sets go into a trie
+   (trie_join), which checks every pair exactly or prunes it by a bound. A large group is dealt into chunks
+   and every two chunks meet in a task of their own: a task holds two chunks at most.
 4. Components of the exact links.
 
 Results in odd cases: a null or empty text has no shingles and is linked with nothing (its component is
@@ -23,6 +27,8 @@ of its exact copies or else null; other columns of the input are ignored; an emp
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,12 +39,13 @@ from notewright.llm.shared import cut, parts, text_bytes, with_texts
 from notewright.llm.trie_join import TrieJoin
 from notewright.llm.vectext import mix, segment_sums, shingle_sets, slices
 
-HOT = 64  #: sets that may have a part in common before it says little
+HOT = 16  #: sets that may have a part in common before it says little
+BINS, ALIKE = 64, 20  #: of a sketch: bins, and those that candidates have equal at least
 CHUNK_SETS, CHUNK_SHINGLES = 1000, 1_000_000  #: bounds of half of what a checking task holds
 
 
-def _size_classes(num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lower bounds of the size classes, largest difference of linked sets of class c with c or c + 1, parts for them)."""
+def _size_classes(num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower bounds of the size classes; then for class c with c or c + 1: largest difference of linked sets, parts, telling size of a part)."""
     low = [1]
     while low[-1] <= most:
         low.append(max(low[-1] + 1, -(-low[-1] * den // num)))
@@ -47,7 +54,17 @@ def _size_classes(num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray
     a = np.array(low[1:-1]) - 1  # the largest set of each class
     b = np.minimum(a * den // num, np.array(low[2:]) - 1)
     differ = (a + b) * (den - num) // (den + num)
-    return np.array(low), differ, differ + 1 + differ // 4
+    parts = differ + 1 + differ // 3
+    telling = np.ones(len(parts), np.int64)
+    for c, (n, k, d) in enumerate(zip(low, parts.tolist(), differ.tolist())):
+        p = below = math.exp(-n / k)  # that a part of the smallest set of the class has fewer shingles
+        while telling[c] < 8:
+            p *= n / k / int(telling[c])
+            if k * (below + p) + 2 * math.sqrt(k * (below + p)) > 0.9 * (k - d):
+                break
+            below += p
+            telling[c] += 1
+    return np.array(low), differ, parts, telling
 
 
 def _set_ids(bounds: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +76,15 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _sketches(bounds: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """A row of BINS bytes for each set: of the smallest shingle of each bin, 0 where there is none."""
+    out = np.zeros((len(bounds) - 1) * BINS, np.uint8)
+    h = mix(shingles ^ np.uint64(0x9E6C63D0876A9A35))
+    place = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * BINS + (h % np.uint64(BINS)).astype(np.int64)
+    out[place[::-1]] = (h[::-1] >> np.uint64(32)).astype(np.uint8) % np.uint8(255) + np.uint8(1)  # shingles ascend: the smallest is written last
+    return out.reshape(-1, BINS)
+
+
 def _summaries(width: int):
     def run(batches):
         for batch in parts(batches):
@@ -66,7 +92,24 @@ def _summaries(width: int):
             for i, j in slices(texts):
                 bounds, shingles = shingle_sets(texts[i:j], width)
                 high, low = _set_ids(bounds, shingles)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.diff(bounds)), _long(high), _long(low)], ["doc_id", "n", "high", "low"])
+                sketches = pa.array([x.tobytes() for x in _sketches(bounds, shingles)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.diff(bounds)), _long(high), _long(low), sketches], ["doc_id", "n", "high", "low", "sketch"])
+
+    return run
+
+
+def _alike(num: int, den: int):
+    """Pairs (a, b) with sizes and sketches: those that may be linked."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
+            differ = np.count_nonzero(x != y, axis=1)
+            most = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (den - num) // (den + num)
+            keep = pa.array(differ <= np.minimum(most, BINS - ALIKE))
+            yield batch.select(["a", "b"]).filter(keep)
 
     return run
 
@@ -74,19 +117,19 @@ def _summaries(width: int):
 def _part_keys(width: int, num: int, den: int):
     """Rows (part key, set key, of): for each set its parts in the trees of its class and of the class below.
 
-    of holds the class and how many of the equal parts with a linked set are not empty at least. Empty parts are left
-    out unless that may be none."""
+    of holds the class and how many of the equal parts with a linked set are of a telling size at least. The others
+    are left out unless that may be none."""
 
     def run(batches):
         seen: set[int] = set()
-        low, differ, n_parts = _size_classes(num, den, 1 << 12)
+        low, differ, n_parts, telling = _size_classes(num, den, 1 << 12)
         for batch in parts(batches):
             texts = text_bytes(batch.column("text"))
             for i, j in slices(texts, 1 << 20):
                 bounds, shingles = shingle_sets(texts[i:j], width)
                 n, key = np.diff(bounds), _set_ids(bounds, shingles)[0]
                 if len(n) and n.max() >= low[-4]:
-                    low, differ, n_parts = _size_classes(num, den, 2 * int(n.max()))
+                    low, differ, n_parts, telling = _size_classes(num, den, 2 * int(n.max()))
                 new = np.zeros(len(n), bool)
                 for k, x in enumerate(key.tolist()):  # copies within a task count once
                     if n[k] and x not in seen:
@@ -105,10 +148,10 @@ def _part_keys(width: int, num: int, den: int):
                     sums = np.zeros(first[-1], np.uint64)
                     at = first[owner] + part
                     np.add.at(sums, at, h)
-                    full = np.bincount(at, minlength=first[-1]) > 0
                     of = np.repeat(np.arange(len(n)), count)
-                    empty = np.bincount(of[~full], minlength=len(n))
-                    least = np.maximum(count - np.where(use, differ[np.maximum(c, 0)], 0) - empty, 0)
+                    full = np.bincount(at, minlength=first[-1]) >= telling[np.maximum(c, 0)][of]
+                    small = np.bincount(of[~full], minlength=len(n))
+                    least = np.maximum(count - np.where(use, differ[np.maximum(c, 0)], 0) - small, 0)
                     number = np.arange(first[-1]) - first[of]
                     emit = full | (least[of] == 0)
                     out = mix(sums + mix((c[of].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64)))
@@ -117,51 +160,70 @@ def _part_keys(width: int, num: int, den: int):
     return run
 
 
-def _chain(hot: int | None):
-    """Rows sorted by part and key: for a part of `hot` keys at most an edge (a, b) from its first key to every other
-    one; for a part of more the rows themselves, as (a, part, of)."""
+def _pairs(p: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of keys with the same part, once each; rows are sorted by both."""
+    found = []
+    for d in range(1, HOT):
+        same = p[d:] == p[:-d]
+        if not same.any():
+            break
+        found.append(np.stack([k[:-d][same], k[d:][same]]))
+    if not found:
+        return k[:0], k[:0]
+    a, b = np.concatenate(found, axis=1)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[once], b[once]
+
+
+def _leaves(batches):
+    """Rows sorted by part and key: for a part of HOT keys at most its pairs (a, b), for one of more its rows (a, part, of)."""
     names, none = ["a", "b", "part", "of"], np.zeros(0, np.int64)
 
-    def edges(p, k):
-        begin = np.maximum.accumulate(np.where(np.concatenate([[True], p[1:] != p[:-1]]), np.arange(len(p)), -1))
-        head = k[begin]
+    def both(pairs, part, key, of):
+        a, b = pairs
+        gone = pa.nulls(len(b), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(of), pa.int64()), pa.array(part), pa.array(of)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), gone, gone], names)
+
+    held, known = (none, none, none), None  # rows of a part that isn't over; a part that is known to be hot
+    for batch in batches:
+        p, k, o = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("part", "key", "of")))
+        if not len(p):
+            continue
+        once = np.concatenate([[True], (p[1:] != p[:-1]) | (k[1:] != k[:-1])])
+        p, k, o = p[once], k[once], o[once]
+        starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        size = np.diff(np.concatenate([starts, [len(p)]]))
+        many = size > HOT
+        if known is not None:
+            many |= p[starts] == known
+        each, over = np.repeat(many, size), np.ones(len(p), bool)
+        if many[-1]:
+            known, held = p[-1], (none, none, none)
+        else:
+            over[starts[-1] :] = False
+            held = (p[starts[-1] :], k[starts[-1] :], o[starts[-1] :])
+        cold = over & ~each
+        yield from both(_pairs(p[cold], k[cold]), p[each], k[each], o[each])
+    if len(held[0]):
+        yield from both(_pairs(held[0], held[1]), none, none, none)
+
+
+def _chain(batches):
+    """Rows sorted by part: an edge (a, b) from the first key of each part to every other one."""
+    part = first = None
+    for batch in batches:
+        p, k = batch.column("part").to_numpy(), batch.column("key").to_numpy()
+        if not len(p):
+            continue
+        starts = np.concatenate([[part is None or p[0] != part], p[1:] != p[:-1]])
+        begin = np.maximum.accumulate(np.where(starts, np.arange(len(p)), -1))
+        head = np.where(begin >= 0, k[np.maximum(begin, 0)], 0 if first is None else first)
+        part, first = p[-1], head[-1]
         apart = head != k
-        n = int(apart.sum())
-        return pa.RecordBatch.from_arrays([pa.array(head[apart]), pa.array(k[apart]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
-
-    def rows(p, k, o):
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.nulls(len(p), pa.int64()), pa.array(p), pa.array(o)], names)
-
-    def run(batches):
-        held, known = (none, none, none), None  # rows of a part that isn't over; a part that is known to be hot
-        for batch in batches:
-            p, k, o = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("part", "key", "of")))
-            if not len(p):
-                continue
-            once = np.concatenate([[True], (p[1:] != p[:-1]) | (k[1:] != k[:-1])])
-            p, k, o = p[once], k[once], o[once]
-            starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            size = np.diff(np.concatenate([starts, [len(p)]]))
-            many = (size > hot if hot is not None else np.zeros(len(size), bool)) | (p[starts] == known if known is not None else False)
-            if hot is None:  # one row of the last part is enough to go on
-                yield edges(p, k)
-                held = (p[starts[-1] : starts[-1] + 1], k[starts[-1] : starts[-1] + 1], o[starts[-1] : starts[-1] + 1])
-                continue
-            each = np.repeat(many, size)
-            over = np.ones(len(p), bool)
-            if many[-1]:
-                known, held = p[-1], (none, none, none)
-            else:
-                over[starts[-1] :] = False
-                held = (p[starts[-1] :], k[starts[-1] :], o[starts[-1] :])
-            yield rows(p[each], k[each], o[each])
-            cold = over & ~each
-            if cold.any():
-                yield edges(p[cold], k[cold])
-        if hot is not None and len(held[0]):
-            yield edges(held[0], held[1])
-
-    return run
+        yield pa.RecordBatch.from_arrays([pa.array(head[apart]), pa.array(k[apart])], ["a", "b"])
 
 
 def _sets_of(width: int):
@@ -197,17 +259,19 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int =
 
     Texts link when den * |intersection| >= num * |union| of their shingle sets; see the module for odd cases."""
     rows = with_texts(docs)
-    summary = cut(rows.mapInArrow(_summaries(width), "doc_id long, n long, high long, low long"), "set-ids")
-    sets = summary.where("n > 0").groupBy("high", "low", "n").agg(F.min("doc_id").alias("rep"))
+    summary = cut(rows.mapInArrow(_summaries(width), "doc_id long, n long, high long, low long, sketch binary"), "set-ids")
+    sets = summary.where("n > 0").groupBy("high", "low", "n").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
 
     keys = rows.mapInArrow(_part_keys(width, num, den), "part long, key long, of long")
-    chained = "a long, b long, part long, of long"
-    found = cut(keys.repartition("part").sortWithinPartitions("part", "key").mapInArrow(_chain(HOT), chained), "candidates")
+    found = cut(keys.repartition("part").sortWithinPartitions("part", "key").mapInArrow(_leaves, "a long, b long, part long, of long"), "leaves")
     hot = found.where("part is not null").select("part", F.col("a").alias("key"), "of")
     only_hot = hot.groupBy("key", "of").agg(F.count("*").alias("n")).where("n >= (of & 4294967295)").select("key", "of")
-    more = hot.join(only_hot.hint("merge"), ["key", "of"], "left_semi").repartition("part").sortWithinPartitions("part", "key").mapInArrow(_chain(None), chained)
-    edges = found.unionByName(more).where("b is not null").select("a", "b")
-    groups = components(edges, "a", "b")
+    chained = hot.join(only_hot.hint("merge"), ["key", "of"], "left_semi").repartition("part").sortWithinPartitions("part", "key").mapInArrow(_chain, "a long, b long")
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("high").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")).hint("merge"), side)
+    edges = chained.unionByName(pairs.mapInArrow(_alike(num, den), "a long, b long"))
+    groups = components(cut(edges, "candidates"), "a", "b")
 
     members = cut(sets.join(groups, sets.high == groups.node).select("rep", "n", "high", "low", F.col("component").alias("group")), "members").where("rep is not null")
     sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / F.lit(CHUNK_SETS), F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks"), F.count("*").alias("size")).where("size > 1")

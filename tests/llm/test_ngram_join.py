@@ -98,8 +98,8 @@ def test_a_very_long_text(make):
 
 
 def test_size_classes_cover_linked_sizes():
-    low, differ, parts = _size_classes(9, 10, 3000)
-    assert (parts > differ).all()
+    low, differ, parts, telling = _size_classes(9, 10, 3000)
+    assert (parts > differ).all() and telling.min() == 1 < telling.max()
     for a in range(1, 3000):
         b = a * 10 // 9
         c = np.searchsorted(low, [a, b], "right") - 1

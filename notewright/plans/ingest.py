@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from notewright.config import Config
 from notewright.functions.chunking import chunks as chunk_files
 from notewright.functions.chunking import stored_text
-from notewright.functions.text import is_blank
+from notewright.functions.text import decoded, is_blank
 from notewright.operators.changes import changed_files, deleted_sources, indexed_hashes, replace_sources, scannable, with_hash, without_sources
 from notewright.operators.embedding import Embedder, HashedWords, RemoteEmbedder, embed_chunks
 from notewright.operators.search import clamp, nearest
 from notewright.sources.store import Store
-from notewright.sources.vault import read_vault
+from notewright.sources.vault import read_vault, without_globs
 
 
 @dataclass(frozen=True)
@@ -45,13 +45,15 @@ class Indexer:
         return self._apply(files, deleted_sources(files, self.store.hashes())).chunks
 
     def index_file(self, source: str) -> int:
-        """Index one file if it has changed; the number of new chunks."""
-        return self.index_sources(self.spark.createDataFrame([(source,)], "source string"))
-
-    def index_sources(self, sources: DataFrame) -> int:
-        """Index those of the files that have changed."""
-        files = scannable(self.files(), self.config.exclude).join(sources.select("source").distinct(), "source", "left_semi")
-        return self._apply(files, None).chunks
+        """Index one file, which alone is read, if it has changed; the number of new chunks. A lost file has none."""
+        if not self.store.exists(source):
+            return 0
+        return self._apply(scannable(read_vault(self.spark, without_globs(source)), self.config.exclude), None).chunks
+
+    def index_batch(self, events: DataFrame) -> int:
+        """Index the files (source, content as bytes) of a batch of the watch that have changed."""
+        files = with_hash(events.select("source", decoded(F.col("content")).alias("content")))
+        return self._apply(scannable(files, self.config.exclude).dropDuplicates(["source"]), None).chunks
 
     def index_frame(self, files: DataFrame) -> Run:
         """Index files (source, content) that come from elsewhere."""

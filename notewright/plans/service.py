@@ -142,7 +142,7 @@ def index_main(arguments: list[str] | None = None, spark: SparkSession | None =
     if given.watch or given.daemon:
         from notewright.streaming.watch import index_stream, watch_files
 
-        stream = index_stream(watch_files(indexer.spark, config.vault_root, config), indexer.index_sources, f"{config.store_path}/watch", available_now=False)
+        stream = index_stream(watch_files(indexer.spark, config.vault_root, config), indexer.index_batch, f"{config.store_path}/watch", available_now=False)
         stream.awaitTermination()
     return 0
 

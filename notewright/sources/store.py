@@ -70,6 +70,10 @@ class Store:
         self._fs.delete(self._at("CURRENT"), False)
         self._fs.rename(fresh, self._at("CURRENT"))
 
+    def exists(self, path: str) -> bool:
+        at = self._path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
     def remove(self, path: str) -> None:
         """Delete a folder of unfinished work."""
         self._fs.delete(self._path(path), True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,11 @@ def _read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     return with_hash(raw.select("source", decoded(F.col("bytes")).alias("content"), "modified_at")).select("source", "content", "content_hash", "modified_at")
 
 
+def without_globs(path: str) -> str:
+    """A path that Spark takes for itself, whatever signs are in it."""
+    return re.sub(r"([\\[\]{}*?])", r"\\\1", path)
+
+
 def inside(root: str, path: str) -> Path:
     """The file that path (absolute, or relative to root) names; an error if it is outside of root."""
     base = Path(root).resolve()

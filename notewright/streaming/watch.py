@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from notewright.config import Config
 from notewright.operators.changes import is_excluded, is_markdown
 
+BINARY = "path string, modificationTime timestamp, length long, content binary"
 EVENTS = "source string, kind string, micros long"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -54,7 +55,7 @@ def watch_files(spark: SparkSession, root: str, config: Config = Config()) -> Da
 
     The file source sees each path once; a changed file is seen when it is written under a new name or found by
     the next full run."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    files = spark.readStream.schema(BINARY).format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     source = F.regexp_replace("path", "^file:(?://)?", "")
     rows = files.select(source.alias("source"), "content", F.unix_micros("modificationTime").alias("micros"))
     return rows.where(is_markdown(F.col("source")) & ~is_excluded(F.col("source"), config.exclude))

@@ -174,6 +174,9 @@ def test_service(indexer, vault):
     assert call("vault_stats")["unique_files"] == 2
     assert call("reindex_file", filepath="one.md")["indexed"] == 0
     assert call("index_stats")["indexed_files"] == 2
+    odd = vault / "a b" / "[x] {y}*.md"
+    odd.write_text("odd name")
+    assert call("reindex_file", filepath=str(odd))["indexed"] == 1 and call("reindex_file", filepath="lost.md")["indexed"] == 0
     out = io.StringIO()
     service.serve(['{"id": 1, "method": "tools/list"}\n', "not json\n", '{"method": "note"}\n', '{"id": 2, "method": "x"}\n', '{"id": 3, "method": "initialize"}\n'], out)
     answers = [json.loads(x) for x in out.getvalue().splitlines()]
@@ -181,6 +184,16 @@ def test_service(indexer, vault):
     assert [a.get("error", {}).get("code") for a in answers[1:]] == [-32700, -32601, None]
 
 
+def test_watch_indexes_new_files(spark, indexer, vault, tmp_path):
+    from notewright.streaming.watch import index_stream, watch_files
+
+    index_stream(watch_files(spark, str(vault)), indexer.index_batch, str(tmp_path / "watch")).awaitTermination()
+    assert sorted(r.source for r in indexer.store.hashes().collect()) == [str(vault / "a b/z \u00e9.md"), str(vault / "one.md")]
+    (vault / "two.md").write_text("later")
+    index_stream(watch_files(spark, str(vault)), indexer.index_batch, str(tmp_path / "watch")).awaitTermination()
+    assert indexer.store.chunks().count() == 4
+
+
 def test_stream_keeps_state_between_batches(spark, tmp_path):
     from notewright.streaming.watch import debounce_stream
 

@@ -171,6 +171,11 @@ def test_pages_without_an_article():
     assert extract_chunk([html, "", "plain", "<p>open <b>never closed", "<main><p>in main</p></main><p>out</p>"]) == ["Main words", "", "plain", "open never closed", "in main"]
 
 
+def test_layout_words_of_what_holds_the_article():
+    body = "<div class='site has-sidebar'><main class=with-comments><article class='post menu-open'><h1>T</h1><p>x</p></article><div id=comments><article class=comment><h1>Re</h1><p>much longer than the article itself</p></article></div></main><div class=sidebar>s</div></div>"
+    assert extract_chunk([f"<body class='no-sidebar'>{body}</body>", f"<body>{body.replace('article', 'div')}"]) == ["T\n\nx"] * 2
+
+
 def test_odd_markup():
     (outer,) = parse("<div><p>a<div>b</p>c</div><a href='>'>d</a><script>x</").children
     assert [c.name for c in outer.children] == ["p", "div", ""] and outer.children[2].text == "d"

@@ -32,4 +32,15 @@ SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.turn, r.turn) AS ca
 FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn
 """
 
-ORACLES: dict[str, str] = {"op1_tool_call_linking": TOOL_CALLS, "op3_benchmark_decontamination": DECONTAMINATION}
+JACCARD = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [array_to_string(w[p : p + 2], ' ') for p in range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+r AS (SELECT DISTINCT a AS node, a AS to_node FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.to_node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(to_node) AS component_id FROM r GROUP BY node) c USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_tool_call_linking": TOOL_CALLS, "op3_benchmark_decontamination": DECONTAMINATION, "op9_ngram_jaccard_join": JACCARD}

@@ -13,6 +13,7 @@ from notewright.config import Config
 from notewright.functions import chunking
 from notewright.functions.text import decoded, is_blank, split_words, strip, without_front_matter
 from notewright.operators import changes, embedding, folds, notes, search, stats
+from notewright.sources.vault import spread
 
 CONFIG = Config()
 QUERY_IDS, HITS = (0, 7, 42), 5
@@ -23,7 +24,7 @@ def _table(spark, sf, name) -> DataFrame:
 
 
 def _files(spark, sf) -> DataFrame:
-    docs = _table(spark, sf, "documents")
+    docs = spread(_table(spark, sf, "documents").select("doc_id", "source", "text"))
     return docs.select(F.concat(F.lit("/vault/"), "source", F.lit("/"), F.col("doc_id"), F.lit(".md")).alias("source"), F.col("text").alias("content"), "doc_id")
 
 
@@ -341,7 +342,7 @@ def route_notes(spark, sf):
 
 def session_scan(spark, sf):
     """Documents as turns of the conversations of their source; the sample texts hold few cue words, so two are put in."""
-    docs = _table(spark, sf, "documents")
+    docs = spread(_table(spark, sf, "documents").select("doc_id", "source", "text"))
     text = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("a bug and a decision. ")).otherwise(""), F.col("text"))
     return notes.session_scan(docs.select(F.col("source").alias("conv_id"), text.alias("text")))
 

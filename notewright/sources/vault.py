@@ -43,6 +43,14 @@ def _read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     return with_hash(raw.select("source", decoded(F.col("bytes")).alias("content"), "modified_at")).select("source", "content", "content_hash", "modified_at")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it comes in fewer: a file of one row group is one task otherwise.
+
+    A table with splits enough, as any large one has, is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def without_globs(path: str) -> str:
     """A path that Spark takes for itself, whatever signs are in it."""
     return re.sub(r"([\\[\]{}*?])", r"\\\1", path)

@@ -36,24 +36,16 @@ _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def parse_expression(text: str) -> tuple[list[str], list[frozenset[str]]] | None:
-    """(licences named, alternatives that satisfy the expression) of the longest expression at the start of text, or None.
+def parse_expression(text: str, at: int = 0) -> tuple[list[str], list[frozenset[str]]] | None:
+    """(licences named, alternatives that satisfy the expression) of the longest expression at that place of text, or None.
 
     with binds tightest, then and, then or. An identifier and its exception are one licence."""
-    tokens, at = [], 0
-    while m := _TOKEN.match(text, at):
-        tokens.append(m[1])
-        at = m.end()
-    postfix = []
-    for end in range(len(tokens), 0, -1) if len(tokens) <= 64 else (64,):  # words after the expression are given up one by one
-        if (postfix := _to_postfix(tokens[:end])) is not None:
-            break
-    if not postfix:
+    if (postfix := _to_postfix(text, at)) is None:
         return None
     stack: list[list[frozenset[str]]] = []
     for token in postfix:
-        if token not in _BINDS:
-            stack.append([frozenset([token])])
+        if isinstance(token, tuple):
+            stack.append([frozenset(token)])
             continue
         b, a = stack.pop(), stack.pop()
         if token == "or":
@@ -67,38 +59,42 @@ def parse_expression(text: str) -> tuple[list[str], list[frozenset[str]]] | None
     return sorted(set().union(*alternatives)), alternatives
 
 
-def _to_postfix(tokens: list[str]) -> list[str] | None:
-    """Shunting-yard; None if the tokens are no expression."""
-    out, operators, operand_next = [], [], True
-    for token in tokens:
-        t = token.lower()
+def _to_postfix(text: str, at: int) -> list[tuple[str] | str] | None:
+    """Shunting-yard, once from left to right: operands (as tuples) and operators of the longest expression, or None.
+
+    It stops at the first token that can't go on, at the latest at the end of the line, which no token crosses, and
+    goes back to the last place at which the expression was complete."""
+    out, operators, depth, operand_next, complete = [], [], 0, True, None
+    while m := _TOKEN.match(text, at):
+        at, t = m.end(), m[1].lower()
         if t == "(":
             if not operand_next:
-                return None
+                break
             operators.append(t)
+            depth += 1
         elif t == ")":
-            if operand_next:
-                return None
-            while operators and operators[-1] != "(":
+            if operand_next or not depth:
+                break
+            while operators[-1] != "(":
                 out.append(operators.pop())
-            if not operators:
-                return None
             operators.pop()
+            depth -= 1
         elif t in _BINDS:
             if operand_next:
-                return None
+                break
             while operators and operators[-1] != "(" and _BINDS[operators[-1]] >= _BINDS[t]:
                 out.append(operators.pop())
             operators.append(t)
             operand_next = True
         else:
-            if not operand_next:
-                return None
-            out.append(t.rstrip(".:"))
+            name = t.rstrip(".:")
+            if not operand_next or name in _BINDS:
+                break
+            out.append((name,))
             operand_next = False
-    if operand_next or "(" in operators:
-        return None
-    return out + operators[::-1]
+        if not operand_next and not depth:
+            complete = len(out), operators[::-1]  # three operators at most: each binds tighter than the one before
+    return None if complete is None else out[: complete[0]] + complete[1]
 
 
 def _automaton():
@@ -136,7 +132,7 @@ def scan(text: bytes, automaton) -> tuple:
     if tags:
         whole = text.decode("utf-8", "replace")
         for m in _TAG.finditer(whole):
-            if (parsed := parse_expression(whole[m.end() : m.end() + 2000].split("\n", 1)[0])) is not None:
+            if (parsed := parse_expression(whole, m.end())) is not None:
                 expressions.append(whole[m.start() : m.end()].strip())
                 labels.update(parsed[0])
     first, last = (line.count(" ", 1, min(places)), line.count(" ", 1, max(places))) if places else (None, None)

@@ -102,6 +102,14 @@ def test_tags(make):
     assert row.labels == "apache-2.0,mit" and row.n_base == 0 and row.score == 1
 
 
+def test_expressions_of_any_length(make):
+    tag, names = "SPDX-License-Identifier: ", [f"licence-{i}" for i in range(200)]
+    texts = [tag + "MIT" + " word" * 70, tag + " OR ".join(names) + "\nAND zlib", tag + "MIT AND (ISC OR" + " x OR" * 70 + "\nMIT)", tag + "(" * 5000 + "MIT" + ")" * 5000 + " OR ISC", tag + "and."]
+    found = {x.doc_id: x for x in licence_labels(make(texts)).collect()}
+    assert [found[i].labels for i in range(5)] == ["mit", ",".join(sorted(names)), "mit", "isc,mit", ""]
+    assert [found[i].score for i in range(4)] == [1] * 4
+
+
 # Personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

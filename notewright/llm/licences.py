@@ -4,7 +4,7 @@ An Aho-Corasick automaton walks the words of a text once and finds every phrase
 of digits, letters and non-ASCII characters, A-Z lower-cased; between two words stands one space, so punctuation
 and line breaks inside a notice do not matter. Behind the phrase "spdx license identifier" the original text
 holds an expression: identifiers joined by and, or, with and brackets, which a shunting-yard parser turns into
-postfix order and evaluates to the licences named and to the alternatives that satisfy it.
+postfix order and evaluates to the licences named and, where asked for, to the alternatives that satisfy it.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ _BINDS = {"or": 1, "and": 2, "with": 3}
 def parse_expression(text: str, at: int = 0) -> tuple[list[str], list[frozenset[str]]] | None:
     """(licences named, alternatives that satisfy the expression) of the longest expression at that place of text, or None.
 
-    with binds tightest, then and, then or. An identifier and its exception are one licence."""
+    with binds tightest, then and, then or. An identifier and its exception are one licence. Alternatives double with
+    each (a or b) that and joins; who wants the names alone takes licences_named."""
     if (postfix := _to_postfix(text, at)) is None:
         return None
     stack: list[list[frozenset[str]]] = []
@@ -54,9 +55,30 @@ def parse_expression(text: str, at: int = 0) -> tuple[list[str], list[frozenset[
             both = [x | y for x in a for y in b]
         else:
             both = [frozenset(f"{p} with {q}" for p in x for q in y) for x in a for y in b]
-        stack.append(list(dict.fromkeys(both))[:256])
-    alternatives = stack[0]
-    return sorted(set().union(*alternatives)), alternatives
+        stack.append(list(dict.fromkeys(both)))
+    return sorted(_named(postfix)), stack[0]
+
+
+def licences_named(text: str, at: int = 0) -> set[str]:
+    """All licences of the longest expression at that place of text; none if there is no expression."""
+    return _named(_to_postfix(text, at) or [])
+
+
+def _named(postfix: list[tuple[str] | str]) -> set[str]:
+    """The names of the operands, each with its exceptions, without the alternatives. Smaller sets go into larger ones."""
+    stack: list[set[str]] = [set()]
+    for token in postfix:
+        if isinstance(token, tuple):
+            stack.append(set(token))
+            continue
+        b, a = stack.pop(), stack.pop()
+        if token == "with":
+            a = {f"{p} with {q}" for p in a for q in b}
+        else:
+            a, b = (a, b) if len(a) >= len(b) else (b, a)
+            a |= b
+        stack.append(a)
+    return stack[-1]
 
 
 def _to_postfix(text: str, at: int) -> list[tuple[str] | str] | None:
@@ -132,9 +154,9 @@ def scan(text: bytes, automaton) -> tuple:
     if tags:
         whole = text.decode("utf-8", "replace")
         for m in _TAG.finditer(whole):
-            if (parsed := parse_expression(whole, m.end())) is not None:
+            if named := licences_named(whole, m.end()):
                 expressions.append(whole[m.start() : m.end()].strip())
-                labels.update(parsed[0])
+                labels.update(named)
     first, last = (line.count(" ", 1, min(places)), line.count(" ", 1, max(places))) if places else (None, None)
     score = 1.0 if base or expressions else 1 - 0.5 ** (2 * more + 0.5 * hints)
     return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), score, expressions

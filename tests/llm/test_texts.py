@@ -110,6 +110,16 @@ def test_expressions_of_any_length(make):
     assert [found[i].score for i in range(4)] == [1] * 4
 
 
+def test_every_licence_of_many_alternatives_is_named(make):
+    groups = " AND ".join(f"(a{i} OR b{i})" for i in range(9))
+    tag, many = "SPDX-License-Identifier: ", [f"licence-{i}" for i in range(400)]
+    texts = [tag + groups, tag + " or ".join(many), tag + " AND ".join(f"(a{i} WITH e OR b)" for i in range(60))]
+    found = {x.doc_id: x.labels.split(",") for x in licence_labels(make(texts)).collect()}
+    assert found[0] == sorted(f"{k}{i}" for k in "ab" for i in range(9)) and found[1] == sorted(many)
+    assert found[2] == sorted(["b", *(f"a{i} with e" for i in range(60))])
+    assert parse_expression(groups)[0] == found[0] and len(parse_expression(groups)[1]) == 512
+
+
 # Personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -16,7 +16,7 @@ from notewright.operators.changes import changed_files, deleted_sources, indexed
 from notewright.operators.embedding import Embedder, HashedWords, RemoteEmbedder, embed_chunks
 from notewright.operators.search import clamp, nearest
 from notewright.sources.store import Store
-from notewright.sources.vault import read_vault, without_globs
+from notewright.sources.vault import read_paths, read_vault, without_globs
 
 
 @dataclass(frozen=True)
@@ -55,6 +55,19 @@ class Indexer:
         files = with_hash(events.select("source", decoded(F.col("content")).alias("content")))
         return self._apply(scannable(files, self.config.exclude).dropDuplicates(["source"]), None).chunks
 
+    def index_events(self, events: DataFrame) -> int:
+        """Index the files, which alone are read, of a batch of events (source, ...) that have changed.
+
+        Texts are staged: a file that is edited meanwhile would else get the hash of one text and the chunks of another."""
+        paths = [r.source for r in events.select("source").distinct().collect()]  # names, not texts
+        if not paths:
+            return 0
+        files, staging = self._stage(scannable(read_paths(self.spark, paths), self.config.exclude))
+        try:
+            return self._apply(files, None).chunks
+        finally:
+            self.store.remove(staging)
+
     def index_frame(self, files: DataFrame) -> Run:
         """Index files (source, content) that come from elsewhere."""
         return self._apply(scannable(with_hash(files), self.config.exclude), None)
@@ -87,11 +100,11 @@ class Indexer:
         self.store.prune(self.config.max_backups)
         return Run(count, failed, version)
 
-    def _stage(self, embedded: DataFrame) -> tuple[DataFrame, str]:
+    def _stage(self, rows: DataFrame) -> tuple[DataFrame, str]:
         """Vectors are made once: they are written before the plan that counts and stores them reads them."""
         path = f"{self.store.path}/staging/{uuid.uuid4().hex}"
-        embedded.write.parquet(path)
-        return self.spark.read.schema(embedded.schema).parquet(path), path
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path), path
 
     def search_frame(self, query: str, k: int = 5) -> DataFrame:
         vector = self.embedder.embed([query])[0]

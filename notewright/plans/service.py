@@ -12,7 +12,7 @@ from notewright.config import Config
 from notewright.operators.search import chunks_of, clamp
 from notewright.operators.stats import index_statistics, statistics
 from notewright.plans.ingest import Indexer
-from notewright.sources.vault import inside
+from notewright.sources.vault import inside, is_local
 
 PROTOCOL = "2024-11-05"
 NO_METHOD, BAD_JSON, BAD_REQUEST, BAD_PARAMETERS = -32601, -32700, -32600, -32602
@@ -140,13 +140,23 @@ def index_main(arguments: list[str] | None = None, spark: SparkSession | None =
     indexer = Indexer(spark or SparkSession.builder.appName("notewright").getOrCreate(), config)
     print(f"{indexer.rebuild() if given.reindex else indexer.index_vault()} chunks indexed")
     if given.watch or given.daemon:
-        from notewright.streaming.watch import index_stream, watch_files
-
-        stream = index_stream(watch_files(indexer.spark, config.vault_root, config), indexer.index_batch, f"{config.store_path}/watch", available_now=False)
-        stream.awaitTermination()
+        watch(indexer).awaitTermination()
     return 0
 
 
+def watch(indexer: Indexer):
+    """Starts the stream that indexes files as they are created and modified.
+
+    A vault that only Spark can list is indexed anew by hash at each trigger."""
+    from notewright.streaming.watch import debounce_stream, index_stream, ticks, watch_events
+
+    config, spark = indexer.config, indexer.spark
+    if not is_local(config.vault_root):
+        return index_stream(ticks(spark), lambda _: indexer.index_vault(), f"{config.store_path}/watch-ticks", False, config.watch_interval)
+    events = debounce_stream(watch_events(spark, config.vault_root, config), config.debounce_seconds)
+    return index_stream(events, indexer.index_events, f"{config.store_path}/watch-events", False, config.watch_interval)
+
+
 def serve_main() -> int:
     indexer = Indexer(SparkSession.builder.appName("notewright").getOrCreate(), Config.from_environment())
     Service(indexer).serve(sys.stdin, sys.stdout)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from pathlib import Path
 
@@ -18,14 +19,32 @@ def read_vault(spark: SparkSession, root: str, hidden: bool = False) -> DataFram
     Spark's file source skips names that begin with a dot or underscore. With hidden, a local root is listed by
     the driver and such files are read too: the paths, not the texts, go through the driver."""
     if hidden:
-        paths = sorted(str(p) for p in Path(root).resolve().rglob("*.md") if p.is_file())
-        return _read_paths(spark, paths)
+        return read_paths(spark, list_vault(root, hidden))
     binary = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     source = F.regexp_replace("path", "^file:(?://)?", "")
     return with_hash(binary.select(source.alias("source"), decoded(F.col("content")).alias("content"), F.col("modificationTime").alias("modified_at"))).select("source", "content", "content_hash", "modified_at")
 
 
-def _read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+def is_local(root: str) -> bool:
+    """Whether root is a path of the local file system, by its scheme."""
+    return not re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]*:", root)
+
+
+def list_vault(root: str, hidden: bool = False) -> list[str]:
+    """The sources that read_vault has under a local root, by name alone."""
+    root = re.sub("^file:(?://)?", "", root)
+    base = Path(root).resolve() if hidden else Path(os.path.abspath(root))
+    return sorted(str(p) for p in base.rglob("*.md") if (hidden or not any(map(_skipped, p.relative_to(base).parts))) and p.is_file())
+
+
+def _skipped(name: str) -> bool:
+    """Whether Spark's file source leaves a name out."""
+    return name[0] == "." or name[0] == "_" and "=" not in name
+
+
+def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """files like those of read_vault, by their paths; a path that is lost meanwhile gives no row."""
+
     def load(batches):
         import datetime
 
@@ -35,7 +54,10 @@ def _read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
             rows = []
             for p in batch.column("source").to_pylist():
                 file = Path(p)
-                rows.append((p, file.read_bytes(), datetime.datetime.fromtimestamp(file.stat().st_mtime, datetime.timezone.utc)))
+                try:
+                    rows.append((p, file.read_bytes(), datetime.datetime.fromtimestamp(file.stat().st_mtime, datetime.timezone.utc)))
+                except FileNotFoundError:
+                    continue
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.timestamp("us", "UTC"))], ["source", "bytes", "modified_at"])
 
     listed = spark.createDataFrame([(p,) for p in paths], "source string").repartition(max(1, min(len(paths), 64)))

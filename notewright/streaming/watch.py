@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import os
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from notewright.config import Config
 from notewright.operators.changes import is_excluded, is_markdown
+from notewright.sources.vault import list_vault
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 EVENTS = "source string, kind string, micros long"
@@ -53,15 +58,79 @@ def debounce_stream(events: DataFrame, gap_seconds: float) -> DataFrame:
 def watch_files(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:
     """A stream of files (source, content as bytes, micros) that come up under root: new Markdown files outside of what is excluded.
 
-    The file source sees each path once; a changed file is seen when it is written under a new name or found by
-    the next full run."""
+    The file source sees each path once and a changed file never again: watch_events has the changes too."""
     files = spark.readStream.schema(BINARY).format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     source = F.regexp_replace("path", "^file:(?://)?", "")
     rows = files.select(source.alias("source"), "content", F.unix_micros("modificationTime").alias("micros"))
     return rows.where(is_markdown(F.col("source")) & ~is_excluded(F.col("source"), config.exclude))
 
 
-def index_stream(events: DataFrame, index_batch, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+class Changes(SimpleDataSourceStreamReader):
+    """Events of the files of a local vault, by comparing what stands there at each trigger with what stood there before.
+
+    A change that comes less than `gap` microseconds after the last event of its path is held until then, so that
+    debouncing loses no last edit. The first listing after a start tells of every file as created."""
+
+    def __init__(self, options: dict):
+        self.root, self.hidden, self.gap, self.exclude = options["path"], options["hidden"] == "true", int(options["gap"]), json.loads(options["exclude"])
+        self.seen: dict[str, tuple] = {}
+        self.told: dict[str, int] = {}
+
+    def initialOffset(self) -> dict:
+        return {"micros": 0}
+
+    def listed(self) -> dict[str, tuple]:
+        found = {}
+        for source in list_vault(self.root, self.hidden):
+            if any(x in source for x in self.exclude):
+                continue
+            try:
+                at = os.stat(source)
+            except FileNotFoundError:
+                continue
+            found[source] = at.st_mtime_ns, at.st_ctime_ns, at.st_size, at.st_ino
+        return found
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        now, found, rows = time.time_ns() // 1000, self.listed(), []
+        self.seen = {s: state for s, state in self.seen.items() if s in found}
+        for source, state in found.items():
+            if self.seen.get(source) != state and now - self.told.get(source, -self.gap) >= self.gap:
+                rows.append((source, "modified" if source in self.seen else "created", now))
+                self.seen[source], self.told[source] = state, now
+        self.told = {s: t for s, t in self.told.items() if now - t < self.gap}
+        return iter(rows), {"micros": now} if rows else start
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        """After a start the events between two offsets are not known any more: every file may have changed."""
+        return iter([(source, "modified", end["micros"]) for source in self.listed()])
+
+
+class VaultChanges(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "vault_changes"
+
+    def schema(self) -> str:
+        return EVENTS
+
+    def simpleStreamReader(self, schema) -> Changes:
+        return Changes(dict(self.options))
+
+
+def watch_events(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:
+    """A stream of events (source, kind, micros): Markdown files under a local root that are created or modified."""
+    spark.dataSource.register(VaultChanges)
+    options = {"hidden": "false", "gap": str(config.debounce_seconds * 1_000_000), "exclude": json.dumps(config.exclude)}
+    return spark.readStream.format("vault_changes").options(**options).load(root)
+
+
+def ticks(spark: SparkSession) -> DataFrame:
+    """A stream with a row a second, for what is to be done at each trigger."""
+    return spark.readStream.format("rate").load()
+
+
+def index_stream(events: DataFrame, index_batch, checkpoint: str, available_now: bool = True, seconds: int = 5) -> StreamingQuery:
     """Calls index_batch(batch of events) for each micro-batch; offsets replace the events that a busy indexer would drop."""
     writer = events.writeStream.foreachBatch(lambda batch, _: index_batch(batch)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()

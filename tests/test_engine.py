@@ -194,6 +194,75 @@ def test_watch_indexes_new_files(spark, indexer, vault, tmp_path):
     assert indexer.store.chunks().count() == 4
 
 
+def test_watch_indexes_edited_files(spark, vault, tmp_path):
+    import time
+
+    from notewright.plans.service import watch
+
+    indexer = Indexer(spark, Config(vault_root=str(vault), store_path=str(tmp_path / "store"), watch_interval=1, debounce_seconds=2))
+    indexer.index_vault()
+
+    def until(*texts):
+        end = time.time() + 60
+        while (found := {r.text for r in indexer.store.chunks().collect()}) != set(texts) and time.time() < end:
+            assert stream.exception() is None
+            time.sleep(0.5)
+        assert found == set(texts)
+
+    for text in ("first", "later"):
+        stream = watch(indexer)
+        try:
+            (vault / "one.md").write_text(f"{text} edit")
+            until(f"{text} edit", "gamma\ndelta")
+            (vault / "one.md").write_text(f"{text} edit again")
+            until(f"{text} edit again", "gamma\ndelta")
+        finally:
+            stream.stop()
+
+
+def test_watch_of_a_vault_that_only_spark_lists(spark, vault, indexer, monkeypatch):
+    import time
+
+    from notewright.plans import service
+
+    monkeypatch.setattr(service, "is_local", lambda root: False)
+    indexer.index_vault()
+    (vault / "one.md").write_text("edited")
+    (vault / "a b" / "z é.md").unlink()
+    stream, end = service.watch(indexer), time.time() + 60
+    try:
+        while [r.text for r in indexer.store.chunks().collect()] != ["edited"]:
+            assert time.time() < end and stream.exception() is None
+            time.sleep(0.5)
+    finally:
+        stream.stop()
+
+
+def test_changes_hold_the_last_edit(tmp_path):
+    from notewright.streaming.watch import Changes
+
+    (tmp_path / "a.md").write_text("1")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "b.md").write_text("excluded")
+    changes = Changes({"path": str(tmp_path), "hidden": "true", "gap": "300000", "exclude": '[".git"]'})
+
+    def told(start):
+        rows, end = changes.read(start)
+        return [(s.rsplit("/", 1)[1], kind) for s, kind, _ in rows], end
+
+    rows, at = told(changes.initialOffset())
+    assert rows == [("a.md", "created")]
+    (tmp_path / "a.md").write_text("22")
+    assert told(at) == ([], at)
+    import time
+
+    time.sleep(0.35)
+    rows, later = told(at)
+    assert rows == [("a.md", "modified")] and later != at
+    time.sleep(0.35)
+    assert told(later) == ([], later)
+
+
 def test_stream_keeps_state_between_batches(spark, tmp_path):
     from notewright.streaming.watch import debounce_stream
 

@@ -19,6 +19,7 @@ class Config:
     overlap: int = 64
     watch_interval: int = 5
     debounce_seconds: int = 5
+    hidden: bool = False  #: names that begin with a dot or underscore, of local vaults; the command lines set it
     exclude: tuple[str, ...] = (".obsidian", ".trash", ".git", "__pycache__")
     batch_size: int = 50
     max_backups: int = 2
@@ -38,12 +39,14 @@ class Config:
 
     @classmethod
     def from_environment(cls, environ: dict[str, str] | None = None, **given) -> "Config":
-        """Variables are the upper-cased field names; EXCLUDE_DIRS is a comma-separated list. An empty list excludes nothing."""
+        """Variables are the upper-cased field names; EXCLUDE_DIRS is a comma-separated list. An empty list excludes nothing.
+
+        HIDDEN is on unless it is 0, false or no."""
         environ = os.environ if environ is None else environ
-        values: dict = {}
+        values: dict = {"hidden": environ.get("HIDDEN", "1").lower() not in ("0", "false", "no")}
         for f in fields(cls):
             raw = environ.get("EXCLUDE_DIRS" if f.name == "exclude" else f.name.upper())
-            if raw is None:
+            if raw is None or f.name == "hidden":
                 continue
             values[f.name] = tuple(x for x in raw.split(",") if x) if f.name == "exclude" else int(raw) if f.type in ("int", int) else raw
         return cls(**(values | given))

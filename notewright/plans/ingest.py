@@ -16,7 +16,7 @@ from notewright.operators.changes import changed_files, deleted_sources, indexed
 from notewright.operators.embedding import Embedder, HashedWords, RemoteEmbedder, embed_chunks
 from notewright.operators.search import clamp, nearest
 from notewright.sources.store import Store
-from notewright.sources.vault import read_paths, read_vault, without_globs
+from notewright.sources.vault import is_local, read_paths, read_vault, without_globs
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class Indexer:
         self.embedder = embedder or remote or HashedWords(config.dimension)
 
     def files(self) -> DataFrame:
-        return read_vault(self.spark, self.config.vault_root)
+        return read_vault(self.spark, self.config.vault_root, self.config.hidden and is_local(self.config.vault_root))
 
     def index_vault(self) -> int:
         """Index what is new or changed, drop what is gone; the number of new chunks."""
@@ -48,7 +48,9 @@ class Indexer:
         """Index one file, which alone is read, if it has changed; the number of new chunks. A lost file has none."""
         if not self.store.exists(source):
             return 0
-        return self._apply(scannable(read_vault(self.spark, without_globs(source)), self.config.exclude), None).chunks
+        hidden = self.config.hidden and is_local(source)
+        files = read_paths(self.spark, [source]) if hidden else read_vault(self.spark, without_globs(source))
+        return self._apply(scannable(files, self.config.exclude), None).chunks
 
     def index_batch(self, events: DataFrame) -> int:
         """Index the files (source, content as bytes) of a batch of the watch that have changed."""

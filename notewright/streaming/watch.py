@@ -121,7 +121,7 @@ class VaultChanges(DataSource):
 def watch_events(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:
     """A stream of events (source, kind, micros): Markdown files under a local root that are created or modified."""
     spark.dataSource.register(VaultChanges)
-    options = {"hidden": "false", "gap": str(config.debounce_seconds * 1_000_000), "exclude": json.dumps(config.exclude)}
+    options = {"hidden": str(config.hidden).lower(), "gap": str(config.debounce_seconds * 1_000_000), "exclude": json.dumps(config.exclude)}
     return spark.readStream.format("vault_changes").options(**options).load(root)
 
 

@@ -65,6 +65,21 @@ def test_index_is_incremental(spark, indexer, vault):
     assert indexer.rebuild() == 1
 
 
+def test_hidden_files_are_indexed_and_counted(spark, vault, tmp_path):
+    (vault / "_drafts").mkdir()
+    (vault / ".hid").mkdir()
+    (vault / "_drafts" / "x.md").write_text("draft")
+    (vault / ".hid" / "y.md").write_text("dot")
+    environ = {"VAULT_ROOT": str(vault), "STORE_PATH": str(tmp_path / "store")}
+    indexer = Indexer(spark, Config.from_environment(environ))
+    assert indexer.index_vault() == 6
+    assert {r.text for r in indexer.store.chunks().collect()} > {"hidden", "draft", "dot"}
+    assert Service(indexer).index_stats()["total_md_files"] == len(list(vault.rglob("*.md")))
+    (vault / "_u.md").write_text("edited")
+    assert Service(indexer).reindex_file("_u.md")["indexed"] == 1
+    assert not Config.from_environment(environ | {"HIDDEN": "0"}).hidden
+
+
 def test_failed_files_are_tried_again(spark, vault, tmp_path):
     class Failing(HashedWords):
         def embed(self, texts):

@@ -14,8 +14,8 @@ How all links are found without comparing all documents:
    documents alone that are little else: they are chained by as many edges as there are rows.
 3. The sets at any other leaf, HOT at most, are candidates in pairs. A sketch of a set has the smallest hash
    of each of BINS classes of shingles. A shingle that differs changes one bin, so linked sets differ in no
-   more bins than shingles; and in no more than BINS - ALIKE, but for a chance below 1e-17 (ten standard
-   deviations). Other pairs go. Connected candidates form groups. Each group's whole sets go into a trie
+   more bins than shingles; and they have as many bins equal as a binomial distribution of num / den gives, but
+   for a chance below 1e-17 (ALIKE at most, none at low thresholds). Other pairs go. Connected candidates form groups. Each group's whole sets go into a trie
    (trie_join), which checks every pair exactly or prunes it by a bound. A large group is dealt into chunks
    and every two chunks meet in a task of their own: a task holds two chunks at most.
 4. Components of the exact links.
@@ -40,7 +40,7 @@ from notewright.llm.trie_join import TrieJoin
 from notewright.llm.vectext import mix, segment_sums, shingle_sets, slices
 
 HOT = 16  #: sets that may have a part in common before it says little
-BINS, ALIKE = 64, 20  #: of a sketch: bins, and those that candidates have equal at least
+BINS, ALIKE = 64, 20  #: of a sketch: bins, and those that candidates have equal where the threshold is high
 CHUNK_SETS, CHUNK_SHINGLES = 1000, 1_000_000  #: bounds of half of what a checking task holds
 
 
@@ -98,8 +98,22 @@ def _summaries(width: int):
     return run
 
 
+def _least_alike(num: int, den: int) -> int:
+    """Bins that linked sets have equal at least, but for a chance below 1e-17; ALIKE at most.
+
+    A bin is equal with a chance of num / den at least. The binomial sum is exact: its tail is wider than that of a
+    normal distribution at high thresholds."""
+    below, most = 0, den**BINS // 10**17  # chances times den ** BINS
+    for k in range(ALIKE):
+        below += math.comb(BINS, k) * num**k * (den - num) ** (BINS - k)
+        if below > most:
+            return k
+    return ALIKE
+
+
 def _alike(num: int, den: int):
     """Pairs (a, b) with sizes and sketches: those that may be linked."""
+    apart = BINS - _least_alike(num, den)
 
     def run(batches):
         for batch in batches:
@@ -108,7 +122,7 @@ def _alike(num: int, den: int):
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
             differ = np.count_nonzero(x != y, axis=1)
             most = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (den - num) // (den + num)
-            keep = pa.array(differ <= np.minimum(most, BINS - ALIKE))
+            keep = pa.array(differ <= np.minimum(most, apart))
             yield batch.select(["a", "b"]).filter(keep)
 
     return run

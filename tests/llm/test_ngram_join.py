@@ -59,6 +59,23 @@ def test_against_all_pairs(make, width, num, den, seed):
     assert sorted(tuple(r) for r in got) == brute(texts, ids, width, num, den)
 
 
+@pytest.mark.parametrize(("num", "den", "common", "own"), [(3, 10, 310, 340), (1, 10, 110, 480), (5, 10, 340, 160)])
+def test_sketches_lose_no_links_at_low_thresholds(make, num, den, common, own):
+    texts = []
+    for i in range(12):
+        shared = [f"c{i}x{j}" for j in range(common)]
+        texts += [" ".join(shared + [f"{side}{i}x{j}" for j in range(own)]) for side in "ab"]
+    ids = list(range(len(texts)))
+    got = jaccard_components(make(texts), 1, num, den).collect()
+    assert sorted(tuple(r) for r in got) == brute(texts, ids, 1, num, den) and all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
+def test_least_alike():
+    for num, den in ((8, 10), (90, 100), (99, 100)):
+        assert ngram_join._least_alike(num, den) == ngram_join.ALIKE
+    assert ngram_join._least_alike(3, 10) == 0 and 0 < ngram_join._least_alike(7, 10) < ngram_join.ALIKE
+
+
 def test_chunks_of_a_large_group(make, monkeypatch):
     """The same, when groups are dealt into many chunks of two sets."""
     monkeypatch.setattr(ngram_join, "CHUNK_SETS", 2)

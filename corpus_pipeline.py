@@ -6,6 +6,9 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from notewright.llm.decontaminate import contained_items
 from notewright.llm.ngram_join import jaccard_components
 from notewright.llm.packing import pack_documents
@@ -14,9 +17,21 @@ from notewright.llm.shared import cut, table
 from notewright.llm.toxicity import drop_toxic
 
 
-def _without(docs, ids):
-    """docs without the rows of the given doc_ids, which may be as many as they like; rows without a doc_id stay."""
-    return docs.join(ids.distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+KEY = "row_key"  #: of a row: rows that have it in common are repeats
+
+
+def _keyed(docs):
+    """docs with a key made of doc_id and text, by which stages decide: doc_id may be null, or that of several texts."""
+    return docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def _by_key(docs):
+    return docs.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def _without(keyed, keys):
+    """The rows but those of the given keys, which may be as many as they like."""
+    return keyed.join(keys.distinct().hint("merge"), KEY, "left_anti")
 
 
 def reject_toxic(spark, docs, sf_dir):
@@ -25,14 +40,29 @@ def reject_toxic(spark, docs, sf_dir):
 
 
 def one_of_each_group(spark, docs, sf_dir):
-    """Of each group of documents that links of their five-word shingles join (Jaccard 0.8 or more), the smallest doc_id stays."""
-    groups = jaccard_components(docs, width=5, num=8, den=10)
-    return _without(docs, cut(groups.where("doc_id <> component_id").select("doc_id"), "copies"))
+    """Of each group of documents that links of their five-word shingles join (Jaccard 0.8 or more), the smallest doc_id stays.
+
+    A null doc_id counts as the largest. Of repeated rows (the same doc_id, null too, and text) one stays."""
+    keyed = _keyed(docs)
+    groups = jaccard_components(_by_key(keyed), width=5, num=8, den=10).distinct()
+    groups = cut(groups.where("doc_id is not null").select(F.col("doc_id").alias(KEY), "component_id"), "groups")
+    many = groups.groupBy("component_id").agg(F.count("*").alias("size")).where("size > 1").select("component_id")
+    members = groups.join(many, "component_id")
+    ids = keyed.select(KEY, F.col("doc_id").cast("long").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)
+    members = cut(members.join(ids.hint("merge"), KEY).select("component_id", order.alias("order")), "members")
+    first = members.groupBy("component_id").agg(F.min("order").alias("first"))
+    copies = members.join(first, "component_id").where(f"order.{KEY} <> first.{KEY}").select(f"order.{KEY}")
+    repeats = Window.partitionBy(KEY, "doc_id").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [KEY])
+    kept = _without(keyed, cut(copies, "copies")).withColumn("row_number", F.row_number().over(repeats)).where("row_number = 1")
+    return kept.select(*docs.columns)
 
 
 def decontaminate(spark, docs, sf_dir):
     """Documents that contain 0.8 or more of a benchmark item's five-word shingles go."""
-    return _without(docs, cut(contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "contaminated"))
+    keyed = _keyed(docs)
+    found = contained_items(_by_key(keyed), table(spark, sf_dir, "benchmark"))
+    return _without(keyed, cut(found.select(F.col("doc_id").alias(KEY)), "contaminated")).select(*docs.columns)
 
 
 def redact_personal_data(spark, docs, sf_dir):

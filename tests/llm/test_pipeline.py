@@ -51,3 +51,21 @@ def test_stages(spark, tmp_path):
     assert any("[PHONE]" in (x.text or "") and "[EMAIL]" in x.text for x in inputs["best_fit_packing"].values())
     assert {x.doc_id for x in final} == set(inputs["best_fit_packing"])
     assert sorted(x.length for x in P.run(spark, sf).collect()) == sorted(x.length for x in final)
+
+
+def test_rows_without_an_id_and_repeated_ids_are_judged(spark, tmp_path):
+    passage = " ".join(f"q{i}" for i in range(40))
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = one.replace("a59", "z")
+    rows = [(None, one), (None, one), (None, near), (7, one), (5, near), (1, two), (1, two), (1, three), (None, three), (None, "lone words here and there"), (None, passage), (2, f"x {passage}"), (1, f"y {passage} y"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def found(frame):
+        return sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+
+    clean = P.decontaminate(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and found(clean) == sorted((r for r in rows if passage not in (r[1] or "")), key=str)
+    kept = P.one_of_each_group(spark, clean, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert found(kept) == sorted([(5, near), (1, two), (1, three), (None, "lone words here and there"), (3, None), (4, "")], key=str)

@@ -3,7 +3,8 @@
 The tokenizer's pattern starts a new piece at a single space between two visible characters, whatever
 stands around it, and at a single line feed between two. Texts are therefore cut there and the ids of each
 piece are kept: most pieces of a corpus repeat, and the tokenizer sees only the others. A text with other
-white space beside a space or line feed is encoded whole.
+white space beside a space or line feed, or with the string of one of the tokenizer's added tokens (which it
+gives that token's id), is encoded whole.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.signs = self.tokenizer.model, _byte_signs()
         self.line_feed = self.ids_of("\n")
         self.memo = _Memo(self.ids_of, self.word_ids)
@@ -84,7 +85,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         pieces = text.replace("\n", " \n").split(" ")
-        if len(pieces) == 1:
+        if len(pieces) == 1 or any(t in text for t in self.added):
             return self.ids_of(text)
         if len(self.memo) > MEMO:
             self.memo.clear()

@@ -5,17 +5,20 @@ import zlib
 
 import numpy as np
 import pytest
+from py4j.java_gateway import get_field
+from tokenizers import Tokenizer
 
 from notewright.llm.packing import best_fit, pack_documents, pack_histogram
 from notewright.llm.token_orc import read_token_orc, token_digests, write_token_orc
 from notewright.llm.tokens import Encoder, tokenizer_path
 
 TEXTS = ["Hello world", None, "", "a  b\n\nc", "tabs\tand \n lines", "x" * 3000, "The the the. (Of) it's\nNew line &&& word%%%", "中文 text é　z <|endoftext|>", " lead", "trail ", "Hello world"]
+FAR = 1 << 40  #: numbers from here on are longs to the gateway too
 
 
 @pytest.fixture(scope="module")
 def ids():
-    tokenizer = Encoder(tokenizer_path()).tokenizer
+    tokenizer = Tokenizer.from_file(tokenizer_path())
     return lambda text: np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
 
 
@@ -24,8 +27,10 @@ def test_encoder_is_the_tokenizer():
     encoder = Encoder(tokenizer_path())
     parts = [*"ab'\n\t 1.é<|²٣", "　", "\xa0", "\x1c", "​", "᠎", "  ", "'s", "word", " word", "%%%", "<|endoftext|>", "\r\n", "\U0001f600", "Ünder"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(20_000)]
-    plain = [np.array(x.ids, "<u4").tobytes() for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    plain = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
     assert [encoder.encode(t) for t in texts] == plain
+    assert encoder.encode("<|endoftext|>") == np.array([50256], "<u4").tobytes()
+    assert encoder.encode("a <|endoftext|> b\n<|endoftext|>")[-4:] == np.array([50256], "<u4").tobytes()
 
 
 def test_orc_round_trip(spark, make, tmp_path, ids):
@@ -45,14 +50,47 @@ def test_orc_round_trip(spark, make, tmp_path, ids):
 
 
 def test_orc_files_have_indexes(spark, make, tmp_path):
-    from pyarrow import orc
-
+    """Spark's own ORC library reads stripes, row index and Bloom filters of the files, and prunes row groups by them."""
     path = tmp_path / "orc"
-    write_token_orc(make([f"text {i}" for i in range(50)]), str(path))
-    files = [orc.ORCFile(f) for f in sorted(path.glob("*.orc"))]
-    assert sum(f.nrows for f in files) == 50
-    assert all(f.compression == "ZSTD" and f.row_index_stride == 1000 for f in files if f.nrows)
-    assert all(b"doc_id" in f.read_bytes() for f in path.glob("*.orc"))
+    write_token_orc(make([f"text {i}" for i in range(5000)], [FAR + 2 * i for i in range(5000)]), str(path))
+    jvm, seen = spark._jvm, 0
+    for f in path.glob("*.orc"):
+        conf = spark._jsc.hadoopConfiguration()
+        file = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert file.getCompressionKind().toString() == "ZSTD" and file.getRowIndexStride() == 1000
+        names = list(file.getSchema().getFieldNames())
+        column = names.index("doc_id") + 1
+        assert list(file.getSchema().getChildren())[column - 1].toString() == "bigint"
+        rows = file.rows()
+        for i, stripe in enumerate(file.getStripes()):
+            footer = rows.readStripeFooter(stripe)
+            kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+            assert {(column, "ROW_INDEX"), (column, "BLOOM_FILTER_UTF8")} <= kinds
+            assert footer.getColumns(column).getKind().toString() == "DIRECT_V2"  # run lengths
+            assert file.getStripeStatistics().get(i).getColumnStatistics()[column].getMinimum() is not None
+            seen += stripe.getNumberOfRows()
+        rows.close()
+    assert seen == 5000
+    # An even number is in one group of 1000 rows; an odd one in none, by the Bloom filters.
+    whole, one, none = (_rows_read(spark, path, x) for x in (None, FAR + 2 * 1234, FAR + 2 * 1234 + 1))
+    assert whole == 5000 and 0 < one <= 1000 and none == 0
+
+
+def _rows_read(spark, path, doc_id):
+    """Rows that the ORC reader hands out under a search argument for doc_id."""
+    jvm, count = spark._jvm, 0
+    sarg = jvm.org.apache.hadoop.hive.ql.io.sarg
+    for f in path.glob("*.orc"):
+        file = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        options = file.options()
+        if doc_id is not None:
+            kind = getattr(jvm, "org.apache.hadoop.hive.ql.io.sarg.PredicateLeaf$Type").LONG
+            options = options.searchArgument(sarg.SearchArgumentFactory.newBuilder().startAnd().equals("doc_id", kind, doc_id).end().build(), spark._sc._gateway.new_array(jvm.java.lang.String, 0))
+        rows, batch = file.rows(options), file.getSchema().createRowBatch()
+        while rows.nextBatch(batch):
+            count += get_field(batch, "size")
+        rows.close()
+    return count
 
 
 def test_orc_of_repeated_rows_and_of_none(spark, make, tmp_path):

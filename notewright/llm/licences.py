@@ -14,7 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from notewright.llm.shared import parts, text_bytes, with_texts
+from notewright.llm.shared import arrow, parts, text_bytes, with_texts
 
 #: Phrases whose places count, with their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -180,4 +180,4 @@ def licence_labels(docs: DataFrame) -> DataFrame:
     A null or empty text has no words and scores 0; repeated rows each give a row; a null doc_id stays null;
     other columns are ignored."""
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return with_texts(docs).mapInArrow(_scan_all, schema)
+    return arrow(with_texts(docs), _scan_all, schema)

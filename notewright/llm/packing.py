@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notewright.llm.shared import cut, with_texts
+from notewright.llm.shared import arrow, cut, with_texts
 from notewright.llm.tokens import encoded, tokenizer_path
 
 ROUNDS, STEP = 2, 0.03  #: of the multiplicative weights: rounds for each length, and how fast prices fall
@@ -189,10 +189,10 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str | None
 
     A null or empty text is one piece of the end id. Repeated rows are packed as often as they stand there;
     a null doc_id stays null; an empty table gives no rows; other columns are ignored."""
-    pieces = cut(with_texts(docs).mapInArrow(_pieces(tokenizer or tokenizer_path(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"), "pieces")
+    pieces = cut(arrow(with_texts(docs), _pieces(tokenizer or tokenizer_path(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"), "pieces")
     counts = cut(pieces.groupBy("part", "length").count(), "piece-counts")
     histogram = {int(k): int(v) for k, v in counts.groupBy("length").agg(F.sum("count")).collect()}  # `capacity` rows at most
     places = _places(pack_histogram(histogram, capacity))
     before = counts.select("part", "length", F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     ranked = pieces.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_assign(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return arrow(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), _assign(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

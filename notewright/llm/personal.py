@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from notewright.llm.boosting import BoostedTrees
-from notewright.llm.shared import parts, with_texts
+from notewright.llm.shared import arrow, parts, with_texts
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION, SEED, EXAMPLES = 0.99, 11, 1600
@@ -227,7 +227,7 @@ def personal_spans(docs: DataFrame, selector: Selector | None = None) -> DataFra
     """One row for each of docs (doc_id, text): doc_id, base and spans (all), in code points, by kind as in KINDS and start.
 
     A null or empty text has no spans; repeated rows each give a row; a null doc_id stays null; other columns are ignored."""
-    return with_texts(docs).mapInArrow(_find_all(selector or Selector()), _SCHEMA)
+    return arrow(with_texts(docs), _find_all(selector or Selector()), _SCHEMA)
 
 
 def _redact_all(selector: Selector, names: list[str]):
@@ -245,4 +245,4 @@ def _redact_all(selector: Selector, names: list[str]):
 
 def redact_documents(docs: DataFrame, selector: Selector | None = None) -> DataFrame:
     """docs with each found span in text replaced by its kind, and n_chars (if there) counted anew; a null text stays null."""
-    return docs.mapInArrow(_redact_all(selector or Selector(), docs.columns), docs.schema)
+    return arrow(docs, _redact_all(selector or Selector(), docs.columns), docs.schema)

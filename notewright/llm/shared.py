@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own where it is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir; a folder of our own where it is unset and the master is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local") or "local-cluster" in spark.conf.get("spark.master"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="notewright-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -48,6 +50,47 @@ def with_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+BATCH_BYTES = 4 << 20  #: of an Arrow batch, about: 10,000 texts may be long
+
+
+def arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of a bounded size; a Python worker gives its free memory back after each task."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+
+    def task(batches):
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def _give_back() -> None:
+    """Workers stay for the tasks of later stages, and so would the pages that they no longer use."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+_kept: dict[str, dict] = {}
+
+
+def kept(operation: str) -> dict:
+    """What an operation keeps in a Python worker from task to task. What others kept goes: a worker holds the tables of one."""
+    for other in [k for k in _kept if k != operation]:
+        del _kept[other]
+    return _kept.setdefault(operation, {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

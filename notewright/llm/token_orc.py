@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm.shared import with_texts
+from notewright.llm.shared import arrow, with_texts
 from notewright.llm.tokens import encoded, tokenizer_path
 
 SCHEMA = "part int, doc_id long, before long, n_tokens long, ids array<int>"
@@ -46,7 +46,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str | None = None) ->
     rows = with_texts(docs)
     ordered = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": INDEX_ROWS, "orc.stripe.size": STRIPE_BYTES, "orc.compress": "ZSTD"}
-    ordered.mapInArrow(_ids(tokenizer or tokenizer_path()), SCHEMA).write.options(**options).orc(path)
+    arrow(ordered, _ids(tokenizer or tokenizer_path()), SCHEMA).write.options(**options).orc(path)
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
@@ -70,5 +70,5 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
         firsts.append((part, total))
         total += ids
     first = F.broadcast(spark.createDataFrame(firsts, "part int, first long"))
-    read = tokens.mapInArrow(_digests, "part int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    read = arrow(tokens, _digests, "part int, doc_id long, before long, n_tokens long, ids_crc32 long")
     return read.join(first, "part").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -13,7 +13,7 @@ from array import array
 
 import numpy as np
 
-from notewright.llm.shared import parts
+from notewright.llm.shared import kept, parts
 
 END = 2  #: the id that ends each document
 MEMO = 600_000  #: pieces kept at most; a full memo is emptied
@@ -97,13 +97,10 @@ class Encoder:
         return b"".join(ids)
 
 
-_encoders: dict[str, Encoder] = {}  # a Python worker runs many tasks
-
-
 def encoded(batches, path: str):
     """(batch, list of ids as bytes, with END) for parts of the batches of a bounded size."""
-    encoder, end = _encoders.setdefault(path, None) or Encoder(path), np.array([END], "<u4").tobytes()
-    _encoders[path] = encoder
+    encoders, end = kept("tokens"), np.array([END], "<u4").tobytes()
+    encoder = encoders[path] = encoders.get(path) or Encoder(path)
     for batch in parts(batches):
         texts, ids, start, size = batch.column("text"), [], 0, 0
         for i, text in enumerate(texts.to_pylist()):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.shared import parts, text_bytes, with_texts
+from notewright.llm.shared import arrow, parts, text_bytes, with_texts
 from notewright.llm.vectext import mix, ranges_hash, slices, word_ranges
 
 SAMPLE = 4000  #: labelled documents that the field is trained on, at most
@@ -266,7 +266,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Field | None = None) ->
     A null or empty text scores as one without any telling word. Repeated rows each give a row; a null doc_id
     stays null; without labels of both kinds the score is a constant under 0.5; other columns are no input."""
     model = model or train_on_sample(docs, labels)
-    scored = with_texts(docs).mapInArrow(_scores(model), "doc_id long, score double, spans array<struct<start: long, end: long, p: double>>")
+    scored = arrow(with_texts(docs), _scores(model), "doc_id long, score double, spans array<struct<start: long, end: long, p: double>>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
 
 
@@ -282,4 +282,4 @@ def _clean(model: Field):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, model: Field | None = None) -> DataFrame:
     """The rows of docs, with all their columns, that are not predicted to be toxic."""
-    return docs.mapInArrow(_clean(model or train_on_sample(docs, labels)), docs.schema)
+    return arrow(docs, _clean(model or train_on_sample(docs, labels)), docs.schema)

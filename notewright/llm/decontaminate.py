@@ -1,16 +1,17 @@
-"""Benchmark decontamination: short test items inside long documents, by MinHash over blocks and exact containment.
+"""Benchmark decontamination: short test items inside long documents, by MinHash containment search and exact containment.
 
 Words are runs of letters and digits (ASCII punctuation, signs and white space separate), lower-cased; an item
 is in a document if the document has `num / den` of the item's distinct word shingles or more. Everything runs in
 DataFrame functions.
 
-Items are partitioned by size. If an item of q shingles is contained, at most m = q - ceil(q * num / den) are
-missing; an edit inside the item costs width - 1 shingles at least, so the others form at most
-m // (width - 1) + 1 runs and the longest run has a known least length. Each size class has a block width w with
-2 w - 1 no longer than that run (4 at most, 1 where an item repeats shingles). A document's shingle hashes are
-cut into blocks of w, an item's into all windows of w, and each gives its minimum hash: a run of 2 w - 1 common
-shingles covers a whole block of the document, whose minimum is then that of a window of the item. Every block
-that shares a minimum with an item is verified against the document's whole shingle set.
+Items are partitioned by size. Of an item of q shingles a document must have c = ceil(q * num / den), so of any
+q - c + 1 of them it has one at least. The signature of the item are the q - c + 1 smallest hashes: a bottom-k
+MinHash whose k is that of the item's size class, so that no contained item is missed, whatever order or
+fragments its shingles stand in. A document's shingles are looked up among the signatures of all items, and every
+document and item that meet are verified against the whole shingle sets.
+
+Signatures are broadcast where they and the items' sets take BROADCAST bytes at most. Beyond that, documents and
+signatures meet by one shuffle of shingles, and the sets of those that met by another.
 
 Odd cases: null or empty texts and items match nothing; an item of fewer than `width` words is searched as one
 shingle of its own length; repeated documents or items give one row for each pair of ids; null ids are left out;
@@ -22,10 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notewright.llm.components import apart
 from notewright.llm.shared import cut
 
-BLOCKS = (1, 2, 4)  #: block widths of the size classes
-MINIMA = 500_000  #: of the items in a broadcast; more items go in several passes
+BROADCAST = 64 << 20  #: bytes of signatures and shingle sets of all items in a broadcast
+ROW = 48  #: bytes of a broadcast row besides its arrays, about
 #: A fixed pattern: one or more ASCII characters that are neither digit nor letter (after lower-casing).
 APART = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -40,51 +42,30 @@ def _shingles(words: str, width: int) -> str:
     return f"if(size({words}) >= {width}, transform(sequence(1, size({words}) - {width - 1}), i -> xxhash64(slice({words}, i, {width}))), cast(array() as array<bigint>))"
 
 
-def _minima(hashes: str, w: int, step: int) -> str:
-    """Minimum hashes of blocks of w, one each `step`; the class is mixed in."""
-    of = f"element_at({hashes}, i)" if w == 1 else f"array_min(slice({hashes}, i, {w}))"
-    return f"if(size({hashes}) >= {w}, transform(sequence(1, size({hashes}) - {w - 1}, {step}), i -> {of} ^ {w}L), cast(array() as array<bigint>))"
-
-
-def _block(q: str, distinct: str, width: int, num: int, den: int) -> str:
-    """SQL for the block width of an item of q shingles."""
-    missing = f"({q} - ({q} * {num} + {den - 1}) div {den})"
-    run = f"((({q} - {missing}) + {missing} div {max(width - 1, 1)}) div ({missing} div {max(width - 1, 1)} + 1))"
-    half = f"(({run} + 1) div 2)"
-    return f"case when {q} > {distinct} or {half} < 2 then 1 when {half} < 4 then 2 else 4 end"
-
-
-def _items(items: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """A row for each item and minimum: item_id, width, block, hashes (distinct), minimum."""
+def _signatures(items: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """A row for each item: item_id, width, hashes (distinct), minima (its signature)."""
     split = items.select(F.col("item_id").cast("long").alias("item_id"), F.expr(f"transform(array({words('cast(text as string)')}), w -> named_struct('w', w, 'k', least(size(w), {width})))[0]").alias("s"))
     split = split.where("item_id is not null and s.k > 0").select("item_id", F.col("s.w").alias("w"), F.col("s.k").alias("width"))
-    hashed = split.withColumn("list", F.expr("transform(sequence(1, size(w) - width + 1), i -> xxhash64(slice(w, i, width)))"))
-    hashed = hashed.select("item_id", "width", "list", F.array_distinct("list").alias("hashes"))
-    hashed = hashed.withColumn("block", F.expr(_block("size(list)", "size(hashes)", width, num, den)))
-    minima = "case " + " ".join(f"when block = {w} then {_minima('list', w, 1)}" for w in BLOCKS) + " end"
-    return hashed.select("item_id", "width", "block", "hashes", F.explode(F.array_distinct(F.expr(minima))).alias("minimum"))
+    hashed = split.select("item_id", "width", F.expr("array_sort(array_distinct(transform(sequence(1, size(w) - width + 1), i -> xxhash64(slice(w, i, width)))))").alias("hashes"))
+    least = f"cast(size(hashes) - (size(hashes) * {num} + {den - 1}) div {den} + 1 as int)"
+    return hashed.withColumn("minima", F.expr(f"slice(hashes, 1, {least})"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for each item (item_id, text) contained in a document (doc_id, text)."""
-    minima = cut(_items(items, width, num, den), "item-minima")
-    classes = sorted(tuple(r) for r in minima.select("width", "block").distinct().collect())  # width times BLOCKS at most
-    passes = max(1, -(-minima.count() // MINIMA))
+    signatures = cut(_signatures(items, width, num, den), "signatures")
+    of_all = signatures.agg(F.sum(F.size("minima") * F.lit(ROW) + F.size("hashes") * F.lit(8) + F.lit(ROW)).alias("bytes"), F.sort_array(F.collect_set("width")).alias("widths")).first()  # `width` widths at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    found = None
-    for k in sorted({k for k, _ in classes}):
-        blocks = [w for j, w in classes if j == k]
-        mins = f"array_distinct(concat({', '.join(_minima('h', w, w) for w in blocks)}))"
-        # Each inner transform over an array of one element keeps a value that is used many times.
-        all_of = f"transform(array({words('text')}), w -> transform(array({_shingles('w', k)}), h -> named_struct('hashes', h, 'minima', {mins}))[0])[0]"
-        hashed = rows.select("doc_id", F.expr(all_of).alias("s"))
-        exploded = hashed.select("doc_id", F.col("s.hashes").alias("of_doc"), F.explode("s.minima").alias("minimum"))
-        for part in range(passes):
-            some = minima.where(F.col("width") == k).where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == part)
-            hits = exploded.join(F.broadcast(some.select("item_id", "minimum", "hashes")), "minimum")
-            pairs = hits.select("doc_id", "item_id", F.size(F.array_intersect("of_doc", "hashes")).cast("long").alias("n_shared"), F.size("hashes").cast("long").alias("n_item")).where(F.col("n_shared") * den >= F.col("n_item") * num)
-            found = pairs if found is None else found.unionByName(pairs)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long")
-    best = found.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
+    # A transform over an array of one element keeps a value that is used many times.
+    shingles = ", ".join(_shingles("w", k) for k in of_all["widths"] or [width])
+    hashed = rows.select("doc_id", F.expr(f"transform(array({words('text')}), w -> array_distinct(concat({shingles})))[0]").alias("of_doc"))
+    # explode_outer: the filter that the optimizer puts under a plain explode would hash every document twice more.
+    looked_up, sets = signatures.select(F.explode("minima").alias("hash"), "item_id"), signatures.select("item_id", "hashes")
+    if (of_all["bytes"] or 0) <= BROADCAST:
+        met = hashed.select("doc_id", "of_doc", F.explode_outer("of_doc").alias("hash")).join(F.broadcast(looked_up), "hash").join(F.broadcast(sets), "item_id")
+    else:
+        met = hashed.select("doc_id", F.explode_outer("of_doc").alias("hash")).join(looked_up.hint("merge"), "hash").select("doc_id", "item_id").distinct()
+        met = hashed.join(apart(cut(met, "met"), "doc_id").hint("merge"), "doc_id").join(sets.hint("merge"), "item_id")
+    pairs = met.select("doc_id", "item_id", F.size(F.array_intersect("of_doc", "hashes")).cast("long").alias("n_shared"), F.size("hashes").cast("long").alias("n_item")).where(F.col("n_shared") * den >= F.col("n_item") * num)
+    best = pairs.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
     return best.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))

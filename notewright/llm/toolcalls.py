@@ -28,12 +28,15 @@ ID = ["conv_id", "call_id"]
 def _doubled(edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) where each call has one dependence at most: up is `level` steps above."""
     state = cut(edges.select(*ID, F.col("needs").alias("up"), F.when(F.col("needs").isNull(), 0).otherwise(1).cast("long").alias("level")), "levels")
-    calls = state.count()
+    calls, done, going = state.count(), state.where("up is null"), state.where("up is not null")
     for _ in range(max(1, calls).bit_length() + 1):
-        if state.where("up is not null").isEmpty():
+        if going.isEmpty():
             break
-        above = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("more"))
-        state = cut(state.join(above.hint("merge"), ["conv_id", "up"], "left").select(*ID, F.col("up2").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels")
+        # Finished calls are only looked up, by their unique identifier: their empty pointers are not joined.
+        above = done.unionByName(going).select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("more"))
+        state = cut(going.join(above.hint("merge"), ["conv_id", "up"]).select(*ID, F.col("up2").alias("up"), (F.col("level") + F.col("more")).alias("level")), "levels")
+        done, going = done.unionByName(state.where("up is null")), state.where("up is not null")
+    state = done.unionByName(going)
     return state.select(*ID, F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 

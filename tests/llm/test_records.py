@@ -65,6 +65,15 @@ def test_levels(spark, most):
     assert {i: got[9, str(i)].level for i in needs} == {i: level(i) for i in range(40)} | dict.fromkeys(range(40, 44))
 
 
+def test_one_conversation_with_long_chains_and_many_that_need_one(spark):
+    """Hot keys: chains of 300 calls, 200 calls on one call; very long and repeated arguments."""
+    long = json.dumps({"a": 1, "b": 2, "note": "x" * 200_000})
+    calls = [call(1, str(i), needs=[str(i - 1)] if i else []) for i in range(300)] + [call(1, f"f{i}", needs=["7"]) for i in range(200)] + [call(1, "long", arguments=long)] * 3
+    got = link(spark, calls, [(1, "long", "y" * 100_000, "n")] * 2)
+    assert len(got) == 501 and all(got[1, str(i)].level == i for i in range(300)) and all(got[1, f"f{i}"].level == 8 for i in range(200))
+    assert got[1, "long"].valid and json.loads(got[1, "long"].canonical)["arguments"]["note"] == "x" * 200_000
+
+
 def test_no_calls(spark):
     assert link(spark, [], []) == {}
 
@@ -114,12 +123,32 @@ def test_containment(spark, make):
     assert {(x.doc_id, x.item_id, x.n_shared, x.n_item) for x in got} == expected and len(got) == len(expected) > 60
 
 
-def test_containment_in_passes(spark, make, monkeypatch):
-    monkeypatch.setattr(D, "MINIMA", 7)
-    items = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(6)]
-    texts = [f"before {t} after" for _, t in items]
+def test_containment_by_shuffle(spark, make, monkeypatch):
+    """The same rows, when signatures are too large for a broadcast."""
+    monkeypatch.setattr(D, "BROADCAST", 0)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate((12, 3, 1, 40, 7, 5))]
+    texts = [f"before {t} after" for _, t in items] + ["before w3x0 w3x1 w3x2 w3x3 w3x4", items[0][1] + " x " + items[3][1]]
+    frame = contained_items(make(texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id, x.n_shared, x.n_item) for x in frame.collect()} == brute(list(enumerate(texts)), items)
+    assert "BroadcastExchange" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_in_fragments_are_found(spark, make):
+    """Recall is 1: shingles in fragments of one to three, in any order, with edits between them."""
+    r = random.Random(12)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(n))) for i, n in enumerate((10, 25, 60, 200))]
+    texts = []
+    for _, t in items:
+        w = t.split()
+        for step in (1, 2, 3):
+            fragments = [w[k : k + 4 + step] for k in range(0, len(w) - 4, step)]
+            for lost in (0, 0.1, 0.15, 0.2, 0.3):
+                kept = [f for f in fragments if r.random() >= lost]
+                r.shuffle(kept)
+                texts.append(" zz ".join(" ".join(f) for f in kept))
+    expected = brute(list(enumerate(texts)), items)
     got = contained_items(make(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(x.doc_id, x.item_id) for x in got} == {(i, i) for i in range(6)}
+    assert {(x.doc_id, x.item_id, x.n_shared, x.n_item) for x in got} == expected and 30 < len(expected) < len(texts)
 
 
 def test_containment_of_nothing(spark, make):
@@ -130,8 +159,11 @@ def test_containment_of_nothing(spark, make):
 
 def test_native_plans_have_no_python(spark, make):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
-    plan = contained_items(make(["a"]), items)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    calls = spark.createDataFrame([call(1, "a"), call(1, "b", needs=["a"])], "conv_id long, call_id string, name string, arguments string, depends_on array<string>, level long, output string")
+    results = spark.createDataFrame([(1, "a", "x")], "conv_id long, call_id string, output string")
+    schemas = spark.createDataFrame(SCHEMAS, "name string, field string, type string, required boolean")
+    for frame in (contained_items(make(["a"]), items), link_tool_calls(calls, results, schemas)):
+        assert not re.search("Python|Arrow|Pandas", frame._jdf.queryExecution().executedPlan().toString())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.shared import parts, with_texts
+from notewright.llm.shared import arrow, parts, with_texts
 from notewright.llm.vectext import mix, sums_hash
 
+SAMPLED = 60  #: keys for each block, of which bounds are quantiles
 COARSE = 64  #: bounds of blocks that are looked through at once
 SKETCH = 64  #: hashes of a fingerprint, 8 hexadecimal digits each
 
@@ -124,7 +125,10 @@ def _compare(batches):
     held, out = None, []
     for batch in parts(batches):
         for doc_id, text, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copy"))):
-            own, early, begun = _parsed(text)
+            if held is None or held[1] != text:
+                own, early, begun = _parsed(text)
+            else:  # repeated rows are parsed once; the parse up to the edit is copied before it goes on
+                own, early, begun = held[3], held[4], held[5] if held[2] else held[5].copy()
             if held is not None and not held[2]:
                 edited = edit(held[1], text)
                 held[5].run(edited, len(edited), last=True)
@@ -141,31 +145,35 @@ def _compare(batches):
 def lz_fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each of docs (doc_id, text) with the fingerprints of its text and its edited text; see edit().
 
-    The rows go to blocks of consecutive doc_ids whose bounds are quantiles, and the first row of each block also
-    goes, as a copy, to the end of the block before it; so each block knows every next document and the texts are
-    shuffled once. The next document is the one behind in ascending (doc_id, hash of text); after the last comes
+    The rows go to blocks of consecutive keys (doc_id, hash of text) whose bounds are quantiles, and the first rows of
+    each block also go, as copies, to the end of the block before it; so each block knows every next document, the
+    texts are shuffled once, and rows without a doc_id, or with one that many have, are spread by their texts. The next document is the one behind in ascending (doc_id, hash of text); after the last comes
     the first, which may be the same. A null text is empty; rows with equal doc_ids follow each other by their
     texts' hashes; null doc_ids come first; other columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
     lowest = F.lit(-(2**63))
-    rows = with_texts(docs).select("doc_id", F.coalesce("doc_id", lowest).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.struct(F.coalesce(F.col("doc_id"), lowest).alias("id"), F.xxhash64("text").alias("hash"))
+    rows = with_texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", key)
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*(F.lit(i / blocks) for i in range(blocks)))
-    found = rows.agg(F.min("key").alias("first"), F.percentile_approx("key", shares, 100 * blocks).alias("bounds")).first()
-    if found["first"] is None:
-        return rows.select("doc_id").mapInArrow(lambda batches: iter(()), _SCHEMA)
-    bounds = sorted({found["first"], *found["bounds"]})  # one for each block at most
-    starts = F.array(*(F.lit(b).cast("long") for b in bounds))
-    coarse = F.array(*(F.lit(b).cast("long") for b in bounds[::COARSE]))
+    found = rows.agg(F.min("key").alias("first"), F.count("*").alias("rows")).first()
+    if not found["rows"]:
+        return arrow(rows.select("doc_id"), lambda batches: iter(()), _SCHEMA)
+    # As range partitioning does: bounds are quantiles of a sample, SAMPLED keys a block. They decide where rows go, not what comes out.
+    share = min(1.0, SAMPLED * blocks / found["rows"])
+    chosen = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < F.lit(share * (1 << 20))).select("key.id", "key.hash")
+    sample = sorted(map(tuple, chosen.collect()))
+    bounds = sorted({tuple(found["first"]), *(sample[i * len(sample) // blocks] for i in range(blocks) if sample)})  # one for each block at most
+    pair = lambda b: F.struct(F.lit(b[0]).cast("long").alias("id"), F.lit(b[1]).cast("long").alias("hash"))
+    starts, coarse = F.array(*map(pair, bounds)), F.array(*map(pair, bounds[::COARSE]))
     count = "aggregate({}, 0, (n, b) -> n + if(b <= key, 1, 0))"  # bounds up to the key: first the coarse ones, then between two of them
     at = F.expr(f"(group - 1) * {COARSE} + {count.format(f'slice(starts, (group - 1) * {COARSE} + 1, {COARSE})')} - 1")
     # A row is in its own block; the first ones of a block are at the end of the one before too, those of all at the end of the last.
-    before = F.when(F.col("key") == bounds[0], len(bounds) - 1).when(F.array_contains("starts", F.col("key")), F.col("own") - 1)
+    before = F.when(F.col("key") == pair(bounds[0]), len(bounds) - 1).when(F.array_contains("starts", F.col("key")), F.col("own") - 1)
     placed = rows.withColumn("starts", starts).withColumn("coarse", coarse).withColumn("group", F.expr(count.format("coarse"))).withColumn("own", at).withColumn("before", before)
     both = F.explode(F.expr("if(before is null, array(struct(own as block, false as copy)), array(struct(own as block, false as copy), struct(before as block, true as copy)))"))
     placed = placed.select("doc_id", "key", "text", both.alias("to")).select("doc_id", "key", "text", "to.block", "to.copy")
-    ordered = placed.repartitionById(len(bounds), "block").sortWithinPartitions("copy", "key", F.xxhash64("text"))
-    return ordered.select("doc_id", "text", "copy").mapInArrow(_compare, _SCHEMA)
+    ordered = placed.repartitionById(len(bounds), "block").sortWithinPartitions("copy", "key")
+    return arrow(ordered.select("doc_id", "text", "copy"), _compare, _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

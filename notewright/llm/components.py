@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from notewright.llm.shared import cut
 
 
+def apart(totals: DataFrame, key: str) -> DataFrame:
+    """totals, aggregated by key (a long), as the small side of a join of all rows with the totals of their key.
+
+    The key is computed anew, so both sides of the join are plain shuffles and the adaptive rule for skewed joins can
+    split the rows of a key that many have; it can't where a side comes straight from an aggregation by that key."""
+    return totals.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. Minima come from a partial aggregation, so a hub's neighbours are never gathered."""
+    """One star step. Minima come from a partial aggregation, and a hub's neighbours may be split among tasks."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(apart(least, "u"), "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -20,17 +28,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _ended(edges: DataFrame) -> bool:
+    """Whether each node has one edge up at most and nodes below others have none: then every edge leads to its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("below")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("below")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("below").alias("below")).where("up > 1 or up = 1 and below = 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node that links reach, for each node that has a link to another.
 
-    Nulls and self links are ignored. Each round is written to the shared folder; rounds end when nothing changes."""
+    Nulls and self links are ignored. Each round is written to the shared folder; rounds end when all edges lead to
+    the smallest node of their component."""
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct()
-    before = None
     while True:
-        edges = cut(_star(edges, large=True), "large-star")
-        edges = cut(_star(edges, large=False), "small-star")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
+        edges = cut(_star(_star(edges, large=True), large=False), "stars")
+        if _ended(edges):
             break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -24,8 +24,10 @@ class _Node:
 class TrieJoin:
     """Links sets whose intersection is num/den of their union or more."""
 
-    def __init__(self, sets: list[np.ndarray], num: int = 9, den: int = 10):
-        self.num, self.den, self.parent = num, den, list(range(len(sets)))
+    def __init__(self, sets: list[np.ndarray], num: int = 9, den: int = 10, joined: list | None = None):
+        """joined: of each set, the component that it is known to be in."""
+        first: dict = {}
+        self.num, self.den, self.parent = num, den, [first.setdefault(x, i) for i, x in enumerate(joined or range(len(sets)))]
         words, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         rank = np.empty(len(words), np.int64)
         rank[np.lexsort((words, -count))] = np.arange(len(words))

@@ -148,3 +148,85 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7), (200, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 90, 90: 90, 95: 90, 200: 200, 201: 200}
+
+
+def test_neighbours_of_a_hub_are_split(spark):
+    """Its rows of a join are dealt to several tasks by the adaptive rule, since both sides are plain shuffles."""
+    from notewright.llm.components import _star
+
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = spark.range(1, 20_001, numPartitions=8).selectExpr("id as u", "if(id % 50 = 0, id - 1, 0) as v").where("u <> v")
+        star = _star(edges, large=True)
+        assert star.count() == 20_000
+        assert "skew=true" in star._jdf.queryExecution().executedPlan().toString() or "skew=true" in _final_plan(star)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _final_plan(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_leaves_of_crowded_parts(salts):
+    """Pairs, common rows and open rows of two rounds are those of all rows of a part together, however batches are cut."""
+    import pyarrow as pa
+
+    r = np.random.RandomState(salts)
+    rows = set()  # (part, salt, key, of), in several tasks
+    for part in range(60):
+        many = r.choice([1, 2, 5, ngram_join.HOT, ngram_join.HOT + 1, 60])
+        crowded = r.rand() < 0.5
+        for key in r.permutation(500)[:many].tolist():
+            for _ in range(r.randint(1, 3)):
+                alone = r.rand() < 0.4
+                rows.add((part, 0 if alone or not crowded else 1 + key % salts, key, 7))
+                if not alone and crowded:
+                    rows.add((part, 0, ngram_join.LEAST_KEY, ngram_join.MARK))
+
+    def batches(rows, names):
+        rows = sorted(rows)
+        for i in range(0, len(rows), 7):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[i : i + 7]], pa.int64()) for k in range(4)], names)
+
+    names = ["part", "salt", "key", "of"]
+    first = [x for b in ngram_join._leaves(False)(batches(rows, names)) for x in b.to_pylist()]
+    still = [(x["part"], 0, x["a"], x["of"]) for x in first if x["state"] == ngram_join.OPEN]
+    found = [x for x in first if x["state"] != ngram_join.OPEN] + [x for b in ngram_join._leaves(True)(batches(still, names)) for x in b.to_pylist()]
+    of_part = {}
+    for part, _, key, of in rows:
+        if of != ngram_join.MARK:
+            of_part.setdefault(part, set()).add(key)
+    common = {(p, k) for p, keys in of_part.items() if len(keys) > ngram_join.HOT for k in keys}
+    pairs = {(a, b) for keys in of_part.values() if len(keys) <= ngram_join.HOT for a in keys for b in keys if a < b}
+    assert {(x["part"], x["a"]) for x in found if x["state"] == ngram_join.COMMON} == common
+    assert {(min(x["a"], x["b"]), max(x["a"], x["b"])) for x in found if x["state"] == ngram_join.PAIR} == pairs
+    in_a_part = {}
+    for x in still:
+        in_a_part[x[0]] = in_a_part.get(x[0], 0) + 1
+    assert max(in_a_part.values(), default=0) <= (salts + 1) * ngram_join.HOT + salts + 1
+
+
+def test_sketches_keep_linked_pairs():
+    """Recall of the filter by sketches, which is not exact: 20,000 pairs at the threshold, none lost."""
+    import pyarrow as pa
+
+    r = np.random.RandomState(1)
+    for num, den in ((9, 10), (8, 10)):
+        own = 100 * (den - num) // (den + num) * 2  # of 200 shingles in all, such that num / den are common
+        sets = []
+        for _ in range(10_000):
+            x = r.randint(1, 2**62, 200 + own).astype(np.uint64)
+            sets += [np.sort(x[: 200 + own // 2]), np.sort(np.concatenate([x[:200], x[200 + own // 2 :]]))]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        sketches = [x.tobytes() for x in ngram_join._sketches(bounds, np.concatenate(sets))]
+        n = [len(x) for x in sets]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(range(10_000)), pa.array(n[::2]), pa.array(n[1::2]), pa.array(sketches[::2]), pa.array(sketches[1::2])], ["a", "b", "n_a", "n_b", "sketch_a", "sketch_b"])
+        assert all(den * 200 >= num * (x + y - 200) for x, y in zip(n[::2], n[1::2]))
+        assert sum(b.num_rows for b in ngram_join._alike(num, den)([batch])) == 10_000

@@ -50,7 +50,7 @@ LEAST_SALTS = 16  #: leaves of a crowded part; an eighth of the shuffle's partit
 MARK, LEAST_KEY = -1, -(2**63)  #: of a mark: its `of`, and a key that sorts before others
 PAIR, COMMON, OPEN = 0, 1, 2  #: rows of leaves: a pair of sets, a set with a common part, one whose part isn't decided
 BINS, ALIKE = 64, 20  #: of a sketch: bins, and those that candidates have equal where the threshold is high
-CHUNK_SETS, CHUNK_SHINGLES = 1000, 1_000_000  #: bounds of half of what a checking task holds
+CHUNK_SETS, CHUNK_SHINGLES = 200, 200_000  #: bounds of half of what a checking task holds
 
 
 def _size_classes(num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -13,7 +13,8 @@ from notewright.llm.decontaminate import contained_items
 from notewright.llm.dom import parse
 from notewright.llm.queries import ORACLE_SQL, QUERIES
 from notewright.llm.toolcalls import link_tool_calls
-from notewright.llm.wrappers import extract_chunk, main_texts
+from notewright.llm.treematch import Shapes, matched, nodes
+from notewright.llm.wrappers import extract_chunk, induce, main_texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -227,6 +228,101 @@ def test_pages_frame(spark):
     assert main_texts(frame.limit(0)).count() == 0
 
 
+def plain_matching(a, b):
+    """Simple tree matching as it is defined: the number of matching nodes of two trees."""
+    if (a.name, a.words) != (b.name, b.words):
+        return 0
+    m = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + plain_matching(x, y))
+    return 1 + m[-1][-1]
+
+
+def random_html(r, depth=0):
+    out = []
+    for _ in range(r.randint(0, 4 if depth else 5)):
+        kind = r.random()
+        if kind < 0.4 or depth > 3:
+            out.append(r.choice(["<p>a</p>", "<p></p>", "<ul><li>x</ul>", "text<br>", "<div></div>"]))
+        else:
+            name = r.choice(["div", "div", "section"])
+            out.append(f"<{name} class='{r.choice(['', '', 'k'])}'>{random_html(r, depth + 1)}</{name}>")
+    return "".join(out)
+
+
+def test_matching_is_simple_tree_matching():
+    r, shapes, seen = random.Random(5), Shapes(), set()
+    trees = [parse(random_html(r)) for _ in range(45)]
+    for t in trees:
+        shapes.number_of(t)
+    for a in trees:
+        for b in trees:
+            best = plain_matching(a, b)
+            pairs = matched(shapes, a, b)
+            assert shapes.weight(a.shape, b.shape) == len(pairs) == best
+            assert all((x.name, x.words) == (y.name, y.words) for x, y in pairs)
+            assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == best
+            seen.add(best)
+    assert len(seen) > 15
+
+
+def test_deep_and_wide_pages():
+    """Seven pages of one host, so they are aligned: nested 20,000 deep, 20,000 paragraphs, and 20,000 blocks of many shapes."""
+    r = random.Random(3)
+    deep = [f"<div>" * 20_000 + f"<p>words of page {i}</p>" for i in range(7)]
+    assert extract_chunk(deep) == [f"words of page {i}" for i in range(7)]
+    wide = ["<article>" + "".join(f"<p>t{i} {j}</p>" for j in range(20_000 - i)) + "</article>" for i in range(7)]
+    assert [t.count("\n\n") for t in extract_chunk(wide)] == [19_999 - i for i in range(7)]
+    mixed = ["<article>" + "".join(r.choice([f"<p>{i} {j}</p>", f"<ul><li>{i}a{j}<li>b{j}</ul>", f"<div><p>{i}x{j}</p></div>", f"<div><ul><li>{i}y{j}</ul></div>"]) for j in range(5000)) + "</article>" for i in range(7)]
+    assert all(len(t) > 20_000 for t in extract_chunk(mixed))
+
+
+def without_names(html):
+    """The page with plain blocks for all elements that tell, and without classes."""
+    html = re.sub(r"<(/?)(?:article|nav|footer|header|aside|section|main)\b[^>]*>", r"<\1div>", html)
+    return re.sub(r" (?:class|id|role)=(?:\"[^\"]*\"|[^\s>]+)", "", html)
+
+
+def test_induction_finds_the_text_without_names():
+    """Sample pages without telling names: what varies in the region is the article; without induction all of the page is left."""
+    import duckdb
+
+    hosts = {}
+    for url, html in duckdb.sql(f"SELECT url, html FROM '{SF.replace('0.001', '0.01')}/pages.parquet' ORDER BY page_id").fetchall():
+        hosts.setdefault(url.split("/")[2], []).append(html)
+    right = alone = total = 0
+    for pages in (p for p in hosts.values() if len(p) >= 6):
+        named = extract_chunk(pages)
+        plain = [without_names(h) for h in pages]
+        right += sum(a == b for a, b in zip(named, extract_chunk(plain)))
+        alone += sum(a == b for a, b in zip(named, (extract_chunk([h])[0] for h in plain)))
+        total += len(pages)
+    assert total > 100 and right > 0.95 * total and alone == 0
+
+
+def test_layouts_of_a_host_are_told_apart():
+    """Two layouts with constant blocks of their own and no names."""
+    a = [f"<div><p>Home page of this site</p><ul><li>one<li>two</ul></div><div><h1>A {i}</h1><p>first {i * 7}</p><p>second {i}</p></div><div><p>Write to us</p></div>" for i in range(8)]
+    b = [f"<table><tr><td><div><dl><dt>Shop</dt><dd>Cart</dd></dl></div><tr><td><section><h2>B {i}</h2><blockquote>price {i}</blockquote></section><tr><td><form>x</form><dl><dt>Terms</dt></dl></table>" for i in range(8)]
+    pages = [x for pair in zip(a, b) for x in pair]
+    assert extract_chunk(pages) == [x for i in range(8) for x in (f"A {i}\n\nfirst {i * 7}\n\nsecond {i}", f"B {i}\n\nprice {i}")]
+    template, regions = induce([parse(h) for h in pages])
+    assert template and all(regions)
+
+
+def test_pages_do_not_depend_on_partitions(spark):
+    rows = [(i, f"https://h{i % 3}.org/{i}", page(i, f"<p>Words {i}</p><p>{'Read more below' if i % 3 == 0 else 'x' * (i % 9)}</p>")) for i in range(400)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    results = []
+    for k, n in enumerate((1, 3, 11)):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        results.append(sorted(map(tuple, main_texts(frame.repartition(n + k)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert results[0] == results[1] == results[2] and len(results[0]) == 400
+    assert sum("Read more" in r[2] for r in results[0]) == 0
+
+
 def test_repeated_pages(spark):
     frame = spark.createDataFrame([(1, "https://a.org/", page(1, "<p>x</p>"))] * 300, "page_id long, url string, html string")
     assert {(r.text, n) for r, n in main_texts(frame).groupBy("text").count().rdd.map(lambda r: (r, r["count"])).collect()} == {("Title 1\n\nx", 300)}

@@ -10,7 +10,7 @@ from notewright.llm.licences import licence_labels
 from notewright.llm.lzfingerprint import lz_fingerprints
 from notewright.llm.ngram_join import jaccard_components
 from notewright.llm.packing import pack_documents
-from notewright.llm.personal import KINDS, personal_spans
+from notewright.llm.personal import BASE, personal_spans
 from notewright.llm.shared import new_path, table
 from notewright.llm.token_orc import token_digests, write_token_orc
 from notewright.llm.toolcalls import calls_of_conversations, link_tool_calls
@@ -51,7 +51,7 @@ def op7_pii(spark, sf_dir):
     def listed(column):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 

@@ -3,15 +3,16 @@
 A configuration is a multiset of lengths that fits a sequence. The program (fewest sequences whose
 configurations cover the histogram) has one row for each length, at most `capacity` of them, however many
 documents there are. Multiplicative weights solve it: each length has a price, which falls as it is covered;
-a knapsack dynamic program finds the configuration of the highest price. Whole parts of its solution are
-used first. What is left is priced by the weights' average: the best configuration for the rest is used as
-often as the rest allows, and the last few pieces go by best fit. The result is a list of configurations
-with multiplicities; the pieces of a length take places in it by their rank, in parallel.
+a knapsack dynamic program finds the configuration of the highest price. Rounding uses whole parts of the solution,
+then whole parts of the program of what is left; pieces that remain go by the prices of the programs: the dearest
+configuration of the rest is used as often as the rest allows, and the last FEW pieces go by best fit. The result is a
+list of configurations with multiplicities; the pieces of a length take places in it by their rank, in parallel.
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,24 @@ from pyspark.sql import functions as F
 from notewright.llm.shared import arrow, cut, with_texts
 from notewright.llm.tokens import encoded, tokenizer_path
 
-ROUNDS, STEP = 2, 0.03  #: of the multiplicative weights: rounds for each length, and how fast prices fall
+GAP = 0.02  #: of the program: its cover is within that share of the bound, or
+ROUNDS, LEAST_ROUNDS = 8, 4000  #: so many rounds for each length, or in all, have passed
+STEP, FRESH = 0.05, 20  #: how fast prices fall; rounds between two looks at all configurations
+SOLVES, FEW = 2, 300  #: programs that are solved at most; pieces that best fit takes at the end
 CONVEX = 1.15  #: first prices are lengths to this power: among full configurations those with long pieces come first
 Configuration = tuple[tuple[int, int], ...]  #: (length, how often), longest first
 
 
+@dataclass
+class Program:
+    """A solution: how often each configuration is used, the mean price of each length (in order), least and own number of sequences."""
+
+    cover: dict[Configuration, float]
+    price: np.ndarray
+    bound: float
+    sequences: float
+
+
 def best_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, int]:
     """The knapsack of the highest total price: lengths may repeat."""
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
@@ -49,26 +63,47 @@ def best_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) ->
     return config
 
 
-def solve_program(counts: dict[int, int], capacity: int) -> tuple[dict[Configuration, float], np.ndarray]:
-    """A fractional cover of the histogram by configurations, and the average price of each length (in order)."""
+def solve_program(counts: dict[int, int], capacity: int, gap: float = GAP) -> Program:
+    """A fractional cover of the histogram by configurations, at most (1 + gap) times the least one unless ROUNDS end first.
+
+    Prices of all pieces add up to 1, so no cover has fewer sequences than 1 / (price of the best configuration). A
+    configuration is used as often as covers one of its lengths once over, and the weights of its lengths fall.
+    Configurations found before are used again while their price is within STEP of the best one found by the
+    knapsack; the program over all configurations is looked at every FRESH rounds and when there is none."""
     lengths = np.array(sorted(counts))
     demand = np.array([counts[x] for x in lengths.tolist()], float)
-    weight, total, used = (lengths / capacity) ** CONVEX * demand, np.zeros(len(lengths)), {}
-    covered = np.zeros(len(lengths))
-    rounds = ROUNDS * len(lengths)
-    for _ in range(rounds):
+    weight, covered = (lengths / capacity) ** CONVEX * demand, np.zeros(len(lengths))
+    pool, keys, used = np.zeros((64, len(lengths))), [], np.zeros(64)
+    number: dict[Configuration, int] = {}
+    bound, best, mean = float(lengths @ demand) / capacity, 0.0, np.zeros(len(lengths))  # the first bound: lengths as prices
+    for t in range(1, max(LEAST_ROUNDS, ROUNDS * len(lengths)) + 1):
         price = weight / weight.sum() / demand
-        total += price
-        config = best_configuration(lengths, price, capacity)
-        a = np.zeros(len(lengths))
-        a[np.searchsorted(lengths, list(config))] = list(config.values())
-        amount = (demand[a > 0] / a[a > 0]).min()  # covers one of its lengths once over
-        key = tuple(sorted(config.items(), reverse=True))
-        used[key] = used.get(key, 0.0) + amount
-        covered += amount * a
-        weight *= np.exp(-STEP * amount * a / demand)
-    scale = 1 / max(np.quantile(covered / demand, 0.95), 1e-9)  # so that few lengths are covered too often
-    return {k: v * scale for k, v in used.items()}, total / rounds
+        mean += price
+        scores = pool[: len(keys)] @ price
+        at = int(scores.argmax()) if len(keys) else -1
+        if at < 0 or t % FRESH == 0 or scores[at] < (1 - STEP) * best:
+            config = best_configuration(lengths, price, capacity)
+            key = tuple(sorted(config.items(), reverse=True))
+            if key not in number:
+                number[key] = len(keys)
+                keys.append(key)
+                if len(keys) > len(pool):
+                    pool, used = np.concatenate([pool, np.zeros_like(pool)]), np.concatenate([used, np.zeros_like(used)])
+                pool[len(keys) - 1, np.searchsorted(lengths, list(config))] = list(config.values())
+            at = number[key]
+            best = float(pool[at] @ price)
+            bound = max(bound, 1 / best)
+        row = pool[at]
+        has = row > 0
+        amount = (demand[has] / row[has]).min()
+        used[at] += amount
+        share = amount * row / demand
+        covered += share
+        weight *= np.exp(-STEP * share)
+        if t % FRESH == 0 and (least := covered.min()) > 0 and used.sum() / least <= (1 + gap) * bound:
+            break
+    scale = 1 / max(covered.min(), 1e-9)
+    return Program({k: float(x * scale) for k, x in zip(keys, used) if x}, mean / t, bound, float(used.sum() * scale))
 
 
 def best_fit(rest: dict[int, int], capacity: int) -> list[list[int]]:
@@ -108,13 +143,19 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[Configur
                 rest[k] -= n * v
         return n > 0
 
-    solution, price = solve_program(counts, capacity)
-    full = [c for c in solution if sum(k * v for k, v in c) == capacity]
-    for c in sorted(full, key=lambda c: (-solution[c], c)):
-        use(dict(c), int(solution[c]))
     every = np.array(sorted(counts))
-    tilt = (every / capacity) ** CONVEX * (1 + 0.001 * price / max(price.max(), 1e-300))
-    while sum(v > 0 for v in rest.values()) > 1 and sum(rest.values()) > 300:
+    price = np.zeros(len(every))
+    for _ in range(SOLVES):  # whole parts of the program, then of the program of what they leave
+        left = {k: v for k, v in rest.items() if v}
+        if len(left) < 2 or sum(left.values()) <= FEW:
+            break
+        program = solve_program(left, capacity)
+        price[np.searchsorted(every, sorted(left))] = program.price * sum(k * v for k, v in left.items())  # by its own scale: a price a token is about 1
+        taken = [use(dict(c), int(program.cover[c])) for c in sorted(program.cover, key=lambda c: (-program.cover[c], c)) if program.cover[c] >= 1]
+        if not any(taken):
+            break
+    tilt = np.maximum(price, 1e-9) * (every / capacity) ** (CONVEX - 1)
+    while sum(v > 0 for v in rest.values()) > 1 and sum(rest.values()) > FEW:
         left = np.array([rest[x] > 0 for x in every.tolist()])
         config = best_configuration(every[left], tilt[left], capacity)
         config = {k: min(v, rest[k]) for k, v in config.items()}

@@ -8,7 +8,7 @@ import pytest
 from py4j.java_gateway import get_field
 from tokenizers import Tokenizer
 
-from notewright.llm.packing import best_fit, pack_documents, pack_histogram
+from notewright.llm.packing import GAP, best_fit, pack_documents, pack_histogram, solve_program
 from notewright.llm.token_orc import read_token_orc, token_digests, write_token_orc
 from notewright.llm.tokens import Encoder, tokenizer_path
 
@@ -149,6 +149,28 @@ def test_plans_use_every_length_once(kind):
     assert sequences <= len(best_fit(counts, 256)) * 1.005 + 1
 
 
+@pytest.mark.parametrize(("counts", "least"), [({516: 360, 260: 360, 258: 360, 250: 720}, 540), ({514: 600, 260: 600, 258: 600, 252: 1200}, 900), ({342: 300, 341: 301, 340: 302, 512: 100, 171: 700, 170: 500}, 551)])
+def test_the_program_beats_best_fit(counts, least):
+    """Histograms that best fit packs badly; `least` is the sum of lengths over the capacity, rounded up."""
+    program = solve_program(counts, 1024)
+    assert program.sequences <= (1 + GAP) * program.bound and program.bound <= least
+    assert all(sum(k * v for k, v in c) <= 1024 for c in program.cover)
+    for k, v in counts.items():
+        assert sum(dict(c).get(k, 0) * x for c, x in program.cover.items()) >= v * (1 - 1e-9)
+    assert sum(n for _, n in pack_histogram(counts, 1024)) == least == -(-sum(k * v for k, v in counts.items()) // 1024) < 0.97 * len(best_fit(counts, 1024))
+
+
+def test_packing_of_rows_without_an_id_and_of_repeated_rows(make, ids):
+    texts, keys = ["a b c"] * 3 + [None, "", "x " * 40, "x " * 40], [None, 4, 4, None, 5, 6, 6]
+    rows = pack_documents(make(texts, keys), 16).collect()
+    wanted = []
+    for t, k in zip(texts, keys):
+        n = len(ids(t))
+        wanted += [(k, n - max(0, (n - 1) // 16) * 16)] + [(k, 16)] * ((n - 1) // 16)
+    assert sorted(((r.doc_id, r.length) for r in rows), key=repr) == sorted(wanted, key=repr)
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
 def test_lengths_must_fit():
     with pytest.raises(ValueError):
         pack_histogram({300: 1}, 256)

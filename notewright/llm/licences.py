@@ -178,6 +178,6 @@ def licence_labels(docs: DataFrame) -> DataFrame:
     """One row for each of docs (doc_id, text): the places of base phrases, labels and a score from 0 to 1.
 
     A null or empty text has no words and scores 0; repeated rows each give a row; a null doc_id stays null;
-    other columns are ignored."""
+    other columns are ignored; an empty table gives no rows."""
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     return arrow(with_texts(docs), _scan_all, schema)

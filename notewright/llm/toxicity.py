@@ -9,7 +9,8 @@ expected number of toxic words of a document give its score, by a logistic funct
 training documents. Words without any trained feature all have the same potential, so a run of them is one
 power of a matrix and scoring takes time by the words that matter.
 
-Training takes a bounded sample: the SAMPLE labelled documents that come first by a hash of doc_id.
+Training takes a bounded sample: of the SAMPLE labelled documents that come first by a hash of doc_id, those whose
+whole texts have SAMPLE_CHARS code points together.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from notewright.llm.shared import arrow, parts, text_bytes, with_texts
 from notewright.llm.vectext import mix, ranges_hash, slices, word_ranges
 
-SAMPLE = 4000  #: labelled documents that the field is trained on, at most
+SAMPLE, SAMPLE_CHARS = 4000, 24_000_000  #: labelled documents that the field is trained on at most, and their code points
 WINDOW = 64  #: words of a training sequence
 ROUNDS, RATE, PENALTY = 60, 0.25, 1e-4  #: of the gradient ascent
 CHANCE, PURITY = 1.0, 0.8  #: of features of toxic words: how many may be there by chance, share of their documents that are toxic
@@ -235,14 +236,27 @@ def held_out(column: str = "doc_id") -> F.Column:
 
 
 def train_on_sample(docs: DataFrame, labels: DataFrame) -> Field:
-    """A field from the labelled documents that are not held out; labels: doc_id, toxic (nulls are left out)."""
+    """A field from the labelled documents that are not held out; labels: doc_id, toxic (nulls are left out).
+
+    The driver gets SAMPLE whole documents at most, in the order of a hash of doc_id, and of these the ones that fit into
+    SAMPLE_CHARS code points together. Of texts that have one doc_id the one with the least hash is taken."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()  # SAMPLE rows at most
     spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in sample], "doc_id long, toxic int"))
-    rows = with_texts(docs).join(chosen, "doc_id").orderBy("doc_id", "text").limit(SAMPLE).collect()
-    return train([(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows]))
+    toxic = {r.doc_id: r.toxic for r in sample}
+    rows = with_texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    chosen = F.broadcast(spark.createDataFrame([(k,) for k in toxic], "doc_id long"))
+    sizes = rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("hash", F.length("text").alias("n"))).alias("pick")).collect()
+    sizes = {r.doc_id: r.pick for r in sizes}
+    picked, left = [], SAMPLE_CHARS
+    for k in toxic:
+        if k in sizes and sizes[k].n <= left:
+            picked.append((k, sizes[k].hash))
+            left -= sizes[k].n
+    chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, hash long"))
+    texts = sorted(map(tuple, rows.join(chosen, ["doc_id", "hash"]).groupBy("doc_id").agg(F.min("text").alias("text")).collect()))
+    return train([t.encode() for _, t in texts], np.array([toxic[k] for k, _ in texts]))
 
 
 def _scores(model: Field):

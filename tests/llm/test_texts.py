@@ -98,6 +98,16 @@ def test_expressions(text, names, alternatives):
     assert got is None if names is None else (got[0], [set(a) for a in got[1]]) == (names, alternatives)
 
 
+def test_no_documents_have_no_licences(make):
+    assert licence_labels(make([])).count() == 0
+
+
+def test_a_thousand_licences(make):
+    names = [f"l{i}" for i in range(1000)]
+    (row,) = licence_labels(make(["SPDX-License-Identifier: " + " OR ".join(names)])).collect()
+    assert row.labels.split(",") == sorted(names)
+
+
 def test_tags(make):
     (row,) = licence_labels(make(["// SPDX-License-Identifier: (MIT OR Apache-2.0)\ncode"])).collect()
     assert row.labels == "apache-2.0,mit" and row.n_base == 0 and row.score == 1
@@ -259,6 +269,46 @@ def test_labels_of_held_out_documents_do_not_matter(spark, make):
     assert a == b
 
 
+def test_the_sample_is_bounded_by_characters(spark, make, monkeypatch):
+    """Whole documents that fit are taken; repeated doc_ids give one text, whatever the order of rows."""
+    from notewright.llm import toxicity as T
+
+    texts, labels = toxic_docs(300)
+    texts, ids = texts + ["word " * 5000, texts[1], "another text"], [*range(300), 300, 1, 1]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(labels)] + [(300, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(T, "train", lambda texts, toxic: seen.append((texts, toxic.tolist())))
+    monkeypatch.setattr(T, "SAMPLE_CHARS", 20_000)
+    T.train_on_sample(make(texts, ids), table)
+    T.train_on_sample(make(texts[::-1], ids[::-1]), table)
+    assert seen[0] == seen[1] and 30 < len(seen[0][0]) < 200 and 15_000 < sum(map(len, seen[0][0])) <= 20_000
+    known = {t.encode(): l for t, l in zip(texts, labels)}
+    assert all(known[t] == l for t, l in zip(*seen[0]) if t in known)
+
+
+def test_toxicity_is_right_against_plain_sums():
+    """Document scores against marginals of all labellings of short texts, computed word by word without powers."""
+    texts, labels = toxic_docs(300)
+    model = train([t.encode() for t in texts], np.array(labels))
+    from notewright.llm.toxicity import _features
+
+    for text in ["zooky tree", "tree zooky quaxling a", "Nothing here", "", "quaxler"]:
+        _, _, _, _, _, features = _features([text.encode()])
+        score, _ = model.potentials(features)
+        n, total, p = len(score), 0.0, np.zeros(len(score))
+        for y in range(2**n):
+            s = [(y >> i) & 1 for i in range(n)]
+            w = np.exp(sum(score[i] for i in range(n) if s[i]) + sum(model.transition[a, b] for a, b in zip(s, s[1:])))
+            total += w
+            p += w * np.array(s)
+        most, expected, _ = model.score_texts([text.encode()])[0]
+        known = model.potentials(features)[1]
+        wanted = (p / total)[known] if n else np.zeros(0)
+        assert np.isclose(most, wanted.max() if len(wanted) else 0.0, atol=1e-6) and np.isclose(expected, wanted.sum(), atol=1e-6)
+        plain = 1 / (1 + np.exp(-(model.logistic[0] * np.log(np.clip(most, 1e-4, 1 - 1e-4) / (1 - np.clip(most, 1e-4, 1 - 1e-4))) / 9.21 + model.logistic[1] * np.log1p(expected) + model.logistic[2])))
+        assert np.isclose(model.document_score(np.array([most]), np.array([expected]))[0], plain)
+
+
 def test_toxicity_without_labels(spark, make):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity(make(["a", None]), none).collect()

@@ -10,7 +10,6 @@ from dataclasses import dataclass, fields
 class Config:
     vault_root: str = "./vault"
     store_path: str = "./data/store"
-    backup_dir: str = "./data/backups"
     embed_model: str = "hashed-words"
     embed_url: str = ""
     dimension: int = 64
@@ -22,11 +21,12 @@ class Config:
     hidden: bool = False  #: names that begin with a dot or underscore, of local vaults; the command lines set it
     exclude: tuple[str, ...] = (".obsidian", ".trash", ".git", "__pycache__")
     batch_size: int = 50
-    max_backups: int = 2
+    max_backups: int = 2  #: earlier versions that a store keeps
+    buckets: int = 16  #: parts of a new store, each rewritten as a whole
 
     def __post_init__(self):
-        if self.dimension < 1 or self.chunk_size < 1 or self.batch_size < 1 or self.max_backups < 0:
-            raise ValueError("dimension, chunk_size and batch_size are 1 at least, max_backups 0 at least")
+        if self.dimension < 1 or self.chunk_size < 1 or self.batch_size < 1 or self.buckets < 1 or self.max_backups < 0:
+            raise ValueError("dimension, chunk_size, batch_size and buckets are 1 at least, max_backups 0 at least")
         if self.overlap < 1:
             raise ValueError("an overlap below 1 would repeat every word in every later window")
         if self.metric not in ("l2", "cosine", "dot"):

@@ -12,7 +12,7 @@ from notewright.config import Config
 from notewright.functions.chunking import chunks as chunk_files
 from notewright.functions.chunking import stored_text
 from notewright.functions.text import decoded, is_blank
-from notewright.operators.changes import changed_files, deleted_sources, indexed_hashes, replace_sources, scannable, with_hash, without_sources
+from notewright.operators.changes import changed_keys, deleted_sources, indexed_hashes, replace_sources, scannable, with_hash, with_keys, without_sources
 from notewright.operators.embedding import Embedder, HashedWords, RemoteEmbedder, embed_chunks
 from notewright.operators.search import clamp, nearest
 from notewright.sources.store import Store
@@ -32,10 +32,19 @@ class Indexer:
     """Indexes a vault into a store and searches it."""
 
     def __init__(self, spark: SparkSession, config: Config = Config(), embedder: Embedder | None = None):
-        self.spark, self.config, self.store = spark, config, Store(spark, config.store_path)
+        self.spark, self.config, self.store = spark, config, Store(spark, config.store_path, config.buckets)
         remote = RemoteEmbedder(config.embed_url, config.embed_model, config.dimension) if config.embed_url else None
         self.embedder = embedder or remote or HashedWords(config.dimension)
 
+    def check_embedder(self) -> str | None:
+        """What is wrong with the embedding service, if there is one: it can't be reached or lacks the model."""
+        if not isinstance(self.embedder, RemoteEmbedder):
+            return None
+        try:
+            return None if self.embedder.has_model() else f"the embedding service has no model {self.config.embed_model}"
+        except (OSError, ValueError, KeyError, TypeError) as e:
+            return f"the embedding service at {self.config.embed_url} can't be asked: {e}"
+
     def files(self) -> DataFrame:
         return read_vault(self.spark, self.config.vault_root, self.config.hidden and is_local(self.config.vault_root))
 
@@ -58,17 +67,11 @@ class Indexer:
         return self._apply(scannable(files, self.config.exclude).dropDuplicates(["source"]), None).chunks
 
     def index_events(self, events: DataFrame) -> int:
-        """Index the files, which alone are read, of a batch of events (source, ...) that have changed.
-
-        Texts are staged: a file that is edited meanwhile would else get the hash of one text and the chunks of another."""
+        """Index the files, which alone are read, of a batch of events (source, ...) that have changed."""
         paths = [r.source for r in events.select("source").distinct().collect()]  # names, not texts
         if not paths:
             return 0
-        files, staging = self._stage(scannable(read_paths(self.spark, paths), self.config.exclude))
-        try:
-            return self._apply(files, None).chunks
-        finally:
-            self.store.remove(staging)
+        return self._apply(scannable(read_paths(self.spark, paths), self.config.exclude), None).chunks
 
     def index_frame(self, files: DataFrame) -> Run:
         """Index files (source, content) that come from elsewhere."""
@@ -80,38 +83,57 @@ class Indexer:
         return self.index_vault()
 
     def _apply(self, files: DataFrame, gone: DataFrame | None) -> Run:
-        old, hashes = self.store.chunks(), self.store.hashes()
-        changed = changed_files(files, hashes)
-        # A blank file keeps its old chunks and gets no hash.
-        written = changed.where(~is_blank(F.col("content")))
+        """One run at a time: a second one would start from a state that the first is about to replace."""
+        with self.store.lock():
+            staging = f"{self.store.path}/staging/{uuid.uuid4().hex}"
+            try:
+                return self._run(files, gone, staging)
+            finally:
+                self.store.remove(staging)
+
+    def _run(self, files: DataFrame, gone: DataFrame | None, staging: str) -> Run:
+        hashes = self.store.hashes()
+        if gone is not None:
+            gone = self._stage(gone.select("source").distinct(), f"{staging}/gone")
+        if hashes.isEmpty():
+            changed = files.select("source", "content", "content_hash")
+        else:
+            keys = self._stage(changed_keys(files, hashes), f"{staging}/keys")
+            changed = with_keys(files, keys).select("source", "content", "content_hash")
+        # Texts are staged with their hashes: a file that is edited meanwhile would else get the hash of one text and the
+        # chunks of another. A blank file keeps its old chunks and gets no hash.
+        written = self._stage(changed.where(~is_blank(F.col("content"))).dropDuplicates(["source"]), f"{staging}/files")
+        touched = written.select("source") if gone is None else written.select("source").unionByName(gone)
+        buckets = self.store.buckets_of(touched)
+        if not buckets:
+            return Run(0, 0, self.store.current())
         embedded = embed_chunks(chunk_files(written, self.config), self.embedder, self.config.batch_size).withColumn("text", stored_text())
-        staged, staging = self._stage(embedded)
+        staged = self._stage(embedded.drop("content_hash"), f"{staging}/chunks")
         bad = staged.where(F.size("vector") == 0).select("source").distinct()
         new = staged.where(F.size("vector") > 0).join(bad, "source", "left_anti").withColumn("indexed_at", F.current_timestamp())
-        swapped = without_sources(written.select("source"), bad)
-        chunks = replace_sources(old, new, swapped)
-        recorded = indexed_hashes(hashes, written.select("source", "content", "content_hash"), bad)
+        chunks = replace_sources(self.store.chunks(buckets), new, without_sources(written.select("source"), bad))
+        recorded = indexed_hashes(self.store.hashes(buckets), written, bad)
         if gone is not None:
             chunks, recorded = without_sources(chunks, gone), without_sources(recorded, gone)
         count, failed = new.count(), bad.count()
-        if not count and not failed and (gone is None or gone.isEmpty()) and written.isEmpty():
-            self.store.remove(staging)
-            return Run(0, 0, self.store.current())
-        version = self.store.commit(chunks.select("source", "section", "window", "chunk_id", "text", "vector", "indexed_at"), recorded)
-        self.store.remove(staging)
+        version = self.store.commit(chunks.select("source", "section", "window", "chunk_id", "text", "vector", "indexed_at"), recorded, buckets)
         self.store.prune(self.config.max_backups)
         return Run(count, failed, version)
 
-    def _stage(self, rows: DataFrame) -> tuple[DataFrame, str]:
-        """Vectors are made once: they are written before the plan that counts and stores them reads them."""
-        path = f"{self.store.path}/staging/{uuid.uuid4().hex}"
+    def _stage(self, rows: DataFrame, path: str) -> DataFrame:
+        """rows, written before what reads them more than once: what comes from files or a service may be another the next time."""
         rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path), path
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def search_frame(self, query: str, k: int = 5) -> DataFrame:
-        vector = self.embedder.embed([query])[0]
+        """Hits of a query. Keys and vectors alone are compared; the texts of the k nearest are read after that."""
         key = ["source", "section", "window"]
-        return nearest(self.store.chunks().drop("indexed_at"), [(0, vector)], clamp(k), self.config.metric, key)
+        chunks = self.store.chunks()
+        near = nearest(chunks.select(*key, "vector"), [(0, self.embedder.embed([query])[0])], clamp(k), self.config.metric, key)
+        hits = near.select(*key, "query_id", "distance", "rank", "similarity").collect()  # 20 at most
+        few = F.broadcast(self.spark.createDataFrame(hits, near.select(*key, "query_id", "distance", "rank", "similarity").schema))
+        texts = self.store.chunks(self.store.buckets_of(few)).where(F.col("source").isin([r.source for r in hits]))
+        return texts.select(*key, "chunk_id", "text").join(few, key).dropDuplicates([*key, "rank"])
 
     def search(self, query: str, top_k: int = 5) -> list[dict]:
         """Hits with source, text (300 characters) and score (the distance: smaller is nearer)."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import inspect
 import json
 import sys
 
@@ -12,6 +13,7 @@ from notewright.config import Config
 from notewright.operators.search import chunks_of, clamp
 from notewright.operators.stats import index_statistics, statistics
 from notewright.plans.ingest import Indexer
+from notewright.sources.store import Locked
 from notewright.sources.vault import inside, is_local
 
 PROTOCOL = "2024-11-05"
@@ -99,14 +101,23 @@ class Service:
             return _result(of, {"tools": TOOLS})
         if method != "tools/call":
             return _error(of, NO_METHOD, f"Method not found: {method}")
-        name = params.get("name", "")
-        if name not in {t["name"] for t in TOOLS}:
+        if not isinstance(params, dict):
+            return _error(of, BAD_PARAMETERS, "params is an object")
+        name, arguments = params.get("name", ""), params.get("arguments") or {}
+        if not isinstance(name, str) or name not in {t["name"] for t in TOOLS}:
             return _error(of, NO_METHOD, f"Unknown tool: {name}")
+        if not isinstance(arguments, dict) or any(not isinstance(arguments.get(k, ""), str) for k in ("query", "filepath", "file_path", "source")):
+            return _error(of, BAD_PARAMETERS, "arguments is an object; query, filepath and source are strings")
+        tool = getattr(self, name)
         try:
-            found = getattr(self, name)(**params.get("arguments", {}))
+            inspect.signature(tool).bind(**arguments)
         except TypeError as e:
             return _error(of, BAD_PARAMETERS, str(e))
-        return _result(of, {"content": [{"type": "text", "text": json.dumps(found, indent=2, default=str)}]})
+        try:
+            found, failed = tool(**arguments), {}
+        except Exception as e:  # whatever a tool does, the server goes on and says so
+            found, failed = {"error": f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"}, {"isError": True}
+        return _result(of, {"content": [{"type": "text", "text": json.dumps(found, indent=2, default=str)}]} | failed)
 
     def serve(self, lines, out) -> None:
         """A request a line, an answer a line; a malformed line gets an error and ends nothing."""
@@ -115,7 +126,7 @@ class Service:
                 continue
             try:
                 answer = self.handle(json.loads(line))
-            except json.JSONDecodeError as e:
+            except (ValueError, RecursionError) as e:
                 answer = _error(None, BAD_JSON, str(e))
             if answer is not None:
                 out.write(json.dumps(answer) + "\n")
@@ -138,9 +149,15 @@ def index_main(arguments: list[str] | None = None, spark: SparkSession | None =
     given = parser.parse_args(arguments)
     config = Config.from_environment()
     indexer = Indexer(spark or SparkSession.builder.appName("notewright").getOrCreate(), config)
-    print(f"{indexer.rebuild() if given.reindex else indexer.index_vault()} chunks indexed")
-    if given.watch or given.daemon:
-        watch(indexer).awaitTermination()
+    if wrong := indexer.check_embedder():
+        print(f"warning: {wrong}", file=sys.stderr)
+    try:
+        with indexer.store.lock("INSTANCE", wait=0):
+            print(f"{indexer.rebuild() if given.reindex else indexer.index_vault()} chunks indexed")
+            if given.watch or given.daemon:
+                watch(indexer).awaitTermination()
+    except Locked:
+        print("another vault-index is running on this store", file=sys.stderr)
     return 0
 
 

@@ -1,22 +1,34 @@
-"""A versioned store of chunks and file hashes on Parquet.
+"""A versioned store of chunks and file hashes on Parquet, in buckets of sources.
 
-Each change writes a whole new version and then moves a pointer file to it, so readers see one state or the other
-and a run that dies leaves nothing behind but an unused folder. Earlier versions are the backups. The pointer is
-written through Hadoop's file system, wherever the store is.
+A change rewrites the buckets that its sources fall into and then moves a pointer file to the new version, whose
+manifest names for each bucket the version that holds it. So what is written is in proportion to what is touched,
+readers see one state or the other, and a run that dies leaves nothing behind but an unused folder. Earlier versions are
+the backups. Pointer, manifests and locks are written through Hadoop's file system, wherever the store is.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import time
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from notewright.schema import HASHES, STORED
 
+KINDS = {"chunks": STORED, "hashes": HASHES}
+
+
+class Locked(RuntimeError):
+    """Another process holds a lock of the store."""
+
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        """buckets holds for a new store; an old one keeps its number."""
+        self.spark, self.path, self._buckets = spark, path.rstrip("/"), buckets
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -24,51 +36,124 @@ class Store:
     def _at(self, *parts: str):
         return self._path("/".join((self.path, *parts)))
 
+    def _text(self, *parts: str) -> str | None:
+        if not self._fs.exists(self._at(*parts)):
+            return None
+        stream = self._fs.open(self._at(*parts))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _put(self, text: str, *parts: str) -> None:
+        stream = self._fs.create(self._at(*parts), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def _names(self, *parts: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._at(*parts))] if self._fs.exists(self._at(*parts)) else []
+
     def versions(self) -> list[str]:
         """Names of complete versions, oldest first."""
-        if not self._fs.exists(self._at()):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at())]
-        return sorted(n for n in names if n.startswith("v") and self._fs.exists(self._at(n, "chunks", "_SUCCESS")) and self._fs.exists(self._at(n, "hashes", "_SUCCESS")))
+        return sorted(n for n in self._names() if n.startswith("v") and self._fs.exists(self._at(n, "MANIFEST")))
 
     def current(self) -> str | None:
         """The version that the pointer names; the newest complete one if the pointer is lost."""
+        name = self._text("CURRENT")
+        if name and self._fs.exists(self._at(name, "MANIFEST")):
+            return name
         complete = self.versions()
-        if self._fs.exists(self._at("CURRENT")):
-            stream = self._fs.open(self._at("CURRENT"))
-            name = bytes(stream.readAllBytes()).decode()
-            stream.close()
-            if name in complete:
-                return name
         return complete[-1] if complete else None
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        name = self.current()
+    def _manifest(self, name: str | None) -> dict:
+        """buckets, and for each kind the version that holds each bucket which has rows."""
         if name is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{kind}")
+            return {"buckets": self._buckets} | {k: {} for k in KINDS}
+        return json.loads(self._text(name, "MANIFEST"))
+
+    def bucket(self, source: Column) -> Column:
+        return F.pmod(F.xxhash64(source), F.lit(self._manifest(self.current())["buckets"])).cast("int")
+
+    def buckets_of(self, sources: DataFrame) -> list[int]:
+        """Buckets that sources fall into."""
+        return sorted(r[0] for r in sources.select(self.bucket(F.col("source"))).distinct().collect())  # a few numbers
+
+    def _read(self, kind: str, buckets: list[int] | None) -> DataFrame:
+        held = self._manifest(self.current())[kind]
+        paths = [f"{self.path}/{v}/{kind}/bucket={b}" for b, v in held.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(KINDS[kind]).parquet(*paths) if paths else self.spark.createDataFrame([], KINDS[kind])
 
-    def chunks(self) -> DataFrame:
-        return self._read("chunks", STORED)
+    def chunks(self, buckets: list[int] | None = None) -> DataFrame:
+        """All chunks, or those of sources in the given buckets."""
+        return self._read("chunks", buckets)
 
-    def hashes(self) -> DataFrame:
-        return self._read("hashes", HASHES)
+    def hashes(self, buckets: list[int] | None = None) -> DataFrame:
+        return self._read("hashes", buckets)
 
-    def commit(self, chunks: DataFrame, hashes: DataFrame) -> str:
-        """Write both as the next version and point to it."""
+    def commit(self, chunks: DataFrame, hashes: DataFrame, buckets: list[int] | None = None) -> str:
+        """Write both as the next version and point to it. With buckets, these are all rows of those buckets; others stay."""
+        before = self._manifest(self.current())
         name = f"v{time.time_ns():020d}"
-        chunks.write.parquet(f"{self.path}/{name}/chunks")
-        hashes.write.parquet(f"{self.path}/{name}/hashes")
+        manifest = {"buckets": before["buckets"]}
+        for kind, rows in (("chunks", chunks), ("hashes", hashes)):
+            kept = {} if buckets is None else {b: v for b, v in before[kind].items() if int(b) not in buckets}
+            if buckets is None or buckets:
+                # Small buckets share a task, the rows of a large one go to several.
+                dealt = rows.withColumn("bucket", self.bucket(F.col("source"))).hint("rebalance", "bucket")
+                dealt.write.partitionBy("bucket").parquet(f"{self.path}/{name}/{kind}")
+            new = [n.removeprefix("bucket=") for n in self._names(name, kind) if n.startswith("bucket=")]
+            manifest[kind] = kept | dict.fromkeys(new, name)
+        self._put(json.dumps(manifest), name, "MANIFEST")
         self._point(name)
         return name
 
     def _point(self, name: str) -> None:
-        fresh = self._at(f"CURRENT.{name}")
-        stream = self._fs.create(fresh, True)
-        stream.write(bytearray(name.encode()))
-        stream.close()
+        self._put(name, f"CURRENT.{name}")
         self._fs.delete(self._at("CURRENT"), False)
-        self._fs.rename(fresh, self._at("CURRENT"))
+        self._fs.rename(self._at(f"CURRENT.{name}"), self._at("CURRENT"))
+
+    @contextmanager
+    def lock(self, name: str = "LOCK", wait: float = 600.0):
+        """Hold a lock of the store, or raise Locked when another holder keeps it for `wait` seconds.
+
+        A lock in a local store ends with its process. Elsewhere it is a file, which stays if its process dies."""
+        end = time.monotonic() + wait
+        while (give_back := self._try_lock(name)) is None:
+            if time.monotonic() >= end:
+                raise Locked(f"{self.path}/{name} is held by {self._text(name) or 'another process'}; remove it if that process is gone")
+            time.sleep(min(0.2, max(wait, 0.0)))
+        try:
+            yield
+        finally:
+            give_back()
+
+    def _try_lock(self, name: str):
+        owner = f"process {os.getpid()}"
+        self._fs.mkdirs(self._at())
+        uri = self._fs.makeQualified(self._at(name)).toUri()
+        if uri.getScheme() == "file":
+            import fcntl
+
+            file = open(uri.getPath(), "a+")
+            try:
+                fcntl.flock(file, fcntl.LOCK_EX | fcntl.LOCK_NB)
+            except OSError:
+                file.close()
+                return None
+            file.seek(0)
+            file.truncate()
+            file.write(owner)
+            file.flush()
+            return file.close
+        try:
+            stream = self._fs.create(self._at(name), False)
+        except Exception:  # the gateway's error for a file that is there
+            if self._fs.exists(self._at(name)):
+                return None
+            raise
+        stream.write(bytearray(owner.encode()))
+        stream.close()
+        return lambda: self._fs.delete(self._at(name), False)
 
     def exists(self, path: str) -> bool:
         at = self._path(path)
@@ -89,10 +174,24 @@ class Store:
         return self.commit(self.spark.createDataFrame([], STORED), self.spark.createDataFrame([], HASHES))
 
     def prune(self, backups: int) -> list[str]:
-        """Delete versions but the current one and the newest `backups` others; the names deleted."""
+        """Delete versions but the current one and the newest `backups` others; the names deleted.
+
+        Buckets of theirs that a kept version still reads stay."""
         now = self.current()
         old = [v for v in self.versions() if v != now]
         gone = old[: len(old) - backups] if backups else old
-        for name in gone:
-            self._fs.delete(self._at(name), True)
+        if not gone:
+            return gone
+        kept = [self._manifest(v) for v in self.versions() if v not in gone]
+        read = {(v, kind, b) for m in kept for kind in KINDS for b, v in m[kind].items()}
+        for name in [n for n in self._names() if n.startswith("v") and n not in {v for v in self.versions() if v not in gone}]:
+            if name not in gone and not any(v == name for v, _, _ in read) and name > (now or ""):
+                continue  # of a run that is not over
+            self._fs.delete(self._at(name, "MANIFEST"), False)
+            for kind in KINDS:
+                for n in self._names(name, kind):
+                    if n.startswith("bucket=") and (name, kind, n.removeprefix("bucket=")) not in read:
+                        self._fs.delete(self._at(name, kind, n), True)
+            if not any(v == name for v, _, _ in read):
+                self._fs.delete(self._at(name), True)
         return gone

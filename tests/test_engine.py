@@ -1,5 +1,6 @@
 """Files, store, indexing, search, service and stream, end to end."""
 
+import contextlib
 import io
 import json
 
@@ -294,3 +295,178 @@ def test_stream_keeps_state_between_batches(spark, tmp_path):
         query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.source, r.micros // 1_000_000) for r in got) == [("a", 0), ("a", 6), ("b", 1), ("b", 7)]
+
+
+def test_a_file_edited_while_it_is_embedded_is_indexed_by_the_next_run(spark, vault, tmp_path):
+    """The recorded hash is that of the text that was embedded, whenever the file changes."""
+    one = vault / "one.md"
+
+    class Editing(HashedWords):
+        def embed(self, texts):
+            one.write_text("edited meanwhile")
+            return super().embed(texts)
+
+    config = Config(vault_root=str(vault), store_path=str(tmp_path / "store"))
+    Indexer(spark, config, Editing()).index_vault()
+    indexer = Indexer(spark, config)
+    first = {r.text for r in indexer.store.chunks().where(f"source = '{one}'").collect()}
+    indexer.index_vault()
+    assert {r.text for r in indexer.store.chunks().where(f"source = '{one}'").collect()} == {"edited meanwhile"}
+    assert first == {"alpha beta", "## Two\ngamma"} or first == {"edited meanwhile"}
+    assert indexer.index_vault() == 0
+
+
+def test_a_run_writes_the_buckets_it_touches(spark, tmp_path):
+    root = tmp_path / "many"
+    root.mkdir()
+    for i in range(120):
+        (root / f"n{i}.md").write_text(f"note {i} " * 50)
+    indexer = Indexer(spark, Config(vault_root=str(root), store_path=str(tmp_path / "store"), buckets=40, max_backups=1))
+    assert indexer.index_vault() == 120
+
+    def size(version):
+        return sum(p.stat().st_size for p in (tmp_path / "store" / version).rglob("*.parquet"))
+
+    first = indexer.store.current()
+    (root / "n7.md").write_text("only this one")
+    assert indexer.index_file(str(root / "n7.md")) == 1
+    second = indexer.store.current()
+    assert size(second) < size(first) / 8
+    assert indexer.store.chunks().count() == 120 and indexer.store.hashes().count() == 120
+    for i in range(3):  # old versions go, but not the buckets that the current one reads
+        (root / "n8.md").write_text(f"edit {i}")
+        indexer.index_file(str(root / "n8.md"))
+    assert len(indexer.store.versions()) == 2 and first not in indexer.store.versions()
+    assert indexer.store.chunks().count() == 120
+    for p in root.glob("*.md"):
+        if p.name != "n8.md":
+            p.unlink()
+    indexer.index_vault()
+    assert [r.text for r in indexer.store.chunks().collect()] == ["edit 2"]
+
+
+def test_restore(spark, indexer, vault):
+    indexer.index_vault()
+    before = indexer.store.current()
+    (vault / "one.md").write_text("changed")
+    indexer.index_vault()
+    indexer.store.restore(before)
+    assert indexer.store.current() == before and {r.text for r in indexer.store.chunks().collect()} == {"alpha beta", "## Two\ngamma", "gamma\ndelta"}
+    assert indexer.index_vault() == 1
+    with pytest.raises(KeyError):
+        indexer.store.restore("v0")
+
+
+def test_locks(spark, tmp_path):
+    from notewright.sources.store import Locked
+
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, f"file://{tmp_path}/s")
+    with a.lock():
+        with pytest.raises(Locked):
+            with b.lock(wait=0.3):
+                pass
+        with b.lock("OTHER", wait=0):
+            pass
+    with b.lock(wait=0):
+        pass
+
+
+def test_two_runs_at_once_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    config = Config(store_path=str(tmp_path / "store"))
+    frames = [spark.createDataFrame([(f"/v/{k}{i}.md", f"text {k} {i}") for i in range(5)], "source string, content string") for k in "abc"]
+    with ThreadPoolExecutor(3) as pool:
+        runs = list(pool.map(lambda f: Indexer(spark, config).index_frame(f), frames))
+    assert [r.chunks for r in runs] == [5] * 3 and Indexer(spark, config).store.chunks().count() == 15
+
+
+def test_the_server_survives_any_line(indexer, monkeypatch):
+    service = Service(indexer)
+    monkeypatch.setattr(Service, "vault_stats", lambda self: 1 / 0)
+    call = lambda i, **params: json.dumps({"id": i, "method": "tools/call", "params": params}) + "\n"
+    lines = ['{"id": 1, "method": "tools/call", "params": [1]}\n', call(2, name=["search_vault"]), call(3, name="get_chunk", arguments=[1]), call(4, name="get_chunk", arguments={"source": {"a": 1}}), call(5, name="get_chunk", arguments={"other": 1}), call(6, name="vault_stats"), "[1, 2]\n", "null\n", "[" * 100_000 + "\n", '{"id": 7, "method": ["x"]}\n', call(8, name="handle"), call(9, name="read_vault_file", arguments={"filepath": "a\0b"}), '{"id": 10, "method": "tools/list", "params": 3}\n']
+    out = io.StringIO()
+    service.serve(lines, out)
+    answers = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert len(answers) == len(lines)
+    assert [a.get("error", {}).get("code") for a in answers] == [-32602, -32601, -32602, -32602, -32602, None, -32600, -32600, -32700, -32601, -32601, None, None]
+    assert answers[5]["result"]["isError"] and "ZeroDivisionError" in answers[5]["result"]["content"][0]["text"]
+    assert "error" in json.loads(answers[11]["result"]["content"][0]["text"])
+
+
+@pytest.fixture
+def embedding_service():
+    """A service that embeds by hashed words; the first request of each run of "slow" times out, "broken" is an error."""
+    import http.server
+    import threading
+    import time
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def answer(self, value, status=200):
+            body = json.dumps(value).encode()
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            with contextlib.suppress(BrokenPipeError):  # who asked has given up
+                self.wfile.write(body)
+
+        def do_GET(self):
+            self.answer({"models": [{"name": "words:latest"}]})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, asked["model"], len(asked["input"])))
+            if "slow" in asked["input"] and len(asked["input"]) > 1:
+                time.sleep(1.2)
+            if "broken" in asked["input"]:
+                return self.answer({}, 500)
+            self.answer({"embeddings": HashedWords(8).embed(asked["input"])})
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_address[1]}", seen
+    server.shutdown()
+
+
+def test_remote_embedder(spark, embedding_service, vault, tmp_path):
+    from notewright.operators.embedding import RemoteEmbedder
+
+    url, seen = embedding_service
+    service = RemoteEmbedder(url + "/", "words", 8, timeout=0.6)
+    assert service.has_model() and not RemoteEmbedder(url, "other", 8).has_model()
+    assert embed_all(["a", "slow", "b"], service, 3, Breaker()) == HashedWords(8).embed(["a", "slow", "b"])
+    assert seen[0] == ("/api/embed", "words", 3) and {n for _, _, n in seen} > {1}
+    assert embed_all(["broken"], service, 3, Breaker(), sleep=lambda s: None) == [[]]
+    indexer = Indexer(spark, Config(vault_root=str(vault), store_path=str(tmp_path / "store"), embed_url=url, embed_model="words", dimension=8))
+    assert indexer.check_embedder() is None and indexer.index_vault() == 3
+    assert indexer.search("gamma\ndelta", 1)[0]["text"] == "gamma\ndelta"
+    lost = Indexer(spark, Config(store_path=str(tmp_path / "s2"), embed_url=url, embed_model="gone"))
+    dead = Indexer(spark, Config(store_path=str(tmp_path / "s3"), embed_url="http://127.0.0.1:9", embed_model="words"))
+    assert "no model gone" in lost.check_embedder() and "can't be asked" in dead.check_embedder()
+
+
+def test_index_command(spark, vault, tmp_path, monkeypatch, capsys):
+    from notewright.plans import service
+
+    monkeypatch.setenv("VAULT_ROOT", str(vault))
+    monkeypatch.setenv("STORE_PATH", str(tmp_path / "store"))
+    assert service.index_main([], spark) == 0 and "4 chunks" in capsys.readouterr().out
+    assert service.index_main(["--once"], spark) == 0 and "0 chunks" in capsys.readouterr().out
+    assert service.index_main(["--reindex"], spark) == 0 and "4 chunks" in capsys.readouterr().out
+    with Store(spark, str(tmp_path / "store")).lock("INSTANCE"):
+        assert service.index_main([], spark) == 0 and "another vault-index" in capsys.readouterr().err
+    watched = []
+    monkeypatch.setattr(service, "watch", lambda indexer: type("Query", (), {"awaitTermination": lambda self: watched.append(indexer)})())
+    assert service.index_main(["--watch"], spark) == 0 and len(watched) == 1
+    monkeypatch.setenv("EMBED_URL", "http://127.0.0.1:9")
+    monkeypatch.setattr(service.Indexer, "index_vault", lambda self: 0)
+    service.index_main([], spark)
+    assert "warning" in capsys.readouterr().err
+    with pytest.raises(SystemExit):
+        service.index_main(["--other"], spark)

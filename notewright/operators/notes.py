@@ -18,6 +18,9 @@ UNROUTED = "00-NOTES/"
 CATEGORIES = [
     ("error-log", "01-AGENT-MEMORY/error-log/", ("error", "bug", "mistake", "traceback")), ("corrections", "01-AGENT-MEMORY/corrections/", ("correction", "actually", "wrong")), ("blockers", "01-AGENT-MEMORY/blockers/", ("blocker", "blocked", "stuck")), ("decisions", "01-AGENT-MEMORY/decisions/", ("decision", "decide", "decided")), ("lessons-learned", "01-AGENT-MEMORY/lessons-learned/", ("lesson", "learned")), ("patterns", "01-AGENT-MEMORY/patterns/", ("pattern", "insight", "recurring")), ("knowledge-gaps", "01-AGENT-MEMORY/knowledge-gaps/", ("unknown", "unclear")), ("skill-usage", "01-AGENT-MEMORY/skill-usage/", ("skill",)), ("entities", "02-KNOWLEDGE/entities/", ("protocol", "company", "organization")), ("people", "02-KNOWLEDGE/people/", ("person", "founder", "author")), ("topics", "02-KNOWLEDGE/topics/", ("topic", "domain")), ("projects", "05-PROJECT/active/", ("project", "milestone")),
 ]
+#: Fixed value: a command that looks around and finds nothing is no error (a line of a turn, lower-cased).
+LOOKS_AROUND = r"(?:^|[^a-z])(?:cat|ls|grep|find) [^\n]*(?:exit|status|code|returned|nonzero)"
+NEEDS_ROUTING = "needs-routing"
 COMPLEX_TURNS = 10  #: more turns than this make a session complex
 
 
@@ -111,7 +114,7 @@ def routes(spark: SparkSession) -> DataFrame:
 
 
 def routed(notes: DataFrame) -> DataFrame:
-    """(source, type, destination): the folder of the type (or the one for the unrouted) and the name, with -v2, -v3... where it is taken.
+    """(source, type, destination, tag): the folder of the type (or the one for the unrouted, with a tag that says so) and the name, with -v2, -v3... where it is taken.
 
     Names in a folder are counted by (folder, name), which one source or type alone cannot make hot."""
     from pyspark.sql import Window
@@ -121,13 +124,36 @@ def routed(notes: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("folder", "name").orderBy("source"))
     placed = placed.withColumn("n", number)
     end = F.when(F.col("n") > 1, F.concat(F.lit("-v"), F.col("n"))).otherwise("")
-    return placed.select("source", "type", F.concat("folder", "name", end, F.lit(".md")).alias("destination"))
+    tag = F.when(F.col("folder") == UNROUTED, F.lit(NEEDS_ROUTING)).otherwise("")
+    return placed.select("source", "type", F.concat("folder", "name", end, F.lit(".md")).alias("destination"), tag.alias("tag"))
+
+
+def map_lint(notes: DataFrame) -> DataFrame:
+    """(source, problems) of maps of content (MOC-... or of type moc): what breaks their rules, comma-joined; maps without any go.
+
+    Entries are lines that begin with "- ": each has a link and a description behind it. No section is empty, none links
+    templates or rules; a section of related maps links one, and recent updates have a date."""
+    rows = with_fields(notes).where((F.col("type") == "moc") | slug_name(F.col("source")).startswith("MOC-"))
+    entries = F.filter(F.split("content", "\n"), lambda x: x.startswith("- "))
+    checks = [
+        ("bare-entry", F.exists(entries, lambda x: ~x.rlike(r"\[\[[^\[\]]+\]\]"))),
+        ("no-description", F.exists(entries, lambda x: x.rlike(r"\[\[[^\[\]]+\]\]\s*$"))),
+        ("empty-section", F.col("content").rlike(r"(?:^|\n)## [^\n]*\n\s*(?:\n## |$)")),
+        ("links-rules", F.col("content").rlike(r"\[\[(?:[^\[\]]*/)?(?:templates|rules)/")),
+        ("no-related-maps", ~F.col("content").rlike(r"(?:^|\n)## Related MOCs\n[^#]*\[\[MOC-")),
+        ("no-recent-updates", ~F.col("content").rlike(r"(?:^|\n)## Recent Updates\n[^#]*[0-9]{4}-[0-9]{2}-[0-9]{2}")),
+    ]
+    found = F.concat_ws(",", *(F.when(failed, F.lit(k)) for k, failed in checks))
+    return rows.select("source", found.alias("problems")).where("problems <> ''")
 
 
 def session_scan(turns: DataFrame) -> DataFrame:
-    """(conv_id, category, folder, n_turns) for each category of which a word stands in a turn of a conversation."""
+    """(conv_id, category, folder, n_turns) for each category of which a word stands in a turn of a conversation.
+
+    A turn in which a command only looked around (LOOKS_AROUND) is in no category of errors."""
     words = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
-    tests = [F.when(F.arrays_overlap(words, F.array(*map(F.lit, cues))), F.struct(F.lit(c).alias("category"), F.lit(f).alias("folder"))) for c, f, cues in CATEGORIES]
+    looks = F.lower("text").rlike(LOOKS_AROUND)
+    tests = [F.when(F.arrays_overlap(words, F.array(*map(F.lit, cues))) & (~looks if c == CATEGORIES[0][0] else F.lit(True)), F.struct(F.lit(c).alias("category"), F.lit(f).alias("folder"))) for c, f, cues in CATEGORIES]
     found = turns.where("text is not null").select("conv_id", F.explode(F.array_compact(F.array(*tests))).alias("hit"))
     return found.groupBy("conv_id", "hit.category", "hit.folder").agg(F.count("*").alias("n_turns"))
 

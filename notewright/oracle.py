@@ -23,14 +23,15 @@ _HASHES = """hashes AS (
 _CHANGED = "changed AS (SELECT source, content, doc_id, md5(content) AS content_hash, CASE WHEN hash IS NULL THEN 'new' ELSE 'changed' END AS change FROM files LEFT JOIN hashes USING (source) WHERE md5(content) IS DISTINCT FROM hash)"
 
 
-def _body(table: str) -> str:
-    return f"body AS (SELECT source, CASE WHEN starts_with(content, '---') AND len(string_split(content, '---')) >= 3 THEN array_to_string(string_split(content, '---')[3:], '---') ELSE content END AS body FROM {table})"
+def _body(table: str, mark: str = "") -> str:
+    return f"body{mark} AS (SELECT source, CASE WHEN starts_with(content, '---') AND len(string_split(content, '---')) >= 3 THEN array_to_string(string_split(content, '---')[3:], '---') ELSE content END AS body FROM {table})"
 
 
-def _sections(table: str) -> str:
-    return f"""{_body(table)},
-parts AS (SELECT source, unnest(string_split(body, chr(10) || '## ')) AS part, unnest(range(len(string_split(body, chr(10) || '## ')))) AS section FROM body WHERE body IS NOT NULL),
-sections AS (SELECT source, section, text FROM (SELECT source, section, CASE WHEN section = 0 THEN '' ELSE '## ' END || {_strip('part')} AS text FROM parts) WHERE text <> '')"""
+def _sections(table: str, mark: str = "") -> str:
+    """CTEs body, parts and sections of a table, their names with a mark."""
+    return f"""{_body(table, mark)},
+parts{mark} AS (SELECT source, unnest(string_split(body, chr(10) || '## ')) AS part, unnest(range(len(string_split(body, chr(10) || '## ')))) AS section FROM body{mark} WHERE body IS NOT NULL),
+sections{mark} AS (SELECT source, section, text FROM (SELECT source, section, CASE WHEN section = 0 THEN '' ELSE '## ' END || {_strip('part')} AS text FROM parts{mark}) WHERE text <> '')"""
 
 
 def _chunks(size: int, keep: int = 16) -> str:
@@ -75,8 +76,8 @@ _NOTES = """notes AS (
   SELECT '/vault/' || source || '/' || CASE WHEN i % 11 = 0 THEN 'Note ' ELSE 'note-' END || i || '.md' AS source,
     CASE WHEN i % 7 = 0 THEN '# No front' || chr(10) ELSE '---' || chr(10) || 'type: ' || ['error', 'decision', 'research', 'project', 'moc', 'idea'][i % 6 + 1] || chr(10) || CASE WHEN i % 5 = 0 THEN '' ELSE 'status: active' || chr(10) END
       || 'date: 2024-' || lpad((i % 14 + 1)::VARCHAR, 2, '0') || '-03' || chr(10) || 'tags: [' || lang || CASE WHEN i % 3 = 0 THEN '' ELSE ', status/active, topic-' || (i % 4) END || ']' || chr(10) || '---' || chr(10) END
-    || 'Body ' || i || ' [[missing-' || (i % 9) || ']]' || CASE WHEN i % 4 = 0 THEN '' ELSE chr(10) || '## Related' || chr(10) || '[[note-' || (i + 1) || ']] [[note-' || (i * 3 % 500) || '|see also]]' || chr(10) END AS content
-  FROM (SELECT doc_id AS i, source, lang FROM documents WHERE doc_id IS NOT NULL))"""
+    || 'Body ' || i || ' ' || coalesce(text, '') || ' [[missing-' || (i % 9) || ']]' || CASE WHEN i % 4 = 0 THEN '' ELSE chr(10) || '## Related' || chr(10) || '[[note-' || (i + 1) || ']] [[note-' || (i * 3 % 500) || '|see also]]' || chr(10) END AS content
+  FROM (SELECT doc_id AS i, source, lang, text FROM documents WHERE doc_id IS NOT NULL))"""
 _FIELDS = """fields AS (
   SELECT source, content, fm IS NULL AS bare, nullif(trim(regexp_extract(fm, '(?m)^type:[ \\t]*([^\\n]*)$', 1)), '') AS type, nullif(trim(regexp_extract(fm, '(?m)^status:[ \\t]*([^\\n]*)$', 1)), '') AS status,
     nullif(trim(regexp_extract(fm, '(?m)^date:[ \\t]*([^\\n]*)$', 1)), '') AS date,
@@ -99,7 +100,7 @@ _CATEGORIES = ", ".join(f"('{c}', '{f}', [{_in(w)}])" for c, f, w in notes.CATEG
 def _scan(turns: str) -> str:
     return f"""cats(category, folder, cues) AS (VALUES {_CATEGORIES}),
 turns AS ({turns}),
-scan AS (SELECT conv_id, category, folder, count(*) AS n_turns FROM turns, cats WHERE text IS NOT NULL AND list_has_any(regexp_split_to_array(lower(text), '[^a-z]+'), cues) GROUP BY 1, 2, 3)"""
+scan AS (SELECT conv_id, category, folder, count(*) AS n_turns FROM turns, cats WHERE text IS NOT NULL AND list_has_any(regexp_split_to_array(lower(text), '[^a-z]+'), cues) AND NOT (category = '{notes.CATEGORIES[0][0]}' AND regexp_matches(lower(text), '{notes.LOOKS_AROUND}')) GROUP BY 1, 2, 3)"""
 
 
 ORACLES = {
@@ -112,7 +113,7 @@ ORACLES = {
     "changed_files": f"WITH {_FILES}, {_HASHES}, {_CHANGED} SELECT source, content_hash, change FROM changed",
     "deleted_files": f"WITH {_FILES}, {_HASHES} SELECT source FROM hashes WHERE source NOT IN (SELECT source FROM files)",
     "delete_by_source": f"{_RECURSIVE} SELECT source, count(*) AS chunks FROM chunks WHERE source NOT IN (SELECT source FROM files WHERE doc_id % 10 = 3) GROUP BY source",
-    "upsert_replace": f"WITH {_FILES}, {_HEADED}, {_sections('headed')}, {_HASHES}, {_CHANGED} SELECT source, section, md5(text) AS chunk_id FROM sections WHERE source NOT IN (SELECT source FROM changed) UNION ALL SELECT source, 0, content_hash FROM changed",
+    "upsert_replace": f"WITH {_FILES}, {_HEADED}, {_sections('headed')}, {_HASHES}, {_CHANGED}, {_sections('files', '_new')} SELECT source, section, md5(text) AS chunk_id FROM sections WHERE source NOT IN (SELECT source FROM changed) UNION ALL SELECT source, section, md5(text) FROM sections_new WHERE source IN (SELECT source FROM changed)",
     "hashes_after_run": f"WITH {_FILES}, {_HASHES}, {_CHANGED} SELECT source, hash FROM hashes WHERE source NOT IN (SELECT source FROM changed) UNION ALL SELECT source, content_hash FROM changed WHERE doc_id % 20 <> 1 AND {_strip('content')} <> ''",
     "front_matter_strip": f"WITH {_FILES}, {_HEADED}, {_body('headed')} SELECT source, md5(body) AS body_md5 FROM body",
     "section_split": f"WITH {_FILES}, {_HEADED}, {_sections('headed')} SELECT source, section, md5(text) AS text_md5, length(text) AS size FROM sections",
@@ -160,8 +161,21 @@ WITH {_NOTES}, {_FIELDS}, l AS (SELECT source, concat_ws(',', CASE WHEN bare THE
   CASE WHEN NOT regexp_matches(content, '(?:^|\\n)## Related\\n[^#]*\\[\\[') THEN 'no-related' END) AS problems FROM fields)
 SELECT source, problems FROM l WHERE problems <> ''""",
     "moc_candidates": f"WITH {_NOTES}, {_FIELDS}, f AS (SELECT *, regexp_replace(source, '/[^/]*$', '') AS folder FROM fields), t AS (SELECT DISTINCT folder, unnest(tags) AS name FROM f) SELECT 'folder' AS kind, folder AS name, count(*) AS n FROM f GROUP BY 2 HAVING count(*) >= 50 UNION ALL SELECT 'topic', name, count(*) FROM t WHERE NOT contains(name, '/') GROUP BY 2 HAVING count(*) >= 3",
-    "route_notes": f"WITH {_NOTES}, {_FIELDS}, routes(type, folder) AS (VALUES {_ROUTES}), p AS (SELECT source, fields.type, coalesce(folder, '{notes.UNROUTED}') AS folder, regexp_replace(string_split(source, '/')[-1], '\\.md$', '') AS name FROM fields LEFT JOIN routes USING (type)), n AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY source) AS k FROM p) SELECT source, type, folder || name || CASE WHEN k > 1 THEN '-v' || k ELSE '' END || '.md' AS destination FROM n",
-    "session_scan": f"WITH {_scan('''SELECT source AS conv_id, CASE WHEN doc_id % 3 = 0 THEN 'a bug and a decision. ' ELSE '' END || text AS text FROM documents''')} SELECT * FROM scan",
+    "route_notes": f"WITH {_NOTES}, {_FIELDS}, routes(type, folder) AS (VALUES {_ROUTES}), p AS (SELECT source, fields.type, coalesce(folder, '{notes.UNROUTED}') AS folder, regexp_replace(string_split(source, '/')[-1], '\\.md$', '') AS name FROM fields LEFT JOIN routes USING (type)), n AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY source) AS k FROM p) SELECT source, type, folder || name || CASE WHEN k > 1 THEN '-v' || k ELSE '' END || '.md' AS destination, CASE WHEN folder = '{notes.UNROUTED}' THEN '{notes.NEEDS_ROUTING}' ELSE '' END AS tag FROM n",
+    "moc_lint": f"""
+WITH m AS (SELECT '/vault/07-INDEX/' || CASE WHEN i % 18 = 0 THEN 'MOC-' ELSE 'map-' END || i || '.md' AS source, i % 9 <> 0 OR i % 18 = 0 AS is_map, i,
+  '## Entries' || chr(10) || '- ' || CASE WHEN i % 3 = 0 THEN 'plain' ELSE '[[' || CASE WHEN i % 5 = 0 THEN '06-SYSTEM/rules/' ELSE '' END || 'note-' || i || ']]' END || CASE WHEN i % 4 = 0 THEN '' ELSE ' about it' END || chr(10) || coalesce(text, '')
+  || chr(10) || '## Related MOCs' || chr(10) || CASE WHEN i % 7 = 0 THEN '' ELSE '- [[MOC-other]] more' || chr(10) END || CASE WHEN i % 2 = 0 THEN '' ELSE chr(10) || '## Recent Updates' || chr(10) || '2024-05-06 made' || chr(10) END AS content
+  FROM (SELECT doc_id AS i, text FROM documents WHERE doc_id IS NOT NULL)),
+e AS (SELECT *, list_filter(string_split(content, chr(10)), lambda x: starts_with(x, '- ')) AS entries FROM m WHERE is_map),
+l AS (SELECT source, concat_ws(',', CASE WHEN len(list_filter(entries, lambda x: NOT regexp_matches(x, '\\[\\[[^\\[\\]]+\\]\\]'))) > 0 THEN 'bare-entry' END,
+  CASE WHEN len(list_filter(entries, lambda x: regexp_matches(x, '\\[\\[[^\\[\\]]+\\]\\]\\s*$'))) > 0 THEN 'no-description' END,
+  CASE WHEN regexp_matches(content, '(?:^|\\n)## [^\\n]*\\n\\s*(?:\\n## |$)') THEN 'empty-section' END,
+  CASE WHEN regexp_matches(content, '\\[\\[(?:[^\\[\\]]*/)?(?:templates|rules)/') THEN 'links-rules' END,
+  CASE WHEN NOT regexp_matches(content, '(?:^|\\n)## Related MOCs\\n[^#]*\\[\\[MOC-') THEN 'no-related-maps' END,
+  CASE WHEN NOT regexp_matches(content, '(?:^|\\n)## Recent Updates\\n[^#]*[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'no-recent-updates' END) AS problems FROM e)
+SELECT source, problems FROM l WHERE problems <> ''""",
+    "session_scan": f"WITH {_scan('''SELECT source AS conv_id, CASE WHEN doc_id % 3 = 0 THEN 'a bug and a decision. ' ELSE '' END || CASE WHEN doc_id % 6 = 0 THEN 'grep x: exit code 1' || chr(10) ELSE '' END || text AS text FROM documents''')} SELECT * FROM scan",
     "session_reports": f"""WITH {_scan("SELECT conv_id, CASE WHEN turn % 4 = 1 THEN 'A lesson: the project is stuck' ELSE text END AS text FROM conversations")}, sizes AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1), items AS (SELECT conv_id, string_agg(category || ':' || n_turns, ', ' ORDER BY category || ':' || n_turns) AS items FROM scan GROUP BY 1) SELECT conv_id, coalesce(items, '') AS items, n > 10 AS complex FROM sizes LEFT JOIN items USING (conv_id)""",
     "chronological_notes": f"WITH {_EVENTS} SELECT event_id, user_id FROM (SELECT *, lag(micros) OVER (PARTITION BY user_id ORDER BY event_id % 50, event_id) AS before FROM ev) WHERE micros < before",
 }

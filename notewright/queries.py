@@ -51,7 +51,7 @@ def _notes(spark, sf) -> DataFrame:
     status = F.when(i % 5 == 0, F.lit("")).otherwise("status: active\n")
     front = F.concat(F.lit("---\ntype: "), kind, F.lit("\n"), status, F.lit("date: 2024-"), F.lpad((i % 14 + 1).cast("string"), 2, "0"), F.lit("-03\ntags: ["), F.col("lang"), F.when(i % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(", status/active, topic-"), (i % 4).cast("string"))), F.lit("]\n---\n"))
     related = F.when(i % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("\n## Related\n[[note-"), (i + 1).cast("string"), F.lit("]] [[note-"), (i * 3 % 500).cast("string"), F.lit("|see also]]\n")))
-    content = F.concat(F.when(i % 7 == 0, F.lit("# No front\n")).otherwise(front), F.lit("Body "), i.cast("string"), F.lit(" [[missing-"), (i % 9).cast("string"), F.lit("]]"), related)
+    content = F.concat(F.when(i % 7 == 0, F.lit("# No front\n")).otherwise(front), F.lit("Body "), i.cast("string"), F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" [[missing-"), (i % 9).cast("string"), F.lit("]]"), related)
     name = F.when(i % 11 == 0, F.concat(F.lit("Note "), i.cast("string"))).otherwise(F.concat(F.lit("note-"), i.cast("string")))
     return docs.select(F.concat(F.lit("/vault/"), "source", F.lit("/"), name, F.lit(".md")).alias("source"), content.alias("content"))
 
@@ -115,11 +115,11 @@ def delete_by_source(spark, sf):
 
 
 def upsert_replace(spark, sf):
-    """The section table after a run: changed files have one new row, the others keep theirs."""
+    """The section table after a run: changed files have the sections of their new texts, the others keep theirs."""
     files = changes.with_hash(_files(spark, sf))
     old = chunking.sections(_headed(spark, sf)).select("source", "section", F.md5("text").alias("chunk_id"))
     changed = changes.changed_files(files, _hashes(spark, sf))
-    new = changed.select("source", F.lit(0).alias("section"), F.col("content_hash").alias("chunk_id"))
+    new = chunking.sections(changed).select("source", "section", F.md5("text").alias("chunk_id"))
     return changes.replace_sources(old, new, changed)
 
 
@@ -336,6 +336,18 @@ def moc_candidates(spark, sf):
     return notes.map_candidates(_notes(spark, sf), files=50, folders=3)
 
 
+def moc_lint(spark, sf):
+    """Maps made of documents: entries with and without links, descriptions, related maps, updates and empty sections."""
+    i = F.col("doc_id")
+    docs = _table(spark, sf, "documents").where("doc_id is not null")
+    entry = F.concat(F.lit("\n- "), F.when(i % 3 == 0, F.lit("plain")).otherwise(F.concat(F.lit("[["), F.when(i % 5 == 0, F.lit("06-SYSTEM/rules/")).otherwise(""), F.lit("note-"), i.cast("string"), F.lit("]]"))), F.when(i % 4 == 0, F.lit("")).otherwise(" about it"))
+    related = F.when(i % 7 == 0, F.lit("\n## Related MOCs\n")).otherwise("\n## Related MOCs\n- [[MOC-other]] more\n")
+    updates = F.when(i % 2 == 0, F.lit("")).otherwise("\n## Recent Updates\n2024-05-06 made\n")
+    content = F.concat(F.when(i % 9 == 0, F.lit("---\ntype: log\n---\n")).otherwise("---\ntype: moc\n---\n"), F.lit("## Entries"), entry, F.lit("\n"), F.coalesce("text", F.lit("")), related, updates)
+    name = F.when(i % 18 == 0, F.lit("/vault/07-INDEX/MOC-")).otherwise("/vault/07-INDEX/map-")
+    return notes.map_lint(docs.select(F.concat(name, i.cast("string"), F.lit(".md")).alias("source"), content.alias("content")))
+
+
 def route_notes(spark, sf):
     return notes.routed(_notes(spark, sf))
 
@@ -343,7 +355,8 @@ def route_notes(spark, sf):
 def session_scan(spark, sf):
     """Documents as turns of the conversations of their source; the sample texts hold few cue words, so two are put in."""
     docs = spread(_table(spark, sf, "documents").select("doc_id", "source", "text"))
-    text = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("a bug and a decision. ")).otherwise(""), F.col("text"))
+    found = F.when(F.col("doc_id") % 3 == 0, F.lit("a bug and a decision. ")).otherwise("")
+    text = F.concat(found, F.when(F.col("doc_id") % 6 == 0, F.lit("grep x: exit code 1\n")).otherwise(""), F.col("text"))
     return notes.session_scan(docs.select(F.col("source").alias("conv_id"), text.alias("text")))
 
 
@@ -366,5 +379,5 @@ QUERIES = {f.__name__: f for f in (
     front_matter_strip, section_split, chunk_windows, chunk_truncate, duplicate_chunk_ids, overlap_lengths, embed_batches, hash_embedder,
     search_topk_l2, search_topk_cosine, search_topk_dot, search_multi_query, search_threshold, search_snippet, search_whole_files, get_chunks,
     vault_stats, top_files, stats_envelope, index_stats, backup_retention, debounce, circuit_breaker, watch_stream,
-    front_matter_fields, tags_explode, wikilinks, backlinks, broken_links, note_lint, moc_candidates, route_notes, session_scan, session_reports, chronological_notes,
+    front_matter_fields, tags_explode, wikilinks, backlinks, broken_links, note_lint, moc_candidates, moc_lint, route_notes, session_scan, session_reports, chronological_notes,
 )}

@@ -12,15 +12,16 @@ How all links are found without comparing all documents:
    sets have (a passage that many documents share). They only count for sets that have K - D of them or
    more: if two linked sets have no other equal part, that is true of both. So what is common joins those
    documents alone that are little else: they are chained by as many edges as there are rows.
-   No task gets all rows of a common part. A part that a task meets twice is crowded: its rows go, by set, to
+   No task gets all rows of a common part. A part that a task meets more than CROWD times in a slice of texts is
+   crowded: its rows go from then on, by set, to
    one of many salted leaves, which either see more than HOT sets and know, or pass their few sets on; a second
    shuffle decides those. Copies of a set meet in one leaf and count once.
 3. The sets at any other leaf, HOT at most, are candidates in pairs. A sketch of a set has the smallest hash
    of each of BINS classes of shingles. A shingle that differs changes one bin, so linked sets differ in no
    more bins than shingles; and they have as many bins equal as a binomial distribution of num / den gives, but
-   for a chance below 1e-17 (ALIKE at most, none at low thresholds). Other pairs go. Connected candidates form groups. Each group's whole sets go into a trie
-   (trie_join), which checks every pair exactly or prunes it by a bound. A large group is dealt into chunks. Each
-   chunk meets the group's first chunk in a task of its own, which links nearly all of a true group. Then sets
+   for a chance below 1e-17 (ALIKE at most, none at low thresholds). Other pairs go. Connected candidates form groups.
+   Each group's whole sets go into a trie (trie_join), which checks every pair exactly or prunes it by a bound. A large
+   group is dealt into chunks. Each chunk meets the group's first chunk in a task of its own, which links nearly all of a true group. Then sets
    outside the largest component of their group meet all sets of the group, again chunk by chunk: two sets that
    are not linked through others yet are compared in any case, and a task holds two chunks at most.
 4. Components of the exact links.
@@ -45,12 +46,13 @@ from notewright.llm.trie_join import TrieJoin
 from notewright.llm.vectext import mix, segment_sums, shingle_sets, slices
 
 HOT = 16  #: sets that may have a part in common before it says little
+CROWD = 3  #: rows of a part in a slice of texts before it is crowded
 CROWDS = 1_000_000  #: crowded parts that a task remembers; meeting one anew costs another mark
 LEAST_SALTS = 16  #: leaves of a crowded part; an eighth of the shuffle's partitions if that is more
 MARK, LEAST_KEY = -1, -(2**63)  #: of a mark: its `of`, and a key that sorts before others
 PAIR, COMMON, OPEN = 0, 1, 2  #: rows of leaves: a pair of sets, a set with a common part, one whose part isn't decided
 BINS, ALIKE = 64, 20  #: of a sketch: bins, and those that candidates have equal where the threshold is high
-CHUNK_SETS, CHUNK_SHINGLES = 200, 200_000  #: bounds of half of what a checking task holds
+CHUNK_SETS, CHUNK_SHINGLES = 1000, 1_000_000  #: bounds of half of what a checking task holds
 
 
 def _size_classes(num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +140,7 @@ def _alike(num: int, den: int):
 
 
 class _Crowds:
-    """Parts that a task has met more than once: CROWDS of them at most are remembered, and met anew beyond that."""
+    """Parts that a task has met more than CROWD times at once: CROWDS of them at most are remembered, and met anew beyond that."""
 
     def __init__(self):
         self.known = np.zeros(0, np.uint64)
@@ -150,7 +152,7 @@ class _Crowds:
         if len(self.known) and len(names):
             place = np.minimum(np.searchsorted(self.known, names), len(self.known) - 1)
             old = self.known[place] == names
-        now = (count > 1) & ~old
+        now = (count > CROWD) & ~old
         if now.any():
             kept = self.known if len(self.known) < CROWDS else self.known[:0]
             self.known = np.sort(np.concatenate([kept, names[now]]))

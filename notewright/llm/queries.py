@@ -11,6 +11,7 @@ from notewright.llm.lzfingerprint import lz_fingerprints
 from notewright.llm.ngram_join import jaccard_components
 from notewright.llm.packing import pack_documents
 from notewright.llm.personal import BASE, personal_spans
+from notewright.llm.recompression import without_repeats
 from notewright.llm.shared import new_path, table
 from notewright.llm.token_orc import token_digests, write_token_orc
 from notewright.llm.toolcalls import calls_of_conversations, link_tool_calls
@@ -69,5 +70,10 @@ def op10_html_extraction(spark, sf_dir):
     return main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op5_license_scans, op6_document_fingerprints, op7_pii, op8_toxicity, op9_ngram_jaccard_join, op10_html_extraction)}
+def op12_substring_dedup(spark, sf_dir):
+    kept = without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op5_license_scans, op6_document_fingerprints, op7_pii, op8_toxicity, op9_ngram_jaccard_join, op10_html_extraction, op12_substring_dedup)}
 ORACLE_SQL = sql.ORACLES

@@ -43,4 +43,15 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(to_node) AS component_id FROM r GROUP BY node) c USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_tool_call_linking": TOOL_CALLS, "op3_benchmark_decontamination": DECONTAMINATION, "op9_ngram_jaccard_join": JACCARD}
+REPEATS = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS p, w FROM d WHERE len(w) >= 13),
+x AS (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS g FROM v),
+f AS (SELECT g, min(doc_id) AS f FROM x GROUP BY g),
+r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM x JOIN f USING (g) WHERE f < doc_id),
+l AS (SELECT doc_id, list(p) AS gone FROM r GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN l USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+ORACLES: dict[str, str] = {"op1_tool_call_linking": TOOL_CALLS, "op3_benchmark_decontamination": DECONTAMINATION, "op9_ngram_jaccard_join": JACCARD, "op12_substring_dedup": REPEATS}

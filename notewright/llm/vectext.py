@@ -56,9 +56,10 @@ def sums_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def word_ranges(texts: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes with A-Z lower-cased, where each text begins, text number, start and end of each word); apart: by byte, whether it separates words."""
-    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+def word_ranges(texts: list[bytes], apart: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, with lower A-Z lower-cased, where each text begins, text number, start and end of each word); apart: by byte, whether it separates words."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    data = _LOWER[data] if lower else data
     inside = np.empty(len(data) + 1, bool)
     inside[0] = False
     np.logical_not(apart[data], out=inside[1:])
@@ -68,9 +69,9 @@ def word_ranges(texts: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.n
     return data, begins, np.searchsorted(begins, start, "right") - 1, start, end
 
 
-def space_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of each word between ASCII white space, A-Z lower-cased, in text order."""
-    data, _, owner, start, end = word_ranges(texts, _SPACE)
+def space_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of each word between ASCII white space, with lower A-Z lower-cased, in text order."""
+    data, _, owner, start, end = word_ranges(texts, _SPACE, lower)
     return owner, ranges_hash(data, start, end)
 
 

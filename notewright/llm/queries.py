@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from notewright.llm import sql
 from notewright.llm.decontaminate import contained_items
+from notewright.llm.heap_lloyd import vector_codes
 from notewright.llm.licences import licence_labels
 from notewright.llm.lzfingerprint import lz_fingerprints
 from notewright.llm.ngram_join import jaccard_components
@@ -75,5 +76,9 @@ def op12_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op5_license_scans, op6_document_fingerprints, op7_pii, op8_toxicity, op9_ngram_jaccard_join, op10_html_extraction, op12_substring_dedup)}
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op5_license_scans, op6_document_fingerprints, op7_pii, op8_toxicity, op9_ngram_jaccard_join, op10_html_extraction, op12_substring_dedup, op13_vector_codes)}
 ORACLE_SQL = sql.ORACLES

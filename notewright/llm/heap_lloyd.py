@@ -188,7 +188,7 @@ def _parts_of(rows: np.ndarray) -> list[np.ndarray]:
     return [rows[:, p * w : (p + 1) * w] for p in range(PARTS)]
 
 
-def _first_round(width: int, broadcast):
+def _first_round(width: int, broadcast, size: int):
     def run(batches):
         held, n = [], 0
 
@@ -205,10 +205,10 @@ def _first_round(width: int, broadcast):
 
         for batch in batches:
             while batch.num_rows:
-                now = batch.slice(0, BLOCK - n)
+                now = batch.slice(0, size - n)
                 batch, n = batch.slice(now.num_rows), n + now.num_rows
                 held.append(now)
-                if n == BLOCK:
+                if n == size:
                     yield block()
                     held, n = [], 0
         if n:
@@ -280,7 +280,7 @@ def vector_codes(vectors: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         given = spark.sparkContext.broadcast(books)  # entries, a bounded number
         last = blocks
-        blocks = cut(arrow(rows if last is None else last, (_first_round if last is None else _next_round)(width, given), schema), "blocks")
+        blocks = cut(arrow(rows, _first_round(width, given, BLOCK), schema) if last is None else arrow(last, _next_round(width, given), schema), "blocks")
         if last is not None:
             drop(last)
         changed = blocks.select(F.explode("changes").alias("c")).select("c.*").groupBy("position", "entry")

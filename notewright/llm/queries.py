@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notewright.llm import sql
+from notewright.llm.collocations import collocations
 from notewright.llm.decontaminate import contained_items
 from notewright.llm.heap_lloyd import vector_codes
 from notewright.llm.licences import licence_labels
@@ -71,6 +72,10 @@ def op10_html_extraction(spark, sf_dir):
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_phrase_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_substring_dedup(spark, sf_dir):
     kept = without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -80,5 +85,5 @@ def op13_vector_codes(spark, sf_dir):
     return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
 
 
-QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op5_license_scans, op6_document_fingerprints, op7_pii, op8_toxicity, op9_ngram_jaccard_join, op10_html_extraction, op12_substring_dedup, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_token_orc, op3_benchmark_decontamination, op4_best_fit_packing, op5_license_scans, op6_document_fingerprints, op7_pii, op8_toxicity, op9_ngram_jaccard_join, op10_html_extraction, op11_phrase_collocations, op12_substring_dedup, op13_vector_codes)}
 ORACLE_SQL = sql.ORACLES

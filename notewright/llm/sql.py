@@ -43,6 +43,22 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(to_node) AS component_id FROM r GROUP BY node) c USING (doc_id)
 """
 
+COLLOCATIONS = """
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM d),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang),
+x AS (SELECT lang, m, unnest([w[i : i + m - 1] for i in range(1, len(w) - m + 2)]) AS g FROM p, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, g, count(*)::HUGEINT AS f FROM x GROUP BY ALL HAVING count(*) >= 100),
+i AS (SELECT lang, g AS q, f AS fq, unnest(list_concat([g[1 : m - 1]], [g[2 : m]])) AS g FROM f WHERE m > 2),
+c AS (SELECT * FROM f WHERE m > 1 AND NOT EXISTS (SELECT 1 FROM i WHERE i.lang = f.lang AND i.g = f.g AND fq >= f.f)),
+k AS (SELECT c.lang, c.m, c.g, c.f, unnest(range(1, c.m)) AS k FROM c),
+s AS (SELECT k.lang, k.g, k.f AS a, k.k, l.f AS l, r.f AS r, n.n, (1000 * k.f * n.n) // (l.f * r.f) AS score
+  FROM k JOIN n USING (lang) JOIN f l ON l.lang = k.lang AND l.g = k.g[1 : k.k] JOIN f r ON r.lang = k.lang AND r.g = k.g[k.k + 1 : k.m]),
+b AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, min_by(struct_pack(l := l, r := r, n := n, score := score), (score, k)) AS c FROM s GROUP BY lang, g, a),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY c.score DESC, a DESC, phrase) AS rank, phrase, a, c.l AS l, c.r AS r, c.n AS n, c.score AS score FROM b)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""
+
 REPEATS = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 v AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS p, w FROM d WHERE len(w) >= 13),
@@ -54,4 +70,4 @@ k AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, C
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
-ORACLES: dict[str, str] = {"op1_tool_call_linking": TOOL_CALLS, "op3_benchmark_decontamination": DECONTAMINATION, "op9_ngram_jaccard_join": JACCARD, "op12_substring_dedup": REPEATS}
+ORACLES: dict[str, str] = {"op1_tool_call_linking": TOOL_CALLS, "op3_benchmark_decontamination": DECONTAMINATION, "op9_ngram_jaccard_join": JACCARD, "op11_phrase_collocations": COLLOCATIONS, "op12_substring_dedup": REPEATS}

@@ -60,7 +60,6 @@ def vectors(seed, n, d, spread=1.0):
 
 @pytest.mark.parametrize(("block", "d", "spread"), [(16384, 8, 1.0), (50, 4, 1.0), (7, 8, 0.01)])
 def test_against_plain_rounds(spark, monkeypatch, block, d, spread):
-    monkeypatch.setattr(H, "ENTRIES", 256)
     rows = vectors(1, 700, d, spread)
     monkeypatch.setattr(H, "BLOCK", block)
     assert found(spark, rows) == brute(rows)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.shared import arrow, cut, parts, text_bytes, with_texts
+from notewright.llm.shared import arrow, cut, drop, parts, text_bytes, with_texts
 from notewright.llm.vectext import mix, segment_sums, slices, space_words, sums_hash
 
 WIDTH = 13  #: words of a window
@@ -187,15 +187,21 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     texts = with_texts(docs).withColumn("text_hash", F.xxhash64("text"))
     symbols = cut(arrow(texts.where("doc_id is not null"), _symbols_of(width), "name long, check long, doc_id long, text_hash long"), "symbols")
     both = symbols.groupBy("name", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "check", "least")
-    shared = symbols.join(cut(both, "shared"), ["name", "check"])
+    both = cut(both, "shared")
+    shared = symbols.join(both, ["name", "check"])
     names, copies = F.when(F.col("check") == 0, F.col("name")), F.when(F.expr("check <> 0 and doc_id > least"), F.col("text_hash"))
     found = cut(shared.groupBy("doc_id").agg(F.collect_set(names).alias("names"), F.collect_set(copies).alias("copies")), "documents")
+    drop(symbols)
+    drop(both)
 
     looked = texts.join(found, "doc_id").where("size(names) > 0 and not array_contains(copies, text_hash)")
     windows = cut(arrow(looked.select("doc_id", "text", "text_hash", "names"), _windows_of(width), "a long, b long, doc_id long, text_hash long, start int"), "windows")
     first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most")).where("first < most").select("a", "b", "first")
-    again = windows.join(cut(first, "first"), ["a", "b"]).where("doc_id > first")
+    first = cut(first, "first")
+    again = windows.join(first, ["a", "b"]).where("doc_id > first")
     starts = again.groupBy("doc_id", "text_hash").agg(F.collect_set("start").alias("starts"))
     whole = found.select("doc_id", F.explode("copies").alias("text_hash"), F.lit(None).cast("array<int>").alias("starts"))
     found = cut(starts.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "starts")).alias("found")), "found")
+    drop(windows)
+    drop(first)
     return arrow(texts.join(found, "doc_id", "left"), _without(width), "doc_id long, n_words long, n_removed long, text string")

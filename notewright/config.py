@@ -22,7 +22,7 @@ class Config:
     exclude: tuple[str, ...] = (".obsidian", ".trash", ".git", "__pycache__")
     batch_size: int = 50
     max_backups: int = 2  #: earlier versions that a store keeps
-    buckets: int = 16  #: parts of a new store, each rewritten as a whole
+    buckets: int = 1024  #: of a layer of the store at most
 
     def __post_init__(self):
         if self.dimension < 1 or self.chunk_size < 1 or self.batch_size < 1 or self.buckets < 1 or self.max_backups < 0:

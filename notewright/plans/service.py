@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from notewright.config import Config
 from notewright.operators.search import chunks_of, clamp
-from notewright.operators.stats import index_statistics, statistics
+from notewright.operators.stats import index_statistics
 from notewright.plans.ingest import Indexer
 from notewright.sources.store import Locked
 from notewright.sources.vault import inside, is_local
@@ -46,14 +46,14 @@ class Service:
             k = clamp(top_k)
         except (TypeError, ValueError):
             return {"error": "top_k is a number"}
-        rows = self.indexer.search_frame(query, k).orderBy("rank").collect()  # 20 at most
+        rows = sorted(self.indexer.search_frame(query, k).collect(), key=lambda r: r.rank)  # 20 at most
         hits = [{"source": r.source, "text": r.text, "score": r.distance, "similarity": r.similarity, "chunk_id": r.chunk_id} for r in rows]
         return {"results": hits, "count": len(hits), "total_chunks": self.indexer.stats()["total_chunks"], "query": query}
 
     def get_chunk(self, source: str = "") -> dict:
         if not source:
             return {"error": "source is required"}
-        rows = chunks_of(self.indexer.store.chunks(), source).select("text", "chunk_id").collect()  # 50 at most
+        rows = chunks_of(self.indexer.store.chunks_of(source), source).select("text", "chunk_id").collect()  # 50 at most
         if not rows:
             return {"error": f"No chunks found for {source}"}
         return {"source": source, "chunks": [r.asDict() for r in rows], "count": len(rows)}
@@ -72,8 +72,9 @@ class Service:
         return {"filepath": str(found), "content": content, "size": len(content)}
 
     def vault_stats(self) -> dict:
-        row = statistics(self.indexer.store.chunks(), self.config.store_path, self.config.embed_model, self.config.embed_url).first()
-        return row.asDict(recursive=True)
+        store = self.indexer.store
+        listed = [{"file": s, "chunks": n} for s, n in store.top()]
+        return self.indexer.stats() | {"top_files": listed, "db_path": self.config.store_path, "embed_model": self.config.embed_model, "embed_url": self.config.embed_url}
 
     def reindex_file(self, filepath: str = "") -> dict:
         if not filepath:

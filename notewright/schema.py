@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 FILES = "source string, content string, content_hash string, modified_at timestamp"
 CHUNKS = "source string, section int, window int, chunk_id string, text string"
 STORED = "source string, section int, window int, chunk_id string, text string, vector array<float>, indexed_at timestamp"
+KEY = ["source", "section", "window"]
 HASHES = "source string, hash string"
 CHANGES = "source string, kind string, ts timestamp"
 

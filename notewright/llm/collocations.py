@@ -33,7 +33,7 @@ LEAST, LONGEST, BEST = 100, 5, 2000
 BLOCK = 4 << 20  #: candidates of a hash that goes to all tasks: about 25 bytes each
 SLICE = 8192  #: counts of a piece of an array that tasks add up
 FAN = 16  #: arrays that a task of the tree adds up for each piece
-WORDS_HELD, KEYS_HELD = 400_000, 4 << 20  #: that a mapper counts before it sends them on
+WORDS_HELD, KEYS_HELD = 200_000, 1 << 20  #: that a mapper counts before it sends them on
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*map(ord, ".,;:!?"), *range(0x0A, 0x0E)]] = True
@@ -125,7 +125,13 @@ class _Vocabulary:
 
 
 def _bytes_of(x: np.ndarray, kind: str) -> pa.Array:
-    return pa.array([x.astype(kind).tobytes()], pa.binary())
+    """An array as a value of a table, its length in front."""
+    data = x.astype(kind).tobytes()
+    return pa.array([len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)], pa.binary())
+
+
+def _array_of(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
 def _hashes(batches):
@@ -173,14 +179,14 @@ def _encode_block(vocabulary, last: bool):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                a, b, ids = np.frombuffer(row["a"], "<u8"), np.frombuffer(row["b"], "<u8"), np.frombuffer(row["ids"], "<i4")
+                a, b, ids = _array_of(row["a"], "<u8"), _array_of(row["b"], "<u8"), _array_of(row["ids"], "<i4")
                 found = vocabulary.value.find(a, b, row["lang"])
                 ids = np.where(found >= 0, found, ids)
                 if last:
-                    ids = _with_breaks(ids, np.frombuffer(row["new"], bool))
+                    ids = _with_breaks(ids, _array_of(row["new"], "u1").astype(bool))
                     yield _packed(ids, ids, 1)
                 else:
-                    yield pa.RecordBatch.from_pylist([row | {"ids": ids.astype("<i4").tobytes()}], batch.schema)
+                    yield pa.RecordBatch.from_pylist([row | {"ids": _bytes_of(ids, "<i4")[0].as_py()}], batch.schema)
 
     return run
 
@@ -188,7 +194,7 @@ def _encode_block(vocabulary, last: bool):
 def _rows_of(batches, *columns):
     for batch in batches:
         for i in range(batch.num_rows):
-            yield tuple(np.frombuffer(batch.column(c)[i].as_py(), "<i4").astype(np.int64) for c in columns)
+            yield tuple(_array_of(batch.column(c)[i].as_py(), "<i4").astype(np.int64) for c in columns)
 
 
 def _keys_of(ids: np.ndarray, slots: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +205,7 @@ def _keys_of(ids: np.ndarray, slots: np.ndarray, m: int) -> tuple[np.ndarray, np
 
 
 def _candidates(m: int, least: int, most: int):
-    """(key, suffix, n): phrases of a mapper that are safe, with counts up to `least`."""
+    """(key, n, suffix): phrases of a mapper that are safe, with counts up to `least`; the suffix of two words is in the key."""
 
     def run(batches):
         held, n = [], 0
@@ -207,7 +213,8 @@ def _candidates(m: int, least: int, most: int):
         def rows():
             key, suffix = (np.concatenate(x) for x in zip(*held))
             key, first, count = np.unique(key, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(suffix[first].astype(np.int32)), pa.array(np.minimum(count, least).astype(np.int32))], ["key", "suffix", "n"])
+            columns = [pa.array(key), pa.array(np.minimum(count, least).astype(np.int16 if least < 1 << 15 else np.int64))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(suffix[first])], ["key", "n", "suffix"]) if m > 2 else pa.RecordBatch.from_arrays(columns, ["key", "n"])
 
         for ids, slots in _rows_of(batches, "ids", "slots"):
             at, key = _keys_of(ids, slots, m)
@@ -271,34 +278,34 @@ def _bincounts(low: int, high: int, size: int):
     return run
 
 
-def _add(batches):
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for piece, node, counts in zip(batch.column("piece").to_pylist(), batch.column("node").to_pylist(), batch.column("counts").to_pylist()):
-            x, at = np.frombuffer(counts, "<i8"), (piece, node)
-            sums[at] = sums[at] + x if at in sums else x
-    for (piece, node), x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([node], pa.int32()), _bytes_of(x, "<i8")], ["piece", "node", "counts"])
-
-
-def tree_sum(arrays: DataFrame, nodes: int) -> DataFrame:
-    """(piece, node, counts) added up over a tree of tasks, FAN nodes of a piece at a time, until one node is left."""
-    while nodes > 1:
-        nodes = -(-nodes // FAN)
-        arrays = arrow(arrays.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).repartition("piece", "node"), _add, _ARRAYS)
-    return arrays
+def _add(size: int):
+    """Sums of the arrays of a piece and node; at the root, where size is given, (slot, f) of each count instead."""
 
-
-def _spread_out(size: int):
     def run(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
-                x = np.frombuffer(counts, "<i8")
+            for piece, node, counts in zip(batch.column("piece").to_pylist(), batch.column("node").to_pylist(), batch.column("counts").to_pylist()):
+                x, at = _array_of(counts, "<i8"), (piece, node)
+                sums[at] = sums[at] + x if at in sums else x
+        for (piece, node), x in sums.items():
+            if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(piece * size, piece * size + len(x))), pa.array(x)], ["slot", "f"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([node], pa.int32()), _bytes_of(x, "<i8")], ["piece", "node", "counts"])
 
     return run
 
 
+def tree_sum(arrays: DataFrame, nodes: int, size: int) -> DataFrame:
+    """(slot, f): arrays (piece, node, counts) of pieces of `size` added up over a tree of tasks, FAN nodes of a piece at a time, until one node is left."""
+    while True:
+        nodes = -(-nodes // FAN)
+        arrays = arrays.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).repartition("piece", "node")
+        if nodes == 1:
+            return arrow(arrays, _add(size), "slot long, f long").where("f > 0")
+        arrays = arrow(arrays, _add(0), _ARRAYS)
+
+
 _ROWS, _ARRAYS = "ids binary, slots binary", "piece int, node int, counts binary"
 
 
@@ -355,13 +362,13 @@ def _phrase_slots(rows: DataFrame, candidates: DataFrame, m: int):
         phrases, last = spark.sparkContext.broadcast(_Phrases(keys, base)), i + 1 == len(blocks)
         edges.append((base, base + len(keys)))
         base = -(-(base + len(keys)) // SLICE) * SLICE  # blocks begin with a piece of their own
-        named = arrow(block, _slotted(lambda batch, p=phrases: p.value.find(batch.column("key").to_numpy())), "key long, suffix int, slot long")
+        named = arrow(block, _slotted(lambda batch, p=phrases: p.value.find(batch.column("key").to_numpy())), "key long, suffix long, slot long")
         known = named if known is None else known.unionByName(named)
         before, rows = rows, cut(arrow(rows, _fill(phrases, m, i == 0, last), _ROWS + ("" if last else ", before binary")), f"phrases{m}")
         drop(before)
     nodes, counts = rows.rdd.getNumPartitions(), None
     for low, high in edges:
-        part = arrow(tree_sum(arrow(rows.select("slots"), _bincounts(low, high, SLICE), _ARRAYS), nodes), _spread_out(SLICE), "slot long, f long").where("f > 0")
+        part = tree_sum(arrow(rows.select("slots"), _bincounts(low, high, SLICE), _ARRAYS), nodes, SLICE)
         counts = part if counts is None else counts.unionByName(part)
     return rows, known.join(counts, "slot")
 
@@ -380,12 +387,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     word, one = F.col("word").cast("string"), F.array("f")
     levels = [vocabulary.select("slot", "lang", word.alias("phrase"), word.alias("last_word"), "f", one.alias("firsts"), one.alias("lasts"), F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("long").alias("suffix"))]
     for m in range(2, longest + 1):
-        safe = arrow(rows, _candidates(m, least, KEYS_HELD), "key long, suffix int, n int").groupBy("key").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"))
+        found = arrow(rows, _candidates(m, least, KEYS_HELD), f"key long, n {'short' if least < 1 << 15 else 'long'}" + (", suffix long" if m > 2 else ""))
+        suffix = F.first("suffix") if m > 2 else F.expr("key & 4294967295")
+        safe = found.groupBy("key").agg(suffix.alias("suffix"), F.sum("n").alias("n"))
         candidates = cut(safe.where(f"n >= {int(least)}").drop("n"), f"candidates{m}")
         if candidates.isEmpty():
             break
         rows, found = _phrase_slots(rows, candidates, m)
-        found = found.select("slot", "f", F.shiftright("key", 32).alias("prefix"), F.col("suffix").cast("long").alias("suffix"))
+        found = found.select("slot", "f", F.shiftright("key", 32).alias("prefix"), "suffix")
         head = levels[-1].select(F.col("slot").alias("prefix"), "lang", F.col("phrase").alias("head"), "firsts")
         tail = levels[-1].select(F.col("slot").alias("suffix"), "last_word", "lasts")
         both = found.join(head, "prefix").join(tail, "suffix")

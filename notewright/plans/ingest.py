@@ -17,7 +17,8 @@ from notewright.operators.embedding import Embedder, HashedWords, RemoteEmbedder
 from notewright.operators.search import clamp
 from notewright.schema import KEY
 from notewright.sources.store import Store
-from notewright.sources.vault import is_local, read_paths, read_vault, without_globs
+from notewright.sources.files import can_list
+from notewright.sources.vault import read_paths, read_vault, without_globs
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ class Indexer:
             return f"the embedding service at {self.config.embed_url} can't be asked: {e}"
 
     def files(self) -> DataFrame:
-        return read_vault(self.spark, self.config.vault_root, self.config.hidden and is_local(self.config.vault_root))
+        return read_vault(self.spark, self.config.vault_root, self.config.hidden and can_list(self.config.vault_root))
 
     def index_vault(self) -> int:
         """Index what is new or changed, drop what is gone; the number of new chunks."""
@@ -57,8 +58,8 @@ class Indexer:
         """Index one file, which alone is read, if it has changed; the number of new chunks. A lost file has none."""
         if not self.store.exists(source):
             return 0
-        hidden = self.config.hidden and is_local(source)
-        files = read_paths(self.spark, [source]) if hidden else read_vault(self.spark, without_globs(source))
+        root = self.config.vault_root
+        files = read_paths(self.spark, root, [source]) if self.config.hidden and can_list(root) else read_vault(self.spark, without_globs(source))
         return self._apply(scannable(files, self.config.exclude)).chunks
 
     def index_batch(self, events: DataFrame) -> int:
@@ -68,10 +69,9 @@ class Indexer:
 
     def index_events(self, events: DataFrame) -> int:
         """Index the files, which alone are read, of a batch of events (source, ...) that have changed."""
-        paths = [r.source for r in events.select("source").distinct().collect()]  # names, not texts
-        if not paths:
+        if events.isEmpty():
             return 0
-        return self._apply(scannable(read_paths(self.spark, paths), self.config.exclude)).chunks
+        return self._apply(scannable(read_paths(self.spark, self.config.vault_root, events), self.config.exclude)).chunks
 
     def index_frame(self, files: DataFrame) -> Run:
         """Index files (source, content) that come from elsewhere."""
@@ -101,6 +101,8 @@ class Indexer:
             # Names and hashes of all files are read once; what is changed and what is gone comes from them.
             names, _ = self._stage(files.select("source", "content_hash"), f"{staging}/names")
             keys, _ = self._stage(changed_keys(names, known.select("source", "hash")), f"{staging}/keys")
+            if whole and can_list(self.config.vault_root):  # the changed files alone are read again
+                files = read_paths(self.spark, self.config.vault_root, keys)
             changed = with_keys(files, keys).select("source", "content", "content_hash")
             gone = deleted_sources(names, known).distinct() if whole else None
         # Texts are staged with their hashes: a file that is edited meanwhile would else get the hash of one text and the

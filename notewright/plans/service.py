@@ -14,7 +14,8 @@ from notewright.operators.search import chunks_of, clamp
 from notewright.operators.stats import index_statistics
 from notewright.plans.ingest import Indexer
 from notewright.sources.store import Locked
-from notewright.sources.vault import inside, is_local
+from notewright.sources.files import can_list
+from notewright.sources.vault import inside
 
 PROTOCOL = "2024-11-05"
 NO_METHOD, BAD_JSON, BAD_REQUEST, BAD_PARAMETERS = -32601, -32700, -32600, -32602
@@ -165,14 +166,14 @@ def index_main(arguments: list[str] | None = None, spark: SparkSession | None =
 def watch(indexer: Indexer):
     """Starts the stream that indexes files as they are created and modified.
 
-    A vault that only Spark can list is indexed anew by hash at each trigger."""
+    A vault that Python can't list is indexed anew by hash at each trigger."""
     from notewright.streaming.watch import debounce_stream, index_stream, ticks, watch_events
 
     config, spark = indexer.config, indexer.spark
-    if not is_local(config.vault_root):
+    if not can_list(config.vault_root):
         return index_stream(ticks(spark), lambda _: indexer.index_vault(), f"{config.store_path}/watch-ticks", False, config.watch_interval)
-    events = debounce_stream(watch_events(spark, config.vault_root, config), config.debounce_seconds)
-    return index_stream(events, indexer.index_events, f"{config.store_path}/watch-events", False, config.watch_interval)
+    events = debounce_stream(watch_events(spark, config.vault_root, f"{config.store_path}/watch-listings", config), config.debounce_seconds)
+    return index_stream(events, indexer.index_events, f"{config.store_path}/watch-changes", False, config.watch_interval)
 
 
 def serve_main() -> int:

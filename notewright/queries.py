@@ -14,6 +14,7 @@ from notewright.functions import chunking
 from notewright.functions.text import decoded, is_blank, split_words, strip, without_front_matter
 from notewright.operators import changes, embedding, folds, notes, search, stats
 from notewright.sources.vault import spread
+from notewright.sources.work import work_dir
 
 CONFIG = Config()
 QUERY_IDS, HITS = (0, 7, 42), 5
@@ -279,28 +280,17 @@ def watch_stream(spark, sf):
     table = f"watched_{uuid.uuid4().hex}"
     events = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("pathGlobFilter", "*.parquet").parquet(_stream_folder(spark, sf))
     rows = events.select(F.col("user_id").cast("string").alias("source"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    query = debounce_stream(rows, 6 * 3600).writeStream.format("parquet").option("path", f"{_work(spark)}/{table}").option("checkpointLocation", f"{_work(spark)}/{table}-state").trigger(availableNow=True).start()
+    query = debounce_stream(rows, 6 * 3600).writeStream.format("parquet").option("path", f"{work_dir(spark)}/{table}").option("checkpointLocation", f"{work_dir(spark)}/{table}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    found = spark.read.schema("source string, kind string, micros long").parquet(f"{_work(spark)}/{table}")
+    found = spark.read.schema("source string, kind string, micros long").parquet(f"{work_dir(spark)}/{table}")
     return found.select(F.col("kind").cast("long").alias("event_id"), F.col("source").cast("long").alias("user_id"), "micros")
 
 
-def _work(spark) -> str:
-    """The shared folder of the cluster, or one of our own where none is named."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="notewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def _stream_folder(spark, sf) -> str:
     """A folder of event files: a stream reads folders, and the table may be one file."""
     import uuid
 
-    path = f"{_work(spark)}/events-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/events-{uuid.uuid4().hex}"
     _table(spark, sf, "events").write.parquet(path)
     return path
 

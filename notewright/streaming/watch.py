@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import json
-import os
+import tempfile
 import time
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from notewright.config import Config
 from notewright.operators.changes import is_excluded, is_markdown
-from notewright.sources.vault import list_vault
+from notewright.sources.files import Tree
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 EVENTS = "source string, kind string, micros long"
@@ -25,13 +26,15 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 class LeadingEdge(StatefulProcessor):
     """Lets an event through if it is `gap` microseconds or more after the last one of its path that was let through.
 
-    The state of a path is one number. Events of a batch are taken in order of time, batch after batch."""
+    The state of a path is one number. Events of a batch are taken in order of time, batch after batch. After `keep`
+    milliseconds without an event that counts the state of a path goes: with events as they happen, an event after the gap
+    counts whether or not there is a state."""
 
-    def __init__(self, gap: int):
-        self.gap = gap
+    def __init__(self, gap: int, keep: int):
+        self.gap, self.keep = gap, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "micros long")
+        self.last = handle.getValueState("last", "micros long", self.keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["micros", "kind"], kind="stable")
@@ -49,10 +52,14 @@ class LeadingEdge(StatefulProcessor):
         pass
 
 
-def debounce_stream(events: DataFrame, gap_seconds: float) -> DataFrame:
-    """A stream (source, kind, micros) without the events that follow one of their path too soon."""
+def debounce_stream(events: DataFrame, gap_seconds: float, late_seconds: float = 3600.0) -> DataFrame:
+    """A stream (source, kind, micros) without the events that follow one of their path too soon.
+
+    States go the gap and late_seconds after they were set; events that come in later than that behind their time may be
+    let through once too often."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return events.groupBy("source").transformWithStateInPandas(LeadingEdge(int(gap_seconds * 1_000_000)), EVENTS, "Append", "None")
+    processor = LeadingEdge(int(gap_seconds * 1_000_000), int((gap_seconds + late_seconds) * 1000))
+    return events.groupBy("source").transformWithStateInPandas(processor, EVENTS, "Append", "ProcessingTime")
 
 
 def watch_files(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:
@@ -65,45 +72,95 @@ def watch_files(spark: SparkSession, root: str, config: Config = Config()) -> Da
     return rows.where(is_markdown(F.col("source")) & ~is_excluded(F.col("source"), config.exclude))
 
 
-class Changes(SimpleDataSourceStreamReader):
-    """Events of the files of a local vault, by comparing what stands there at each trigger with what stood there before.
+PARTITIONS = 16  #: of a listing; one of them is in memory at a time
+
+
+class Part(InputPartition):
+    def __init__(self, number: int, start: str, end: str):
+        self.number, self.start, self.end = number, start, end
+
+
+class Changes(DataSourceStreamReader):
+    """Events of the files of a vault, by comparing listings that are stored: an offset is the name of one.
 
-    A change that comes less than `gap` microseconds after the last event of its path is held until then, so that
-    debouncing loses no last edit. The first listing after a start tells of every file as created."""
+    At each trigger the vault is listed; where anything differs from the last listing, a new one is stored, in PARTITIONS
+    files by a hash of the source, and tasks read the differences between two listings file by file. Spark keeps the offset,
+    so after a restart only what has changed since is told of, and a batch that is run again is the same batch.
+
+    A change that comes less than `gap` microseconds after the last event of its source is held until then (the listing keeps
+    the old state), so that debouncing loses no last edit. The first listing of all tells of every file as created."""
 
     def __init__(self, options: dict):
         self.root, self.hidden, self.gap, self.exclude = options["path"], options["hidden"] == "true", int(options["gap"]), json.loads(options["exclude"])
-        self.seen: dict[str, tuple] = {}
-        self.told: dict[str, int] = {}
+        self.state = options["state"].rstrip("/")
+        self.last: str | None = None
+
+    def _folder(self) -> Tree:
+        return Tree(self.state)
+
+    def _load(self, name: str, number: int) -> dict[str, list]:
+        """source: [time, size, when told] of a part of a listing."""
+        if not name:
+            return {}
+        folder = self._folder()
+        lines = folder.read(f"{folder.root}/{name}/{number:03d}").decode().split("\n")
+        return {x[0]: x[1:] for x in map(json.loads, filter(None, lines))}
+
+    def _names(self) -> list[str]:
+        """Complete listings, oldest first."""
+        folder = self._folder()
+        return sorted(name for path, is_folder, _, _ in folder.listed(folder.root) if is_folder and (name := path.rsplit("/", 1)[-1]).startswith("l") and any(p.endswith("/DONE") for p, *_ in folder.listed(path)))
 
     def initialOffset(self) -> dict:
-        return {"micros": 0}
-
-    def listed(self) -> dict[str, tuple]:
-        found = {}
-        for source in list_vault(self.root, self.hidden):
-            if any(x in source for x in self.exclude):
-                continue
-            try:
-                at = os.stat(source)
-            except FileNotFoundError:
-                continue
-            found[source] = at.st_mtime_ns, at.st_ctime_ns, at.st_size, at.st_ino
-        return found
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now, found, rows = time.time_ns() // 1000, self.listed(), []
-        self.seen = {s: state for s, state in self.seen.items() if s in found}
-        for source, state in found.items():
-            if self.seen.get(source) != state and now - self.told.get(source, -self.gap) >= self.gap:
-                rows.append((source, "modified" if source in self.seen else "created", now))
-                self.seen[source], self.told[source] = state, now
-        self.told = {s: t for s, t in self.told.items() if now - t < self.gap}
-        return iter(rows), {"micros": now} if rows else start
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """After a start the events between two offsets are not known any more: every file may have changed."""
-        return iter([(source, "modified", end["micros"]) for source in self.listed()])
+        return {"listing": ""}
+
+    def latestOffset(self) -> dict:
+        if self.last is None:
+            self.last = (self._names() or [""])[-1]
+        now, folder, tree = time.time_ns() // 1000, self._folder(), Tree(self.root)
+        with tempfile.TemporaryDirectory() as own:  # of this process: parts of the new listing as they are found
+            parts = [open(f"{own}/{i}", "w", encoding="utf-8") for i in range(PARTITIONS)]
+            for source, _, size, micros in tree.markdown([tree.root], self.hidden):
+                if not any(x in source for x in self.exclude):
+                    parts[zlib.crc32(source.encode()) % PARTITIONS].write(json.dumps([source, micros, size]) + "\n")
+            name, changed = f"l{now:020d}", False
+            for i, part in enumerate(parts):
+                part.close()
+                old, out = self._load(self.last, i), []
+                gone = len(old)
+                with open(part.name, encoding="utf-8") as lines:
+                    for source, *at in map(json.loads, lines):
+                        was = old.get(source)
+                        gone -= was is not None
+                        if was is None or was[:2] != at and now - was[2] >= self.gap:
+                            was, changed = [*at, now], True
+                        out.append(json.dumps([source, *was]))
+                changed = changed or gone > 0
+                folder.write(f"{folder.root}/{name}/{i:03d}", "\n".join(out).encode())
+        if not changed:
+            folder.drop(f"{folder.root}/{name}")
+            return {"listing": self.last}
+        folder.write(f"{folder.root}/{name}/DONE", b"")
+        self.last = name
+        return {"listing": name}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [Part(i, start["listing"], end["listing"]) for i in range(PARTITIONS)]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        """(source, kind, micros) of what has been told of since the first listing."""
+        before = self._load(partition.start, partition.number)
+        for source, (_, _, told) in self._load(partition.end, partition.number).items():
+            was = before.get(source)
+            if was is None or was[2] != told:
+                yield source, "created" if was is None else "modified", told
+
+    def commit(self, end: dict) -> None:
+        """Listings before the one that has been indexed go."""
+        folder = self._folder()
+        for name in self._names():
+            if name < end["listing"]:
+                folder.drop(f"{folder.root}/{name}")
 
 
 class VaultChanges(DataSource):
@@ -114,14 +171,14 @@ class VaultChanges(DataSource):
     def schema(self) -> str:
         return EVENTS
 
-    def simpleStreamReader(self, schema) -> Changes:
+    def streamReader(self, schema) -> Changes:
         return Changes(dict(self.options))
 
 
-def watch_events(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:
-    """A stream of events (source, kind, micros): Markdown files under a local root that are created or modified."""
+def watch_events(spark: SparkSession, root: str, state: str, config: Config = Config()) -> DataFrame:
+    """A stream of events (source, kind, micros): Markdown files under root that are created or modified. state: the folder of its listings."""
     spark.dataSource.register(VaultChanges)
-    options = {"hidden": str(config.hidden).lower(), "gap": str(config.debounce_seconds * 1_000_000), "exclude": json.dumps(config.exclude)}
+    options = {"hidden": str(config.hidden).lower(), "gap": str(config.debounce_seconds * 1_000_000), "exclude": json.dumps(config.exclude), "state": state}
     return spark.readStream.format("vault_changes").options(**options).load(root)
 
 

@@ -1,8 +1,10 @@
 """Collocations: phrases of each language whose words stand together more often than chance has them.
 
 Level by level. Words are counted by Spark. A phrase of m words can only be frequent if its first and its last m - 1 words
-are (Apriori), so mappers look at no others; each sends its phrases with their counts cut off at the threshold, one
-byte, enough to tell a safe candidate and nothing else. The candidates get a minimal perfect hash in which their keys are
+are (Apriori), so mappers look at no others. From three words on they first bincount these by a hash of the phrase, the counts
+cut off at the threshold; the sum of all mappers' arrays says which buckets hold enough for a frequent phrase. (The buckets
+lose nothing. Pairs of frequent words are nearly as many as words and would fill them all.) Of the phrases in those, each
+mapper sends its own with their counts, cut off too: enough to tell a safe candidate and nothing else. The candidates get a minimal perfect hash in which their keys are
 stored: a key is the slot of the phrase without its last word, and that word's slot, so equal keys are equal phrases and
 a foreign key is told apart. Mappers replace each occurrence by its slot, bincount the slots in numpy arrays, and these are
 summed over a tree of tasks. The slots are what the next level starts from, and what cuts are read by: for each phrase the
@@ -33,6 +35,7 @@ LEAST, LONGEST, BEST = 100, 5, 2000
 BLOCK = 4 << 20  #: candidates of a hash that goes to all tasks: about 25 bytes each
 SLICE = 8192  #: counts of a piece of an array that tasks add up
 FAN = 16  #: arrays that a task of the tree adds up for each piece
+BUCKETS, BUCKETS_SENT = 1 << 25, 1 << 16  #: of safe phrases at most, a byte each in a mapper; and in a piece of an array
 WORDS_HELD, KEYS_HELD = 200_000, 1 << 20  #: that a mapper counts before it sends them on
 
 _BREAK = np.zeros(256, bool)
@@ -204,8 +207,8 @@ def _keys_of(ids: np.ndarray, slots: np.ndarray, m: int) -> tuple[np.ndarray, np
     return at, slots[at] << 32 | ids[at + m - 1]
 
 
-def _candidates(m: int, least: int, most: int):
-    """(key, n, suffix): phrases of a mapper that are safe, with counts up to `least`; the suffix of two words is in the key."""
+def _candidates(m: int, least: int, most: int, full):
+    """(key, n, suffix): phrases of a mapper that are safe and in full buckets, with counts up to `least`; the suffix of two words is in the key."""
 
     def run(batches):
         held, n = [], 0
@@ -216,8 +219,12 @@ def _candidates(m: int, least: int, most: int):
             columns = [pa.array(key), pa.array(np.minimum(count, least).astype(np.int16 if least < 1 << 15 else np.int64))]
             return pa.RecordBatch.from_arrays([*columns, pa.array(suffix[first])], ["key", "n", "suffix"]) if m > 2 else pa.RecordBatch.from_arrays(columns, ["key", "n"])
 
+        bits = full.value
         for ids, slots in _rows_of(batches, "ids", "slots"):
             at, key = _keys_of(ids, slots, m)
+            bucket = _bucket_of(key, 8 * len(bits))
+            may = bits[bucket >> 3] >> (7 - (bucket & 7)) & 1 == 1
+            at, key = at[may], key[may]
             held.append((key, slots[at + 1]))
             n += len(key)
             if n > most:
@@ -261,7 +268,24 @@ def _pieces(counts: np.ndarray, node: int, base: int, size: int):
     """(piece, node, counts) of the pieces of an array that aren't zero."""
     for i in range(0, len(counts), size):
         if counts[i : i + size].any():
-            yield pa.RecordBatch.from_arrays([pa.array([(base + i) // size], pa.int32()), pa.array([node], pa.int32()), _bytes_of(counts[i : i + size], "<i8")], ["piece", "node", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([(base + i) // size], pa.int32()), pa.array([node], pa.int32()), _bytes_of(counts[i : i + size], counts.dtype.str)], ["piece", "node", "counts"])
+
+
+def _full_buckets(m: int, buckets: int, least: int):
+    """Counts up to `least` of a task's safe phrases, by a hash of their keys."""
+
+    def run(batches):
+        total = np.zeros(buckets, "u1" if least < 128 else "<u4")
+        for ids, slots in _rows_of(batches, "ids", "slots"):
+            which, n = np.unique(_bucket_of(_keys_of(ids, slots, m)[1], buckets), return_counts=True)
+            total[which] = np.minimum(total[which] + n, least)
+        yield from _pieces(total, TaskContext.get().partitionId(), 0, BUCKETS_SENT)
+
+    return run
+
+
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) & np.uint64(buckets - 1)).astype(np.int64)
 
 
 def _bincounts(low: int, high: int, size: int):
@@ -278,32 +302,49 @@ def _bincounts(low: int, high: int, size: int):
     return run
 
 
-def _add(size: int):
-    """Sums of the arrays of a piece and node; at the root, where size is given, (slot, f) of each count instead."""
+def _add(kind: str, most: int | None, finish=None):
+    """Sums (up to `most`) of the arrays of a piece and node; at the root, what `finish` makes of a piece and its array."""
 
     def run(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for piece, node, counts in zip(batch.column("piece").to_pylist(), batch.column("node").to_pylist(), batch.column("counts").to_pylist()):
-                x, at = _array_of(counts, "<i8"), (piece, node)
-                sums[at] = sums[at] + x if at in sums else x
+                x, at = _array_of(counts, kind), (piece, node)
+                x = sums[at] + x if at in sums else x
+                sums[at] = x if most is None else np.minimum(x, most)
         for (piece, node), x in sums.items():
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(piece * size, piece * size + len(x))), pa.array(x)], ["slot", "f"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([node], pa.int32()), _bytes_of(x, "<i8")], ["piece", "node", "counts"])
+            yield finish(piece, x) if finish else pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([node], pa.int32()), _bytes_of(x, kind)], ["piece", "node", "counts"])
 
     return run
 
 
-def tree_sum(arrays: DataFrame, nodes: int, size: int) -> DataFrame:
-    """(slot, f): arrays (piece, node, counts) of pieces of `size` added up over a tree of tasks, FAN nodes of a piece at a time, until one node is left."""
+def tree_sum(arrays: DataFrame, nodes: int, finish, schema: str, kind: str = "<i8", most: int | None = None) -> DataFrame:
+    """Arrays (piece, node, counts) added up over a tree of tasks, FAN nodes of a piece at a time, until one node is left."""
     while True:
         nodes = -(-nodes // FAN)
         arrays = arrays.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).repartition("piece", "node")
         if nodes == 1:
-            return arrow(arrays, _add(size), "slot long, f long").where("f > 0")
-        arrays = arrow(arrays, _add(0), _ARRAYS)
+            return arrow(arrays, _add(kind, most, finish), schema)
+        arrays = arrow(arrays, _add(kind, most), _ARRAYS)
+
+
+def _by_slot(size: int):
+    return lambda piece, x: pa.RecordBatch.from_arrays([pa.array(np.arange(piece * size, piece * size + len(x))), pa.array(x)], ["slot", "f"])
+
+
+def _full(least: int):
+    return lambda piece, x: pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.packbits(x >= least).tobytes()], pa.binary())], ["piece", "bits"])
+
+
+def _full_of(rows: DataFrame, m: int, least: int, occurrences: int) -> np.ndarray:
+    """Which buckets of safe phrases of m words are full: a phrase of another one can't be frequent. BUCKETS at most, a bit each."""
+    n = min(BUCKETS, max(1 << 16, 1 << max(occurrences // 16, 1).bit_length()))
+    arrays = arrow(rows, _full_buckets(m, n, least), _ARRAYS)
+    pieces = tree_sum(arrays, rows.rdd.getNumPartitions(), _full(least), "piece int, bits binary", "u1" if least < 128 else "<u4", least)
+    bits, size = np.zeros(n // 8, np.uint8), BUCKETS_SENT // 8
+    for r in pieces.collect():
+        bits[r.piece * size : r.piece * size + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return bits
 
 
 _ROWS, _ARRAYS = "ids binary, slots binary", "piece int, node int, counts binary"
@@ -368,7 +409,7 @@ def _phrase_slots(rows: DataFrame, candidates: DataFrame, m: int):
         drop(before)
     nodes, counts = rows.rdd.getNumPartitions(), None
     for low, high in edges:
-        part = tree_sum(arrow(rows.select("slots"), _bincounts(low, high, SLICE), _ARRAYS), nodes, SLICE)
+        part = tree_sum(arrow(rows.select("slots"), _bincounts(low, high, SLICE), _ARRAYS), nodes, _by_slot(SLICE), "slot long, f long").where("f > 0")
         counts = part if counts is None else counts.unionByName(part)
     return rows, known.join(counts, "slot")
 
@@ -387,7 +428,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     word, one = F.col("word").cast("string"), F.array("f")
     levels = [vocabulary.select("slot", "lang", word.alias("phrase"), word.alias("last_word"), "f", one.alias("firsts"), one.alias("lasts"), F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("long").alias("suffix"))]
     for m in range(2, longest + 1):
-        found = arrow(rows, _candidates(m, least, KEYS_HELD), f"key long, n {'short' if least < 1 << 15 else 'long'}" + (", suffix long" if m > 2 else ""))
+        bits = _full_of(rows, m, least, levels[-1].agg(F.sum("f")).first()[0]) if m > 2 else np.full(1, 255, np.uint8)
+        full = docs.sparkSession.sparkContext.broadcast(bits)
+        found = arrow(rows, _candidates(m, least, KEYS_HELD, full), f"key long, n {'short' if least < 1 << 15 else 'long'}" + (", suffix long" if m > 2 else ""))
         suffix = F.first("suffix") if m > 2 else F.expr("key & 4294967295")
         safe = found.groupBy("key").agg(suffix.alias("suffix"), F.sum("n").alias("n"))
         candidates = cut(safe.where(f"n >= {int(least)}").drop("n"), f"candidates{m}")

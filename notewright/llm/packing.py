@@ -3,7 +3,8 @@
 A configuration is a multiset of lengths that fits a sequence. The program (fewest sequences whose
 configurations cover the histogram) has one row for each length, at most `capacity` of them, however many
 documents there are. Multiplicative weights solve it: each length has a price, which falls as it is covered;
-a knapsack dynamic program finds the configuration of the highest price. Rounding uses whole parts of the solution,
+a knapsack dynamic program finds the configuration of the highest price. What the mixture of configurations leaves open is
+solved again by itself, so that no length is covered more than it must be. Rounding uses whole parts of the solution,
 then whole parts of the program of what is left; pieces that remain go by the prices of the programs: the dearest
 configuration of the rest is used as often as the rest allows, and the last FEW pieces go by best fit. The result is a
 list of configurations with multiplicities; the pieces of a length take places in it by their rank, in parallel.
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from notewright.llm.shared import arrow, cut, with_texts
 from notewright.llm.tokens import encoded, tokenizer_path
 
-GAP = 0.02  #: of the program: its cover is within that share of the bound, or
-ROUNDS, LEAST_ROUNDS = 8, 4000  #: so many rounds for each length, or in all, have passed
+GAP = 0.005  #: of the program: its cover is within that share of the bound, as a rule; Program.gap says what it is
+ROUNDS, LEAST_ROUNDS = 2, 1000  #: of weights in a phase, for each length or in all
+PHASES, LITTLE = 3, 0.05  #: of the program at most; share of the tokens that is left to the last step
 STEP, FRESH = 0.05, 20  #: how fast prices fall; rounds between two looks at all configurations
 SOLVES, FEW = 2, 300  #: programs that are solved at most; pieces that best fit takes at the end
 CONVEX = 1.15  #: first prices are lengths to this power: among full configurations those with long pieces come first
@@ -40,6 +42,11 @@ class Program:
     bound: float
     sequences: float
 
+    @property
+    def gap(self) -> float:
+        """How far the cover is from the bound: a share of it."""
+        return self.sequences / self.bound - 1
+
 
 def best_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, int]:
     """The knapsack of the highest total price: lengths may repeat."""
@@ -63,20 +70,18 @@ def best_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) ->
     return config
 
 
-def solve_program(counts: dict[int, int], capacity: int, gap: float = GAP) -> Program:
-    """A fractional cover of the histogram by configurations, at most (1 + gap) times the least one unless ROUNDS end first.
+def _weigh(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, gap: float):
+    """Multiplicative weights: (configurations, how often each was used, mean price, prices by the last weights, least number of sequences).
 
     Prices of all pieces add up to 1, so no cover has fewer sequences than 1 / (price of the best configuration). A
     configuration is used as often as covers one of its lengths once over, and the weights of its lengths fall.
     Configurations found before are used again while their price is within STEP of the best one found by the
     knapsack; the program over all configurations is looked at every FRESH rounds and when there is none."""
-    lengths = np.array(sorted(counts))
-    demand = np.array([counts[x] for x in lengths.tolist()], float)
     weight, covered = (lengths / capacity) ** CONVEX * demand, np.zeros(len(lengths))
     pool, keys, used = np.zeros((64, len(lengths))), [], np.zeros(64)
     number: dict[Configuration, int] = {}
     bound, best, mean = float(lengths @ demand) / capacity, 0.0, np.zeros(len(lengths))  # the first bound: lengths as prices
-    for t in range(1, max(LEAST_ROUNDS, ROUNDS * len(lengths)) + 1):
+    for t in range(1, rounds + 1):
         price = weight / weight.sum() / demand
         mean += price
         scores = pool[: len(keys)] @ price
@@ -102,8 +107,50 @@ def solve_program(counts: dict[int, int], capacity: int, gap: float = GAP) -> Pr
         weight *= np.exp(-STEP * share)
         if t % FRESH == 0 and (least := covered.min()) > 0 and used.sum() / least <= (1 + gap) * bound:
             break
-    scale = 1 / max(covered.min(), 1e-9)
-    return Program({k: float(x * scale) for k, x in zip(keys, used) if x}, mean / t, bound, float(used.sum() * scale))
+    return pool[: len(keys)], used[: len(keys)], mean / t, bound
+
+
+def solve_program(counts: dict[int, int], capacity: int, gap: float = GAP) -> Program:
+    """A fractional cover of the histogram by configurations, and the least number of sequences any cover has.
+
+    Multiplicative weights give a mixture of configurations, in which some lengths are covered too often. So each
+    configuration is taken as far as no length is, and what is left open is weighed anew, by itself, with fresh weights. When
+    little is open, or PHASES have passed, the configurations of the highest price cover it. The cover is within `gap` of the
+    bound, or Program.gap says how far it got."""
+    every = np.array(sorted(counts))
+    demand = np.array([counts[x] for x in every.tolist()], float)
+    left, cover, bound, price = demand.copy(), {}, 0.0, np.zeros(len(every))
+
+    def take(row: np.ndarray, lengths: np.ndarray, amount: float) -> None:
+        key = tuple((int(k), int(n)) for k, n in zip(lengths[::-1], row[::-1]) if n)
+        cover[key] = cover.get(key, 0.0) + amount
+        left[np.searchsorted(every, lengths)] -= amount * row
+
+    for phase in range(PHASES):
+        open_ = left > 1e-9 * demand
+        if open_.sum() < 2 or every[open_] @ left[open_] <= LITTLE * (every @ demand):
+            break
+        lengths = every[open_]
+        pool, used, mean, least = _weigh(lengths, left[open_], capacity, max(LEAST_ROUNDS, ROUNDS * len(lengths)), gap)
+        if not phase:
+            bound = least
+        price[open_] = mean * (lengths @ left[open_])  # by its own scale: a price a token is about 1
+        used = used * float(lengths @ left[open_]) / float(used @ (pool @ lengths))
+        for i in np.argsort(-used, kind="stable"):
+            has = pool[i] > 0
+            amount = min(used[i], float((left[open_][has] / pool[i][has]).min()))
+            if amount > 1e-9:
+                take(pool[i], lengths, amount)
+    bound = bound or float(every @ demand) / capacity
+    tilt = np.maximum(price, 1e-9) * (every / capacity) ** (CONVEX - 1)
+    while (open_ := left > 1e-9 * demand).any():
+        lengths = every[open_]
+        row = np.zeros(len(lengths))
+        config = best_configuration(lengths, tilt[open_], capacity)
+        row[np.searchsorted(lengths, list(config))] = list(config.values())
+        has = row > 0
+        take(row, lengths, float((left[open_][has] / row[has]).min()))
+    return Program(cover, price, bound, sum(cover.values()))
 
 
 def best_fit(rest: dict[int, int], capacity: int) -> list[list[int]]:
@@ -150,7 +197,7 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[Configur
         if len(left) < 2 or sum(left.values()) <= FEW:
             break
         program = solve_program(left, capacity)
-        price[np.searchsorted(every, sorted(left))] = program.price * sum(k * v for k, v in left.items())  # by its own scale: a price a token is about 1
+        price[np.searchsorted(every, sorted(left))] = program.price
         taken = [use(dict(c), int(program.cover[c])) for c in sorted(program.cover, key=lambda c: (-program.cover[c], c)) if program.cover[c] >= 1]
         if not any(taken):
             break

@@ -160,6 +160,22 @@ def test_the_program_beats_best_fit(counts, least):
     assert sum(n for _, n in pack_histogram(counts, 1024)) == least == -(-sum(k * v for k, v in counts.items()) // 1024) < 0.97 * len(best_fit(counts, 1024))
 
 
+def test_covers_are_within_the_gap():
+    """Histograms of hundreds of lengths: the cover is exact and near the bound, the plan no worse than best fit's."""
+    r = np.random.RandomState(0)
+    for x, better in ((r.randint(200, 701, 20_000), 50), (np.clip(np.exp(r.normal(5.5, 0.7, 20_000)).astype(int), 1, 1024), 0), (r.randint(1, 1025, 3000), 0)):
+        counts = dict(zip(*(v.tolist() for v in np.unique(x, return_counts=True))))
+        program = solve_program(counts, 1024)
+        assert program.gap <= GAP and program.bound >= x.sum() / 1024 - 1e-6
+        covered = {}
+        for config, n in program.cover.items():
+            assert n > 0 and sum(k * v for k, v in config) <= 1024
+            for k, v in config:
+                covered[k] = covered.get(k, 0) + n * v
+        assert covered == pytest.approx(counts)
+        assert sum(n for _, n in pack_histogram(counts, 1024)) <= len(best_fit(counts, 1024)) - better
+
+
 def test_packing_of_rows_without_an_id_and_of_repeated_rows(make, ids):
     texts, keys = ["a b c"] * 3 + [None, "", "x " * 40, "x " * 40], [None, 4, 4, None, 5, 6, 6]
     rows = pack_documents(make(texts, keys), 16).collect()

@@ -27,6 +27,7 @@ from notewright.llm.shared import arrow, parts, with_texts
 
 BASE = ("email", "ip", "card", "phone")  #: kinds with a fixed pattern
 KINDS = (*BASE, "account", "secret")
+SECRET = 5  #: its number among KINDS
 PRECISION, SEED, EXAMPLES = 0.99, 11, 3600
 CONTEXT = 40  #: characters before a candidate that are looked at
 
@@ -45,7 +46,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}+(?
 _SOCIAL = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z.,+-])[0-9]{7,14}+(?![0-9A-Za-z-])")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}+={0,2}(?![A-Za-z0-9_+/@-])")
-_GIVEN = re.compile(r"""(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?[ ]{0,2}[:=][ ]{0,2}["']?([^\s"',;]{6,200}+)""")
+_GIVEN = re.compile(r"""(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?[ ]{0,2}[:=][ ]{0,2}["']?([^\s"',;]{6,}+)""")
 _ISSUED = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|sk_live_|xox[abp]-|eyJ|AIza|glpat-")  #: fixed value: beginnings of issued keys
 _CUES = (re.compile(r"mail|contact|write|reach"), re.compile(r"\bip\b|address|server|host"), re.compile(r"card|visa|credit|payment|\bcc\b"), re.compile(r"phone|tel\b|call|mobile|fax|cell"), re.compile(r"date|version|order|invoice|price|isbn|\bid\b|page|\bno\b"), re.compile(r"account|acct|iban|konto|ssn|social security"), re.compile(r"passw|pwd|secret|token|\bkey\b|[_-]key|credential|bearer|auth"), re.compile(r"commit|sha|md5|hash|digest|checksum|uuid|build|file"))
 
@@ -96,11 +97,13 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end): wide nets, overlaps allowed."""
     out = []
     if "dot" in text or "(at)" in text or "[at]" in text:
+        done = 0
         for m in _WRITTEN.finditer(text):
             start = m.start()
-            while start > 0 and m.start() - start < 64 and text[start - 1] in _LOCAL:
+            while start > done and text[start - 1] in _LOCAL:
                 start -= 1
             out.append((0, start, m.end()))
+            done = m.end()
     if _DIGIT.search(text):
         if ":" in text:
             out.extend((1, *m.span()) for m in _HEXADECIMAL.finditer(text))
@@ -246,21 +249,43 @@ class Selector:
         taken = sorted(s for spans in base.values() for s in spans)
         reach = np.maximum.accumulate([e for _, e in taken]).tolist() if taken else []
         starts = [s for s, _ in taken]
-        free = [c for c in found if not ((i := bisect.bisect_left(starts, c[2])) and reach[i - 1] > c[1])]
+        free = [c for c in found if not ((i := bisect.bisect_left(starts, c[2])) and reach[i - 1] > c[1]) or c[0] == SECRET and _holds(c, taken, reach, i)]
         if not free:
             return []
         p = self.trees.probability(np.array([features(text, *c) for c in free], float))
+        likely = _without_inner([(q, c) for q, c in zip(p.tolist(), free) if q >= self.threshold[c[0]]])
         chosen: list[tuple[int, int]] = []  # disjoint, by start
         out = []
-        for q, (kind, start, end) in sorted(zip(p.tolist(), free), key=lambda x: (-x[0], x[1])):
+        for q, (kind, start, end) in sorted(likely, key=lambda x: (-x[0], x[1])):
             i = bisect.bisect_left(chosen, (start, end))
-            if q < self.threshold[kind] or i and chosen[i - 1][1] > start or i < len(chosen) and chosen[i][0] < end:
+            if i and chosen[i - 1][1] > start or i < len(chosen) and chosen[i][0] < end:
                 continue
             chosen.insert(i, (start, end))
             out.append((kind, start, end))
         return out
 
 
+def _holds(span: tuple[int, int, int], taken: list[tuple[int, int]], reach: list[int], i: int) -> bool:
+    """Whether a span has all of the first i taken spans that it meets inside."""
+    while i and reach[i - 1] > span[1]:
+        i -= 1
+        start, end = taken[i]
+        if end > span[1] and (start < span[1] or end > span[2]):
+            return False
+    return True
+
+
+def _without_inner(likely: list[tuple[float, tuple[int, int, int]]]) -> list[tuple[float, tuple[int, int, int]]]:
+    """likely spans but the secrets that lie within a longer secret: of a secret no part may stay."""
+    out, end = [], -1
+    for q, (kind, a, b) in sorted(likely, key=lambda x: (x[1][1], -x[1][2])):
+        if kind != SECRET or b > end:
+            out.append((q, (kind, a, b)))
+        if kind == SECRET:
+            end = max(end, b)
+    return out
+
+
 def find(text: str, selector: Selector) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[int, int, int]]]:
     """(base spans by kind, all spans as (kind number, start, end) by kind and start)."""
     base = base_spans(text)

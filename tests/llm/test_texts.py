@@ -165,6 +165,18 @@ def test_further_spans():
     assert redact("call +12345678 now", [(3, 5, 14)]) == "call [PHONE] now"
 
 
+def test_a_secret_goes_whole_however_long_it_is():
+    import string
+
+    selector, r = Selector(), random.Random(8)
+    for n in (8, 200, 201, 2000, 10_000):
+        for signs in (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "!#%&*()_+./-=<>?@^|~"):
+            for form in ("password={}", 'token = "{}"', "api_key: {} x"):
+                secret = "".join(r.choice(signs) for _ in range(n))
+                text = "some words " + form.format(secret) + " more words"
+                assert redact(text, find(text, selector)[1]) == "some words " + form.format("[SECRET]") + " more words", (n, form)
+
+
 def test_cards_of_a_run_accounts_and_secrets():
     selector = Selector()
     text = "paid by 4465758382889437 4465758382889437, then left"

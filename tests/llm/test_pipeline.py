@@ -69,3 +69,26 @@ def test_rows_without_an_id_and_repeated_ids_are_judged(spark, tmp_path):
     kept = P.one_of_each_group(spark, clean, str(tmp_path))
     assert kept.columns == docs.columns
     assert found(kept) == sorted([(5, near), (1, two), (1, three), (None, "lone words here and there"), (3, None), (4, "")], key=str)
+
+
+def test_columns_that_clash_and_repeated_rows(spark, tmp_path):
+    """Input columns of the names that stages use inside come out as they were; of repeated rows the smallest stays."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_key int, row_number string, Fate_Key double, least_row boolean"
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words, "en", "b", 9, 77, "x", 1.5, True), (1, words, "en", "a", 9, 78, "y", 2.5, False), (1, words, "en", "a", 9, 78, "y", 2.5, False), (2, words + " end", "en", "s", 9, 79, "z", 3.5, None), (None, None, None, None, None, None, None, None, None)]
+    rows += [(None, None, None, None, None, None, None, None, None)] * 3 + [(3, "another text altogether", "en", "s", 3, 80, "v", 0.5, True), (3, None, "en", "s", 0, 81, "w", 0.0, True)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    spark.createDataFrame([(0, words)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = P.one_of_each_group(spark, docs, str(tmp_path))
+    assert kept.dtypes == docs.dtypes
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[1], rows[4], rows[8], rows[9]], key=repr)
+    clean = P.decontaminate(spark, docs, str(tmp_path))
+    assert clean.dtypes == docs.dtypes and sorted(map(tuple, clean.collect()), key=repr) == sorted(rows[4:], key=repr)
+    assert P.redact_personal_data(spark, docs, str(tmp_path)).dtypes == docs.dtypes
+
+
+def test_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert P.run(spark, str(tmp_path)).collect() == []

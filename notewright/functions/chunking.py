@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.config import Config
-from notewright.functions.text import strip, without_front_matter
+from notewright.functions.text import SPACES, strip, without_front_matter
 from notewright.schema import CHUNKS
 
 HEADING = "\n## "
@@ -66,6 +67,32 @@ def chunks(files: DataFrame, config: Config = Config()) -> DataFrame:
     return sections(files).mapInArrow(_chunk_batches(config.chunk_size, config.overlap_words), CHUNKS)
 
 
+def chunks_of_text(content: str | None, size: int, keep: int) -> list[tuple[int, int, str, str]]:
+    """(section, window, chunk_id, text) of one text, as `chunks` has them."""
+    if not content:
+        return []
+    parts = content.split("---", 2)
+    body = parts[2] if content.startswith("---") and len(parts) == 3 else content
+    out = []
+    for i, part in enumerate(body.split(HEADING)):
+        text = part.strip(SPACES) if i == 0 else "## " + part.strip(SPACES)
+        if text:
+            out += [(i, w, hashlib.md5(c.encode()).hexdigest(), c) for w, c in enumerate(chunk_text(text, size, keep))]
+    return out
+
+
+def register_chunker(spark: SparkSession, config: Config = Config(), name: str = "chunks_of") -> None:
+    """A table function for SQL: SELECT source, c.* FROM files, LATERAL chunks_of(content) c."""
+    size, keep = config.chunk_size, config.overlap_words
+
+    class Chunks:
+        def eval(self, content: str) -> Iterator[tuple]:
+            yield from chunks_of_text(content, size, keep)
+
+    # One that takes Arrow arrays can't stand behind LATERAL.
+    spark.udtf.register(name, F.udtf(Chunks, returnType="section int, window int, chunk_id string, text string"))
+
+
 def stored_text(text: str | F.Column = "text", most: int = 1024) -> F.Column:
     """What the store keeps of a chunk's text; its chunk_id is of the whole."""
     return F.substring(text, 1, most)

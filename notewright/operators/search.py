@@ -49,12 +49,15 @@ def nearest(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int, m
     The queries, a stated few, go with the tasks. Equal distances are ordered by `key`. Rows without a vector are no hits."""
     if not queries or k < 1:
         raise ValueError("at least one query and one hit are needed")
-    ids, q = [i for i, _ in queries], np.array([v for _, v in queries], float)
+    return _ranked(chunks, [i for i, _ in queries], np.array([v for _, v in queries], float), k, metric, key, vector)
+
+
+def _ranked(chunks: DataFrame, ids: list[int], q: np.ndarray, k: int, metric: str, key: list[str], vector: str) -> DataFrame:
     rows = chunks.where(F.col(vector).isNotNull())
     schema = T.StructType([*rows.drop(vector).schema.fields, T.StructField("query_id", T.LongType()), T.StructField("distance", T.DoubleType())])
     local = rows.mapInArrow(_best(vector, key, q, ids, metric, k), schema)
     near = 1 - F.col("distance") / 2 if metric == "l2" else 1 - F.col("distance")  # for l2 that of unit vectors
-    if len(queries) == 1:
+    if len(ids) == 1:
         top = local.orderBy("distance", *key).limit(k)
         ranked = top.withColumn("rank", F.row_number().over(Window.orderBy("distance", *key)))  # k rows
     else:
@@ -62,6 +65,26 @@ def nearest(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int, m
     return ranked.withColumn("similarity", near)
 
 
+QUERIES_AT_ONCE = 256  #: of a table of queries that go with the tasks of one scan
+
+
+def nearest_to_table(chunks: DataFrame, queries: DataFrame, k: int, metric: str, key: list[str], vector: str = "vector") -> DataFrame:
+    """The k nearest rows of chunks to each query of a table (query_id, vector); query_id is a number of its own for each.
+
+    The queries are taken in blocks of QUERIES_AT_ONCE or so, each of which meets all rows in one scan: what is held and
+    sent at once is bounded, however many they are. Queries without a vector have no hits."""
+    given = queries.where(F.col(vector).isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = -(-given.count() // QUERIES_AT_ONCE)
+    found = None
+    for b in range(blocks):
+        rows = given.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # a block
+        if rows:
+            ids, q = [r.query_id for r in rows], np.array([r.v for r in rows], float)
+            hits = _ranked(chunks, ids, q, k, metric, key, vector)
+            found = hits if found is None else found.unionByName(hits)
+    return _ranked(chunks.limit(0), [0], np.zeros((1, 1)), k, metric, key, vector) if found is None else found
+
+
 def relevant(hits: DataFrame, least: float = 0.5) -> DataFrame:
     """Hits that are similar enough."""
     return hits.where(F.col("similarity") >= least)

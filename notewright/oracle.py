@@ -132,6 +132,10 @@ ORACLES = {
     "search_threshold": f"WITH {_hits('cosine', '0, 7, 42', 20)} SELECT query_id, vec_id, round(1 - distance, 6) AS similarity FROM hits WHERE 1 - distance >= 0.5",
     "search_snippet": f"WITH {_hits('l2', '7')} SELECT rank, vec_id, substring(text, 1, 300) AS text FROM hits JOIN documents ON doc_id = vec_id",
     "search_whole_files": f"WITH {_FILES}, {_hits('l2', '0')} SELECT rank, source, length(content) AS size FROM hits JOIN files ON doc_id = vec_id",
+    "search_query_table": f"WITH {_hits('l2', 'SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0')} {_TOP}",
+    "search_cells": f"WITH {_hits('l2', '0')} {_TOP}",
+    "chunk_table_function": f'{_RECURSIVE} SELECT source, section, w AS "window", md5(text) AS chunk_id, length(text) AS size FROM chunks',
+    "store_after_runs": _RECURSIVE.replace("FROM documents", "FROM (SELECT * REPLACE (CASE WHEN doc_id % 25 = 3 THEN text || chr(10) || '## Added' || chr(10) || 'later' ELSE text END AS text) FROM documents WHERE doc_id % 40 <> 7)") + " SELECT source, count(*) AS chunks, max(section) AS last_section FROM chunks GROUP BY source",
     "get_chunks": f'{_RECURSIVE} SELECT source, section, w AS "window", md5(text) AS chunk_id FROM chunks WHERE source = \'/vault/src2/42.md\' ORDER BY section, w LIMIT 50',
     "vault_stats": f"{_RECURSIVE} SELECT count(*) AS total_chunks, count(DISTINCT source) AS unique_files FROM chunks",
     "top_files": f"{_RECURSIVE} SELECT source, count(*) AS chunks FROM chunks GROUP BY source ORDER BY chunks DESC, source LIMIT 15",

@@ -52,7 +52,9 @@ class Indexer:
 
     def index_vault(self) -> int:
         """Index what is new or changed, drop what is gone; the number of new chunks."""
-        return self._apply(scannable(self.files(), self.config.exclude), whole=True).chunks
+        root = self.config.vault_root
+        again = (lambda sources: read_paths(self.spark, root, sources)) if can_list(root) else None
+        return self._apply(scannable(self.files(), self.config.exclude), whole=True, again=again).chunks
 
     def index_file(self, source: str) -> int:
         """Index one file, which alone is read, if it has changed; the number of new chunks. A lost file has none."""
@@ -77,23 +79,27 @@ class Indexer:
         """Index files (source, content) that come from elsewhere."""
         return self._apply(scannable(with_hash(files), self.config.exclude))
 
+    def index_all(self, files: DataFrame) -> Run:
+        """Index files (source, content) that come from elsewhere and are all there are: what else the store knows goes."""
+        return self._apply(scannable(with_hash(files), self.config.exclude), whole=True)
+
     def rebuild(self) -> int:
         """Forget everything and index anew: the vectors may then have another length."""
         self.store.clear()
         return self.index_vault()
 
-    def _apply(self, files: DataFrame, whole: bool = False) -> Run:
+    def _apply(self, files: DataFrame, whole: bool = False, again=None) -> Run:
         """One run at a time: a second one would start from a state that the first is about to replace.
 
-        whole: the files are all there are, so that what else the store knows is gone."""
+        whole: the files are all there are, so that what else the store knows is gone. again: reads files by a table of sources."""
         with self.store.lock():
             staging = f"{self.store.path}/staging/{uuid.uuid4().hex}"
             try:
-                return self._run(files, whole, staging)
+                return self._run(files, whole, staging, again)
             finally:
                 self.store.remove(staging)
 
-    def _run(self, files: DataFrame, whole: bool, staging: str) -> Run:
+    def _run(self, files: DataFrame, whole: bool, staging: str, again) -> Run:
         known, gone = self.store.counted(), None
         if self.store.totals()["hashes"] == 0 and not self.store.manifest()["layers"]:
             changed = files.select("source", "content", "content_hash")
@@ -101,8 +107,8 @@ class Indexer:
             # Names and hashes of all files are read once; what is changed and what is gone comes from them.
             names, _ = self._stage(files.select("source", "content_hash"), f"{staging}/names")
             keys, _ = self._stage(changed_keys(names, known.select("source", "hash")), f"{staging}/keys")
-            if whole and can_list(self.config.vault_root):  # the changed files alone are read again
-                files = read_paths(self.spark, self.config.vault_root, keys)
+            if again is not None:  # the changed files alone are read again
+                files = again(keys)
             changed = with_keys(files, keys).select("source", "content", "content_hash")
             gone = deleted_sources(names, known).distinct() if whole else None
         # Texts are staged with their hashes: a file that is edited meanwhile would else get the hash of one text and the

@@ -65,12 +65,12 @@ class Service:
             return {"error": "filepath is required"}
         try:
             found = inside(self.config.vault_root, path)
-            content = found.read_text(encoding="utf-8")
+            content = self.indexer.store.bytes_of(found).decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
         except FileNotFoundError:
             return {"error": f"File not found: {path}"}
         except (OSError, UnicodeDecodeError) as e:
             return {"error": str(e)}
-        return {"filepath": str(found), "content": content, "size": len(content)}
+        return {"filepath": found, "content": content, "size": len(content)}
 
     def vault_stats(self) -> dict:
         store = self.indexer.store
@@ -81,7 +81,7 @@ class Service:
         if not filepath:
             return {"error": "filepath is required"}
         try:
-            found = str(inside(self.config.vault_root, filepath))
+            found = inside(self.config.vault_root, filepath)
         except PermissionError as e:
             return {"error": str(e)}
         return {"indexed": self.indexer.index_file(found), "filepath": found}
@@ -172,7 +172,7 @@ def watch(indexer: Indexer):
     config, spark = indexer.config, indexer.spark
     if not can_list(config.vault_root):
         return index_stream(ticks(spark), lambda _: indexer.index_vault(), f"{config.store_path}/watch-ticks", False, config.watch_interval)
-    events = debounce_stream(watch_events(spark, config.vault_root, f"{config.store_path}/watch-listings", config), config.debounce_seconds)
+    events = debounce_stream(watch_events(spark, config.vault_root, f"{config.store_path}/watch-listings", config), config.debounce_seconds, 3600.0)
     return index_stream(events, indexer.index_events, f"{config.store_path}/watch-changes", False, config.watch_interval)
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from notewright.config import Config
 from notewright.functions import chunking
 from notewright.functions.text import decoded, is_blank, split_words, strip, without_front_matter
-from notewright.operators import changes, embedding, folds, notes, search, stats
+from notewright.operators import changes, embedding, folds, notes, pivots, search, stats
 from notewright.sources.vault import spread
-from notewright.sources.work import work_dir
+from notewright.sources.work import new_path, work_dir
 
 CONFIG = Config()
 QUERY_IDS, HITS = (0, 7, 42), 5
@@ -227,6 +227,47 @@ def search_whole_files(spark, sf):
     return search.whole_files(hits.select("rank", "source"), files).select("rank", "source", F.length("content").alias("size"))
 
 
+def search_query_table(spark, sf):
+    """Every fiftieth vector as a query against all vectors."""
+    queries = _table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = search.nearest_to_table(_vectors(spark, sf), queries, HITS, "l2", ["vec_id"])
+    return found.select("query_id", "rank", "vec_id", "label", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+def search_cells(spark, sf):
+    """The search of search_topk_l2 over vectors written in cells around pivots, which leaves cells unread."""
+    rows, key = _vectors(spark, sf), ["vec_id"]
+    chosen = pivots.choose_pivots(rows)
+    path = new_path(spark, "cells")
+    pivots.with_cell(rows, chosen).hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
+    placed = spark.read.parquet(path)
+    cells = pivots.cells_of(placed, chosen)
+    query = _queries(spark, sf, QUERY_IDS[:1])[0][1]
+    hits, _ = pivots.search_cells(cells, lambda some: placed.where(F.col("cell").isin([int(c.name) for c in some])), chosen, query, HITS, "l2", key)
+    few = [(QUERY_IDS[0], i + 1, h.vec_id, h.label, round(h.distance, 6) + 0.0) for i, h in enumerate(hits)]  # HITS rows
+    return spark.createDataFrame(few, "query_id long, rank int, vec_id long, label int, distance double")
+
+
+def chunk_table_function(spark, sf):
+    """chunk_windows in SQL, by a table function."""
+    chunking.register_chunker(spark, CONFIG)
+    _files(spark, sf).createOrReplaceTempView("files_to_chunk")
+    return spark.sql("SELECT source, section, window, chunk_id, length(text) AS size FROM files_to_chunk, LATERAL chunks_of(content)")
+
+
+def store_after_runs(spark, sf):
+    """Chunks of each file in a store after a first run, a run over changed files and one without the lost ones."""
+    from notewright.plans.ingest import Indexer
+
+    indexer = Indexer(spark, Config(store_path=new_path(spark, "store")))
+    files = changes.with_hash(_files(spark, sf).select("source", "content", "doc_id"))
+    indexer.index_frame(files.select("source", "content"))
+    edited = F.when(F.col("doc_id") % 25 == 3, F.concat("content", F.lit("\n## Added\nlater"))).otherwise(F.col("content"))
+    after = files.withColumn("content", edited).where("doc_id % 40 <> 7")
+    indexer.index_all(after.select("source", "content"))
+    return indexer.store.texts().groupBy("source").agg(F.count("*").alias("chunks"), F.max("section").alias("last_section"))
+
+
 def get_chunks(spark, sf):
     source = "/vault/src2/42.md"
     return search.chunks_of(_chunks(spark, sf), source).select("source", "section", "window", "chunk_id")
@@ -367,7 +408,7 @@ def chronological_notes(spark, sf):
 QUERIES = {f.__name__: f for f in (
     scan_filter, scan_by_component, file_hash, decode_text, blank_filter, read_file, changed_files, deleted_files, delete_by_source, upsert_replace, hashes_after_run,
     front_matter_strip, section_split, chunk_windows, chunk_truncate, duplicate_chunk_ids, overlap_lengths, embed_batches, hash_embedder,
-    search_topk_l2, search_topk_cosine, search_topk_dot, search_multi_query, search_threshold, search_snippet, search_whole_files, get_chunks,
+    search_topk_l2, search_topk_cosine, search_topk_dot, search_multi_query, search_threshold, search_snippet, search_whole_files, search_query_table, search_cells, chunk_table_function, store_after_runs, get_chunks,
     vault_stats, top_files, stats_envelope, index_stats, backup_retention, debounce, circuit_breaker, watch_stream,
     front_matter_fields, tags_explode, wikilinks, backlinks, broken_links, note_lint, moc_candidates, moc_lint, route_notes, session_scan, session_reports, chronological_notes,
 )}

@@ -78,6 +78,18 @@ class Store:
     def _names(self, *parts: str) -> list[str]:
         return [s.getPath().getName() for s in self._fs.listStatus(self._at(*parts))] if self._fs.exists(self._at(*parts)) else []
 
+    def bytes_of(self, path: str) -> bytes:
+        """The content of one file, wherever Hadoop's file systems reach."""
+        at = self._path(path) if ":" in path.split("/")[0] else self._path("file", None, path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at) or fs.getFileStatus(at).isDirectory():
+            raise FileNotFoundError(path)
+        stream = fs.open(at)
+        try:
+            return bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+
     def exists(self, path: str) -> bool:
         at = self._path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from notewright.functions.text import decoded
 from notewright.operators.changes import with_hash
-from notewright.sources.files import Tree
+from notewright.sources.files import Tree, is_local, local_path
 from notewright.sources.work import new_path
 
 ENTRIES = 20_000  #: of folders that a task looks at before it leaves the rest to others
@@ -125,10 +125,16 @@ def without_globs(path: str) -> str:
     return re.sub(r"([\\[\]{}*?])", r"\\\1", path)
 
 
-def inside(root: str, path: str) -> Path:
-    """The file that path (absolute, or relative to root) names; an error if it is outside of root."""
-    base = Path(root).resolve()
-    found = (base / path).resolve()
-    if not found.is_relative_to(base):
+def inside(root: str, path: str) -> str:
+    """The file that path (absolute, or relative to root) names, root a local path or a URI; an error if it is outside of root."""
+    if is_local(root):
+        base = Path(local_path(root)).resolve()
+        found = (base / path).resolve()
+        if not found.is_relative_to(base):
+            raise PermissionError(f"{path} is outside of the vault")
+        return str(found)
+    base = root.rstrip("/")
+    found = path if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else f"{base}/{path}"
+    if not found.startswith(f"{base}/") or ".." in found.removeprefix(base).split("/"):
         raise PermissionError(f"{path} is outside of the vault")
     return found

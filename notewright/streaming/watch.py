@@ -26,15 +26,15 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 class LeadingEdge(StatefulProcessor):
     """Lets an event through if it is `gap` microseconds or more after the last one of its path that was let through.
 
-    The state of a path is one number. Events of a batch are taken in order of time, batch after batch. After `keep`
+    The state of a path is one number. Events of a batch are taken in order of time, batch after batch. With `keep`, after so many
     milliseconds without an event that counts the state of a path goes: with events as they happen, an event after the gap
     counts whether or not there is a state."""
 
-    def __init__(self, gap: int, keep: int):
+    def __init__(self, gap: int, keep: int | None):
         self.gap, self.keep = gap, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "micros long", self.keep)
+        self.last = handle.getValueState("last", "micros long", *([] if self.keep is None else [self.keep]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["micros", "kind"], kind="stable")
@@ -52,14 +52,15 @@ class LeadingEdge(StatefulProcessor):
         pass
 
 
-def debounce_stream(events: DataFrame, gap_seconds: float, late_seconds: float = 3600.0) -> DataFrame:
+def debounce_stream(events: DataFrame, gap_seconds: float, late_seconds: float | None = None) -> DataFrame:
     """A stream (source, kind, micros) without the events that follow one of their path too soon.
 
-    States go the gap and late_seconds after they were set; events that come in later than that behind their time may be
-    let through once too often."""
+    With late_seconds states go the gap and so long after they were set; events that come in later than that behind their
+    time may be let through once too often. Such a stream runs on for its clock's sake and never ends by itself: one that takes
+    what is there and ends (availableNow) keeps its states."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    processor = LeadingEdge(int(gap_seconds * 1_000_000), int((gap_seconds + late_seconds) * 1000))
-    return events.groupBy("source").transformWithStateInPandas(processor, EVENTS, "Append", "ProcessingTime")
+    processor = LeadingEdge(int(gap_seconds * 1_000_000), None if late_seconds is None else int((gap_seconds + late_seconds) * 1000))
+    return events.groupBy("source").transformWithStateInPandas(processor, EVENTS, "Append", "None" if late_seconds is None else "ProcessingTime")
 
 
 def watch_files(spark: SparkSession, root: str, config: Config = Config()) -> DataFrame:

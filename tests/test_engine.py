@@ -46,7 +46,11 @@ def test_scan(spark, vault):
 
 
 def test_inside(vault):
-    assert inside(str(vault), "one.md") == vault / "one.md"
+    assert inside(str(vault), "one.md") == str(vault / "one.md")
+    assert inside("s3a://b/v/", "a/one.md") == "s3a://b/v/a/one.md" == inside("s3a://b/v", "s3a://b/v/a/one.md")
+    for odd in ("../x", "s3a://b/vault/x", "s3a://other/v/x", "file:///etc/passwd"):
+        with pytest.raises(PermissionError):
+            inside("s3a://b/v", odd)
     with pytest.raises(PermissionError):
         inside(str(vault), "../x")
 

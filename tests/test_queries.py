@@ -53,3 +53,15 @@ def test_query(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+
+
+def test_front_matter_of_any_number_of_lines(spark):
+    from pyspark.sql import functions as F
+
+    from notewright.operators.notes import front_matter
+
+    long = "---\n" + "tag: x\n" * 100_000 + "---\nbody"
+    cases = [long, long[:-9], "---\n---\n", "---\n---", "---\na: 1\n---", "---\na: 1\n--- \n---\nx", "---\na\n----\n", "--\n", "", None, " ---\n---\n", "---\na\n---x\n"]
+    want = ["tag: x\n" * 100_000, None, "", "", "a: 1\n", "a: 1\n--- \n", None, None, None, None, None, None]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, content string")
+    assert [r.block for r in rows.select("i", front_matter(F.col("content")).alias("block")).orderBy("i").collect()] == want

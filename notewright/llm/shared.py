@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own where it is unset and the master is local (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local") or "local-cluster" in spark.conf.get("spark.master"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="notewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from notewright.sources.work import new_path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -70,12 +54,12 @@ def arrow(df: DataFrame, run, schema: str) -> DataFrame:
 
     def task(batches):
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return df.mapInArrow(task, schema)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Workers stay for the tasks of later stages, and so would the pages that they no longer use."""
     import ctypes
     import gc

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewright.llm.shared import arrow, parts, text_bytes, with_texts
+from notewright.llm.shared import arrow, give_back, parts, text_bytes, with_texts
 from notewright.llm.vectext import mix, ranges_hash, slices, word_ranges
 
 SAMPLE, SAMPLE_CHARS = 4000, 24_000_000  #: labelled documents that the field is trained on at most, and their code points
@@ -149,13 +149,20 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Field:
     model.logistic = (0.0, 0.0, float(min(np.log(rate / (1 - rate)), -0.1)))
     if not 0 < toxic.sum() < len(toxic):
         return model
-    parts = [(_features(texts[i:j]), i) for i, j in slices(texts, 1 << 20)]
-    owner, features = np.concatenate([f[2] + i for f, i in parts]), np.concatenate([f[5] for f, _ in parts])
-    del parts
+    owner, features = [], []
+    for i, j in slices(texts, 1 << 20):
+        found = _features(texts[i:j])
+        owner.append((found[2] + i).astype(np.int32))
+        features.append(found[5])
+        del found
+    owner, features = np.concatenate(owner), np.concatenate(features)
     if not len(owner):
         return model
     seeds = _toxic_features(owner, features, toxic)
-    label = np.isin(features, seeds).any(axis=1) & (toxic[owner] > 0)
+    label = np.zeros(len(owner), bool)
+    for k in range(features.shape[1] if len(seeds) else 0):  # column by column, by search: less memory than a sort of all
+        label |= seeds[np.minimum(np.searchsorted(seeds, features[:, k]), len(seeds) - 1)] == features[:, k]
+    label &= toxic[owner] > 0
     if not label.any():
         return model
     model.known = np.unique(features[label])
@@ -255,8 +262,12 @@ def train_on_sample(docs: DataFrame, labels: DataFrame) -> Field:
             picked.append((k, sizes[k].hash))
             left -= sizes[k].n
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, hash long"))
-    texts = sorted(map(tuple, rows.join(chosen, ["doc_id", "hash"]).groupBy("doc_id").agg(F.min("text").alias("text")).collect()))
-    return train([t.encode() for _, t in texts], np.array([toxic[k] for k, _ in texts]))
+    taken = rows.join(chosen, ["doc_id", "hash"]).groupBy("doc_id").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
+    try:
+        return train(taken.column("text").cast(pa.binary()).to_pylist(), np.array([toxic[k] for k in taken.column("doc_id").to_pylist()]))
+    finally:
+        del taken
+        give_back()  # the driver's memory too
 
 
 def _scores(model: Field):

@@ -17,15 +17,15 @@ def apart(totals: DataFrame, key: str) -> DataFrame:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. Minima come from a partial aggregation, and a hub's neighbours may be split among tasks."""
+    """One star step. Minima come from a partial aggregation, and a hub's neighbours may be split among tasks.
+
+    A large star has a row for each edge; a small one has each of its rows once."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     joined = both.join(apart(least, "u"), "u")
     if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+        return joined.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _ended(edges: DataFrame) -> bool:
@@ -37,11 +37,9 @@ def _ended(edges: DataFrame) -> bool:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node that links reach, for each node that has a link to another.
 
-    Nulls and self links are ignored. Each round is written to the shared folder; rounds end when all edges lead to
-    the smallest node of their component."""
-    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct()
-    while True:
-        edges = cut(_star(_star(edges, large=True), large=False), "stars")
-        if _ended(edges):
-            break
+    Nulls and self links are ignored. Each step is written to the shared folder; rounds end when all edges lead to
+    the smallest node of their component, so edges that do from the start take none."""
+    edges = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct(), "edges")
+    while not _ended(edges):
+        edges = cut(_star(cut(_star(edges, large=True), "large-stars"), large=False), "stars")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

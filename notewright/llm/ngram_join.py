@@ -20,8 +20,8 @@ How all links are found without comparing all documents:
    of each of BINS classes of shingles. A shingle that differs changes one bin, so linked sets differ in no
    more bins than shingles; and they have as many bins equal as a binomial distribution of num / den gives, but
    for a chance below 1e-17 (ALIKE at most, none at low thresholds). Other pairs go. Connected candidates form groups.
-   Each group's whole sets go into a trie (trie_join), which checks every pair exactly or prunes it by a bound. A large
-   group is dealt into chunks. Each chunk meets the group's first chunk in a task of its own, which links nearly all of a true group. Then sets
+   Each group's whole sets go into a trie (trie_join), which checks every pair exactly unless the two are joined already. A large
+   group is dealt into chunks. Each chunk meets the group's first chunk in a task of its own, which links nearly all of a true group and gives what it joins as stars. Then sets
    outside the largest component of their group meet all sets of the group, again chunk by chunk: two sets that
    are not linked through others yet are compared in any case, and a task holds two chunks at most.
 4. Components of the exact links.
@@ -305,12 +305,18 @@ def _sets_of(width: int):
 
 
 def _check(num: int, den: int):
+    """Components of the exact links of a task, as stars: edges from what is known to be joined to the smallest that it is linked with."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table.column("doc_id").to_pylist()
-        join = TrieJoin([np.frombuffer(x.as_py(), np.uint64) for x in table.column("grams")], num, den, table.column("joined").to_pylist())
-        found = join.links()
-        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+        joined = table.column("joined").to_pylist()
+        join = TrieJoin([np.frombuffer(x.as_py(), np.uint64) for x in table.column("grams")], num, den, joined)
+        join.links()
+        roots, least = [join.find(i) for i in range(len(joined))], {}
+        for r, x in zip(roots, joined):
+            least[r] = min(x, least.get(r, x))
+        edges = sorted({(x, least[r]) for r, x in zip(roots, joined) if x != least[r]})
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
     return run
 
@@ -344,7 +350,7 @@ def _dealt(rows: DataFrame, members: DataFrame, width: int, schema: str) -> Data
 
 
 def _links(rows: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(a, b): exact links that have the same components as all links between members (doc_id, n, high, low, group)."""
+    """(a, b): edges that have the same components as all exact links between members (doc_id, n, high, low, group)."""
     sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / F.lit(CHUNK_SETS), F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks"), F.count("*").alias("size")).where("size > 1")
     members = members.join(apart(sizes.drop("size"), "group"), "group")
     chunk = lambda of: F.pmod(F.xxhash64("doc_id"), of).cast("int")
@@ -353,18 +359,19 @@ def _links(rows: DataFrame, members: DataFrame, width: int, num: int, den: int)
     # The first chunk of each group meets all chunks.
     ready = _dealt(rows, members.select("doc_id", "high", "low", "group", "chunks"), width, "group long, chunks int")
     ready = ready.withColumn("mine", chunk(F.col("chunks"))).withColumn("i", F.explode(F.expr("if(mine = 0, sequence(0, chunks - 1), array(mine))")))
-    first = cut(ready.select("group", "i", "doc_id", F.col("doc_id").alias("joined"), "grams").groupBy("group", "i").applyInArrow(check, "a long, b long"), "links")
+    first = cut(ready.select("group", "i", F.col("doc_id").alias("joined"), "grams").groupBy("group", "i").applyInArrow(check, "a long, b long"), "links")
 
     # What is outside the largest component of its group meets all of it.
     many = cut(members.where("chunks > 1"), "many")
     if many.isEmpty():
         return first
     joined = components(first, "a", "b")
+    known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
     many = cut(many.join(joined, many.doc_id == joined.node, "left").select("doc_id", "n", "high", "low", "group", F.coalesce("component", "doc_id").alias("joined")), "many-joined")
     parts_of = cut(many.groupBy("group", "joined").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")), "joined-sizes")
     largest = parts_of.groupBy("group").agg(F.max(F.struct("sets", "joined")).alias("top"), F.count("*").alias("several"), F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles")).where("several > 1")
     if largest.isEmpty():
-        return first
+        return known
     top = parts_of.select("group", "joined", F.col("shingles").alias("top_shingles"))
     largest = largest.select("group", F.col("top.joined").alias("joined"), F.col("top.sets").alias("top_sets"), "sets", "shingles").join(top, ["group", "joined"])
     pieces = lambda sets, shingles: F.ceil(F.greatest(sets / F.lit(CHUNK_SETS), shingles / F.lit(CHUNK_SHINGLES), F.lit(1))).cast("int")
@@ -374,8 +381,8 @@ def _links(rows: DataFrame, members: DataFrame, width: int, num: int, den: int)
     ready = ready.withColumn("mine", F.when(F.col("in_top"), chunk(F.col("tops"))).otherwise(chunk(F.col("others"))))
     # Tasks (i, j): chunk i of the others with chunk j of them (j >= i), or with chunk -1 - j of the largest component.
     tasks = "if(in_top, transform(sequence(0, others - 1), i -> struct(i as i, -1 - mine as j)), concat(transform(sequence(0, others - 1), x -> struct(least(x, mine) as i, greatest(x, mine) as j)), transform(sequence(0, tops - 1), x -> struct(mine as i, -1 - x as j))))"
-    ready = ready.withColumn("task", F.explode(F.expr(tasks))).select("group", "task.i", "task.j", "doc_id", "joined", "grams")
-    return first.unionByName(cut(ready.groupBy("group", "i", "j").applyInArrow(check, "a long, b long"), "more-links"))
+    ready = ready.withColumn("task", F.explode(F.expr(tasks))).select("group", "task.i", "task.j", "joined", "grams")
+    return known.unionByName(cut(ready.groupBy("group", "i", "j").applyInArrow(check, "a long, b long"), "more-links"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10) -> DataFrame:

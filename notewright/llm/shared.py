@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewright.functions.batches import arrow, give_back, parts  # noqa: F401
 from notewright.sources.work import new_path
 
 
@@ -30,49 +31,11 @@ def text_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def parts(batches, most: int = 500):
-    """Slices of Arrow batches: Python objects are made for a few rows at a time."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, most):
-            yield batch.slice(i, most)
-
-
 def with_texts(docs: DataFrame) -> DataFrame:
     """doc_id and text under fixed types, whatever other columns there are."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-BATCH_BYTES = 4 << 20  #: of an Arrow batch, about: 10,000 texts may be long
-
-
-def arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of a bounded size; a Python worker gives its free memory back after each task."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(name).rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        conf.set(name, BATCH_BYTES)
-
-    def task(batches):
-        yield from run(batches)
-        give_back()
-
-    return df.mapInArrow(task, schema)
-
-
-def give_back() -> None:
-    """Workers stay for the tasks of later stages, and so would the pages that they no longer use."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 _kept: dict[str, dict] = {}
 
 

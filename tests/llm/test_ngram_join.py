@@ -230,3 +230,65 @@ def test_sketches_keep_linked_pairs():
         batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(range(10_000)), pa.array(n[::2]), pa.array(n[1::2]), pa.array(sketches[::2]), pa.array(sketches[1::2])], ["a", "b", "n_a", "n_b", "sketch_a", "sketch_b"])
         assert all(den * 200 >= num * (x + y - 200) for x, y in zip(n[::2], n[1::2]))
         assert sum(b.num_rows for b in ngram_join._alike(num, den)([batch])) == 10_000
+
+
+def test_near_copies_that_are_not_linked_take_one_walk_each(monkeypatch):
+    """A walk is a few array operations; node by node, each pair of such sets was a step of its own."""
+    r = np.random.RandomState(5)
+    base = r.randint(0, 1 << 40, 120)
+    sets = [np.unique(np.where(r.rand(120) < r.choice([0.02, 0.1]), r.randint(0, 1 << 40, 120), base)).astype(np.uint64) for _ in range(150)]
+    walks, walk = [], TrieJoin._overlaps
+    monkeypatch.setattr(TrieJoin, "_overlaps", lambda self: walks.append(walk(self)) or walks[-1])
+    t = TrieJoin(sets, 9, 10)
+    t.has[t.sets[7]] = 1
+    assert t._overlaps().tolist() == [len(np.intersect1d(s, sets[7])) for s in sets]
+    t.has[:] = 0
+    found = t.links()
+    assert 1 < len(walks) <= 1 + len(sets)
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if linked(set(sets[i].tolist()), set(sets[j].tolist()), 9, 10):
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert [t.find(i) for i in range(len(sets))] == root and len(found) == len(sets) - len(set(root))
+
+
+def test_checks_give_stars():
+    """Of the smallest that a task has joined: chains of links would take rounds to come together."""
+    import pyarrow as pa
+
+    sets = [np.arange(i, i + 40, dtype=np.uint64).tobytes() for i in (3, 1, 0, 2)] + [np.arange(90, 99, dtype=np.uint64).tobytes()]
+    got = ngram_join._check(9, 10)(pa.table({"joined": pa.array([40, 10, 30, 20, 5]), "grams": pa.array(sets, pa.binary())}))
+    assert got.to_pydict() == {"a": [20, 30, 40], "b": [10, 10, 10]}
+    got = ngram_join._check(9, 10)(pa.table({"joined": pa.array([40, 7, 7, 20, 7]), "grams": pa.array(sets, pa.binary())}))
+    assert got.to_pydict() == {"a": [20, 40], "b": [7, 7]}
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    from notewright.llm import components as module
+
+    names, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df, name: names.append(name) or cut(df, name))
+    got = components(spark.createDataFrame([(5, 1), (1, 7), (9, 8)], "a long, b long"), "a", "b")
+    assert {r.node: r.component for r in got.collect()} == {1: 1, 5: 1, 7: 1, 8: 8, 9: 8} and names == ["edges"]
+
+
+def test_tasks_of_little_data_look_for_no_garbage(spark, monkeypatch):
+    """211 tasks of a few rows took longer over that than over their rows."""
+    import pyarrow as pa
+
+    from notewright.functions import batches
+
+    done, held = [], {}
+    monkeypatch.setattr(batches, "give_back", lambda: done.append(1))
+
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, task, schema):
+            held["task"] = task
+
+    batches.arrow(Frame(), lambda some: some, "a binary")
+    few = pa.RecordBatch.from_pydict({"a": [b"x"]})
+    assert len(list(held["task"](iter([few])))) == 1 and not done
+    assert len(list(held["task"](iter([few, pa.RecordBatch.from_pydict({"a": [b"x" * batches.LITTLE]})])))) == 2 and done

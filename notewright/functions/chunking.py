@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.config import Config
+from notewright.functions.batches import arrow, parts
 from notewright.functions.text import SPACES, strip, without_front_matter
 from notewright.schema import CHUNKS
 
@@ -53,7 +54,7 @@ def chunk_text(text: str, size: int, keep: int) -> list[str]:
 
 def _chunk_batches(size: int, keep: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             sources, numbers = batch.column("source").to_pylist(), batch.column("section").to_pylist()
             rows = [(s, n, w, hashlib.md5(c.encode()).hexdigest(), c) for s, n, t in zip(sources, numbers, batch.column("text").to_pylist()) for w, c in enumerate(chunk_text(t, size, keep))]
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
@@ -64,7 +65,7 @@ def _chunk_batches(size: int, keep: int):
 
 def chunks(files: DataFrame, config: Config = Config()) -> DataFrame:
     """(source, section, window, chunk_id, text) of files (source, content). The key is the first three: chunk_id, the MD5 of the text, repeats where texts do."""
-    return sections(files).mapInArrow(_chunk_batches(config.chunk_size, config.overlap_words), CHUNKS)
+    return arrow(sections(files), _chunk_batches(config.chunk_size, config.overlap_words), CHUNKS)
 
 
 def chunks_of_text(content: str | None, size: int, keep: int) -> list[tuple[int, int, str, str]]:

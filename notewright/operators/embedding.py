@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notewright.functions.batches import arrow, parts
+
 
 class Embedder(Protocol):
     dimension: int
@@ -123,7 +125,7 @@ def embed_all(texts: list[str], embedder: Embedder, batch_size: int, breaker: Br
 def _embed_batches(embedder: Embedder, batch_size: int):
     def run(batches):
         breaker = Breaker()
-        for batch in batches:
+        for batch in parts(batches, max(1, 500 // batch_size) * batch_size):  # whole batches of the embedder
             vectors = embed_all([t or "" for t in batch.column("text").to_pylist()], embedder, batch_size, breaker)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], [*batch.schema.names, "vector"])
 
@@ -133,7 +135,7 @@ def _embed_batches(embedder: Embedder, batch_size: int):
 def embed_chunks(chunks: DataFrame, embedder: Embedder, batch_size: int = 50) -> DataFrame:
     """chunks with the vector of each text; a failed one is empty."""
     schema = T.StructType([*chunks.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
-    return chunks.mapInArrow(_embed_batches(embedder, batch_size), schema)
+    return arrow(chunks, _embed_batches(embedder, batch_size), schema)
 
 
 def batches_of(chunks: DataFrame, batch_size: int = 50) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notewright.functions.batches import arrow, parts
 from notewright.operators.search import nearest
 
 PIVOTS = 32  #: of a set of vectors; bounds have as many numbers, twice, for each cell
@@ -62,11 +63,11 @@ def with_cell(rows: DataFrame, pivots: list[list[float]], vector: str = "vector"
     p = np.array(pivots, float)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             d, _ = _measured(batch.column(vector), p)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1).astype(np.int32))], [*batch.schema.names, "cell"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())]))
+    return arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())]))
 
 
 def cells_of(rows: DataFrame, pivots: list[list[float]], vector: str = "vector") -> list[Cell]:
@@ -75,7 +76,7 @@ def cells_of(rows: DataFrame, pivots: list[list[float]], vector: str = "vector")
 
     def run(batches):
         held: dict[int, list] = {}
-        for batch in batches:
+        for batch in parts(batches):
             d, length = _measured(batch.column(vector), p)
             cell = batch.column("cell").to_numpy()
             for c in np.unique(cell).tolist():
@@ -87,7 +88,7 @@ def cells_of(rows: DataFrame, pivots: list[list[float]], vector: str = "vector")
             yield pa.RecordBatch.from_pylist([{"cell": c, "n": n, "low": low.tolist(), "high": high.tolist(), "short": short, "long": long}], schema)
 
     schema = pa.schema([("cell", pa.int32()), ("n", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("short", pa.float64()), ("long", pa.float64())])
-    each = rows.select("cell", vector).mapInArrow(run, "cell int, n long, low array<double>, high array<double>, short double, long double")
+    each = arrow(rows.select("cell", vector), run, "cell int, n long, low array<double>, high array<double>, short double, long double")
     lows = [F.min(F.get("low", F.lit(i))).alias(f"l{i}") for i in range(len(pivots))]
     highs = [F.max(F.get("high", F.lit(i))).alias(f"h{i}") for i in range(len(pivots))]
     found = each.groupBy("cell").agg(F.sum("n").alias("n"), F.min("short").alias("short"), F.max("long").alias("long"), *lows, *highs).collect()
